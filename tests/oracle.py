@@ -57,7 +57,7 @@ if __name__ == "__main__":
     from tracewood.session import local_session
 
     args = sys.argv[1:]
-    folder = args.pop(1) if args[:1] == ["--sf"] and args.pop(0) else "/root/testdata/sf0.01"
+    folder = args.pop(0) if args[:1] == ["--sf"] and args.pop(0) else "/root/testdata/sf0.01"
     queries, sql = entry.queries(), entry.oracle_sql()
     spark = local_session(8)
     for name in [n for n in queries if not args or any(n == a or a.endswith("*") and n.startswith(a[:-1]) for a in args)]:
