@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewood.llm.packing import fill_report, pack
 from tracewood.llm.terms import all_terms
+from tracewood.llm.tokens import encode_texts
 from tracewood.session import table
 
 
@@ -18,7 +20,20 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return all_terms(table(spark, folder, "scip_occurrence"), table(spark, folder, "scip_document"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(table(spark, folder, "documents"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), table(spark, folder, "container_kind"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p8_containers(spark, folder), table(spark, folder, "container_kind"))
+
+
+_ALL = (p1_found, p1_terms, p7_ids, p8_containers, p8_fill)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SYMBOL = r"CASE WHEN trim(symbol, E' \t') <> '' AND NOT starts_with(trim(symbol, E' \t'), 'local ') THEN trim(symbol, E' \t') END"
 _TERMS = rf"""
