@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,5 +71,22 @@ class Workspace:
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, unless PYTHONPATH already does; once per application."""
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    place = Path(tempfile.mkdtemp(prefix="tracewood-")) / "tracewood.zip"
+    with zipfile.ZipFile(place, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(place))
+    _shipped.add(app)
+
+
 def cores(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
