@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewood.llm.handwritten import not_handwritten
 from tracewood.llm.packing import fill_report, pack
+from tracewood.llm.syntax import malformed_rates, parse_files
 from tracewood.llm.terms import all_terms
 from tracewood.llm.tokens import encode_texts
 from tracewood.session import table
@@ -20,6 +23,26 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return all_terms(table(spark, folder, "scip_occurrence"), table(spark, folder, "scip_document"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_reasons(spark, folder).select("file_id")
+
+
+def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(table(spark, folder, "scip_document"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_files(table(spark, folder, "scip_document"), table(spark, folder, "rule_file")).filter(~F.col("well_formed")).select("file_id")
+
+
+def p6_causes(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_files(table(spark, folder, "scip_document"), table(spark, folder, "rule_file"), explain=True).filter(~F.col("well_formed")).drop("well_formed")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return malformed_rates(parse_files(table(spark, folder, "scip_document"), table(spark, folder, "rule_file")))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"))
 
@@ -32,7 +55,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_containers(spark, folder), table(spark, folder, "container_kind"))
 
 
-_ALL = (p1_found, p1_terms, p7_ids, p8_containers, p8_fill)
+_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SYMBOL = r"CASE WHEN trim(symbol, E' \t') <> '' AND NOT starts_with(trim(symbol, E' \t'), 'local ') THEN trim(symbol, E' \t') END"
