@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewood.llm.handwritten import not_handwritten
 from tracewood.llm.packing import fill_report, pack
+from tracewood.llm.pairs import code_pairs, documented_functions
 from tracewood.llm.syntax import malformed_rates, parse_files
 from tracewood.llm.terms import all_terms
 from tracewood.llm.tokens import encode_texts
@@ -31,6 +32,14 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return not_handwritten(table(spark, folder, "scip_document"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return documented_functions(table(spark, folder, "symbol_registry"), table(spark, folder, "scip_document")).select("node")
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return code_pairs(table(spark, folder, "symbol_registry"), table(spark, folder, "scip_document"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parse_files(table(spark, folder, "scip_document"), table(spark, folder, "rule_file")).filter(~F.col("well_formed")).select("file_id")
 
@@ -55,7 +64,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_containers(spark, folder), table(spark, folder, "container_kind"))
 
 
-_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill)
+_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p5_found, p5_pairs, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SYMBOL = r"CASE WHEN trim(symbol, E' \t') <> '' AND NOT starts_with(trim(symbol, E' \t'), 'local ') THEN trim(symbol, E' \t') END"
