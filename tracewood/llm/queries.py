@@ -13,6 +13,7 @@ from tracewood.llm.pairs import code_pairs, documented_functions
 from tracewood.llm.syntax import malformed_rates, parse_files
 from tracewood.llm.terms import all_terms
 from tracewood.llm.tokens import encode_texts
+from tracewood.llm.topics import composition, subjects_of
 from tracewood.session import table
 
 
@@ -64,7 +65,15 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_containers(spark, folder), table(spark, folder, "container_kind"))
 
 
-_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p5_found, p5_pairs, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill)
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return composition(p9_found(spark, folder), table(spark, folder, "documents"))
+
+
+_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p5_found, p5_pairs, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SYMBOL = r"CASE WHEN trim(symbol, E' \t') <> '' AND NOT starts_with(trim(symbol, E' \t'), 'local ') THEN trim(symbol, E' \t') END"
