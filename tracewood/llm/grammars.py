@@ -10,8 +10,8 @@ import re
 from collections.abc import Callable
 from functools import cache
 
-from tracewood.llm import lexing
-from tracewood.llm.lexing import Tokens
+from tracewood.extract import lexing
+from tracewood.extract.lexing import Tokens
 from tracewood.llm.peg import Grammar
 
 PYTHON = r"""
