@@ -235,7 +235,7 @@ def hub_candidates(edges: DataFrame, nodes: DataFrame, factor: float = 2.0, most
     adjacency = undirected(edges)
     weights = adjacency.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
     ranked = weights.filter("degree > 1").groupBy("degree").agg(F.count("*").alias("n"))
-    sums = ranked.withColumn("upto", F.sum("n").over(Window.orderBy("degree"))).crossJoin(ranked.agg(F.sum("n").alias("all")))  # a row per distinct degree and one total
+    sums = ranked.withColumn("upto", F.sum("n").over(Window.orderBy("degree"))).join(F.broadcast(ranked.agg(F.sum("n").alias("all"))))  # a row per distinct degree beside one total
     median = sums.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("degree").alias("median"))
     incoming = edges.filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("incoming"))
     spread = adjacency.join(nodes.filter("file is not null").select(F.col("node").alias("b"), "file"), "b").groupBy(F.col("a").alias("node")).agg(F.count_distinct("file").alias("files"))
