@@ -213,7 +213,7 @@ def _ranges(spark: SparkSession, folder: str) -> DataFrame:
     return symbols(spark, folder).select(F.col("file_id").alias("file"), "node", "start", "end").filter("start < end")
 
 
-@query(f"{_SPANS}, p AS (SELECT DISTINCT file, (s + e) // 2 AS pos FROM r) SELECT p.file, p.pos AS "at", arg_min(r.node, (e - s, r.node)) AS node FROM p JOIN r ON r.file = p.file AND s <= pos AND pos < e GROUP BY 1, 2")
+@query(f"{_SPANS}, p AS (SELECT DISTINCT file, (s + e) // 2 AS pos FROM r) SELECT p.file, p.pos AS \"at\", arg_min(r.node, (e - s, r.node)) AS node FROM p JOIN r ON r.file = p.file AND s <= pos AND pos < e GROUP BY 1, 2")
 def innermost_range_join(spark: SparkSession, folder: str) -> DataFrame:
     ranges = _ranges(spark, folder)
     return spans.innermost(ranges.select("file", F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("at")).distinct(), ranges)
