@@ -65,3 +65,20 @@ def _finder(words: list[str]):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stems, pa.string())], names=["file_id", "stem"])
 
     return run
+
+
+def anomalies(defines: DataFrame, calls: DataFrame) -> DataFrame:
+    """(kind, n, examples): definitions and calls that look like a scanner's mistake, with up to five examples of each: keywords
+    as names, odd characters, ranges without room or across others, names defined twice at one place, files mostly outside."""
+    from tracewood.operators.spans import partial_overlaps
+
+    words = ["if", "for", "while", "return", "else", "switch", "case", "new", "try", "catch", "class", "def", "function"]
+    shown = F.concat_ws("#", "file", "name")
+    rows = defines.select(F.when(F.col("name").isin(words), "keyword-def").when(~F.col("name").rlike(r"^[\p{L}_$~][\p{L}\p{N}_$.:?!=-]*$"), "odd-name").when(F.col("start") >= F.col("end"), "bad-range").alias("kind"), shown.alias("what"))
+    called = calls.filter(F.col("callee").isin(words)).select(F.lit("keyword-call").alias("kind"), F.concat_ws("#", "file", "callee").alias("what"))
+    twice = defines.groupBy("file", "name", "start").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate").alias("kind"), shown.alias("what"))
+    crossing = partial_overlaps(defines.select("file", F.concat_ws("#", "file", "name").alias("node"), "start", "end")).select(F.lit("crossing").alias("kind"), F.col("a").alias("what"))
+    outside = calls.groupBy("file").agg(F.avg((F.col("caller") == "<module>").cast("double")).alias("share"), F.count("*").alias("n")).filter("share > 0.8 and n >= 10").select(F.lit("module-heavy").alias("kind"), F.col("file").alias("what"))
+    found = rows.filter("kind is not null").unionByName(called).unionByName(twice).unionByName(crossing).unionByName(outside)
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("what"))
+    return found.withColumn("r", rank).groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("what")))).alias("examples"))

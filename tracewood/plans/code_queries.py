@@ -512,13 +512,13 @@ def floors_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    """WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch FROM o) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS changes FROM s GROUP BY user_id, batch"""
 )
 def debounce_batches(spark: SparkSession, folder: str) -> DataFrame:
     from tracewood.streaming.listing import batches
 
-    return batches(table(spark, folder, "events"), "user_id", "ts", "event_id", 600)
+    return batches(table(spark, folder, "events"), "user_id", "ts", "event_id", 7200)
 
 
 @query(
@@ -544,3 +544,65 @@ def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     label = F.when(F.col("l_returnflag") == "R", "EXTRACTED").when(F.col("l_returnflag") == "A", "inferred").otherwise("odd")
     return link(nodes, rows.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("calls").alias("relation"), label.alias("confidence"), F.lit(None).cast("double").alias("weight")))
+
+
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import extract
+
+    return extract(files(spark, folder).select("file_id", "text", "relative_path"), "file_id", "text", "relative_path")
+
+
+@query()
+def scanner_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    return facts(_extracted(spark, folder), "defines")
+
+
+@query()
+def scanner_calls(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    return facts(_extracted(spark, folder), "calls").groupBy("file", "caller", "callee", "has_receiver").agg(F.count("*").alias("n"))
+
+
+@query()
+def scanner_imports(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    return facts(_extracted(spark, folder), "imports").select("file", "kind", "name", "target")
+
+
+@query()
+def name_uses(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    return facts(_extracted(spark, folder), "refs").select("file", "owner", "name")
+
+
+@query()
+def call_binding(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    rows = _extracted(spark, folder)
+    minted = resolve.mint(facts(rows, "defines").select("file", "name", F.col("seq").alias("ordinal")))
+    own = minted.join(facts(rows, "members").distinct().withColumn("receiver_only", F.lit(True)), ["file", "name"], "left")
+    return resolve.bind_same_file(facts(rows, "calls"), own).groupBy("file", "caller", "callee", "target").agg(F.count("*").alias("calls"))
+
+
+@query()
+def extraction_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+    from tracewood.operators.quality import anomalies
+
+    rows = _extracted(spark, folder)
+    return anomalies(facts(rows, "defines"), facts(rows, "calls"))
+
+
+@query()
+def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.documents import markdown_sections as split
+
+    pages = files(spark, folder).filter("lower(relative_path) like '%.md'").select(F.col("file_id").alias("file"), "text")
+    notes = table(spark, folder, "documents").filter("kind = 'markdown'").select((-F.col("doc_id")).alias("file"), "text")
+    return split(pages.unionByName(notes)).select("file", "ord", "title", "first_line", "last_line", F.size("mentions").alias("mentions"))
