@@ -23,7 +23,7 @@ from tracewood.extract.rules import Rules, load
 MODULE = "<module>"
 MOST_DOC = 16 * 1024
 _LEXERS = {"python": lexing.lex_python, "ruby": lexing.lex_ruby, "lua": lexing.lex_lua, "go": lexing.lex_go, "rust": lexing.lex_rust, "java": lexing.lex_java, "javascript": lexing.lex_js, "typescript": lexing.lex_ts, "c": lexing.lex_c, "kotlin": lexing.lex_kotlin}
-_NOT_CALLS = frozenset("if for while switch catch return else do try new throw await typeof sizeof synchronized match loop elif with assert del not and or in is lambda print yield defer go select case when until unless import require from use function func def fn fun class".split())
+_NOT_CALLS = frozenset("if for while switch catch return else do try new throw await typeof sizeof synchronized elif with del not and or in is case unless function func def fn fun class".split())
 _CLEAN = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\*)|///?!?|//+|#+!?|--+)?[ \t]?|\s*\*+/\s*$", re.M)
 _SCREAM = re.compile(r"^[A-Z][A-Z0-9_]+$")
 
@@ -130,6 +130,13 @@ def scan(path: str, text: str, rules: Rules | None = None) -> Facts:
             if rules.family == "end" and tokens.breaks[i]:
                 break
             i -= 1
+        while rules.family == "indent" and i > 1 and T[i - 1] == "NL":  # decorators above
+            k = i - 2
+            while k >= 0 and T[k] not in ("NL", "INDENT", "DEDENT"):
+                k -= 1
+            if T[k + 1] != "@":
+                break
+            i = k + 1
         return i
 
     def body(i: int) -> tuple[int, int] | None:
