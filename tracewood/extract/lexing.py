@@ -93,7 +93,7 @@ C_WORDS = frozenset(
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Atomic _Noreturn _Static_assert static_assert _Thread_local _Alignas _Alignof alignas alignof __attribute__ __extension__ __inline __restrict typeof __typeof__ asm __asm__ bool".split()
 )
 lex_c = plain(
-    _master(space=SPACE, nl=r"\n", comment=rf"{LINE}|{BLOCK}|(?<![^\n])[^\S\n]*#(?:[^\n\\]|\\[\s\S]|/\*[\s\S]*?\*/)*|\\\r?\n", str=r'(?:u8|[uUL])?"(?:[^"\\\n]|\\[\s\S])*"', char=r"[uUL]?'(?:[^'\\\n]|\\[^\n])+'", id=r"[^\W\d]\w*|\$\w+", num=NUMBER, op=_punct(_C_OPS)), C_WORDS
+    _master(space=SPACE, nl=r"\n", comment=rf"{LINE}|{BLOCK}|(?<![^\n])[^\S\n]*#(?:[^\n\\]|\\(?:\r\n|[\s\S])|/\*[\s\S]*?\*/)*|\\\r?\n", str=r'(?:u8|[uUL])?"(?:[^"\\\n]|\\[\s\S])*"', char=r"[uUL]?'(?:[^'\\\n]|\\[^\n])+'", id=r"[^\W\d]\w*|\$\w+", num=NUMBER, op=_punct(_C_OPS)), C_WORDS
 )
 
 JAVA_WORDS = frozenset(
@@ -524,6 +524,7 @@ def lex_ruby(text: str) -> Tokens:
     out, at, n, gap = Tokens(), 0, len(text), False
     types = out.types
     waiting: list[tuple[str, bool, bool]] = []  # heredocs that begin behind this line
+    loop = -1  # bracket depth of a loop's head whose do is still due
     stack: list[str] = []
 
     def quoted(at: int, opening: str, closing: str, interpolates: bool) -> int:
@@ -634,6 +635,7 @@ def lex_ruby(text: str) -> Tokens:
             if failed:
                 out.add("BAD", at, at, False, gap)
                 break
+            loop = -1
             if not stack or stack[-1] == "{":
                 ahead = re.compile(r"(?:[^\S\n]|\n|#[^\n]*\n)*(?:\.(?!\.)|&\.)").match(text, at)
                 if not ahead and last != "NL":
@@ -666,6 +668,10 @@ def lex_ruby(text: str) -> Tokens:
                 kind = "ID"
             elif word in RUBY_WORDS:
                 kind = word
+                if word in ("while", "until", "for") and not value:
+                    loop = len(stack)
+                elif word == "do" and loop == len(stack):
+                    kind, loop = "LOOPDO", -1
             else:
                 kind = "CONST" if word[0].isupper() else "ID"
             if word == "defined" and text.startswith("?", end):
