@@ -95,7 +95,7 @@ member <- ";" / "static" block / decorator* (modifier &memberstart)* (("get" / "
 memberstart <- propname / "*"
 propname <- anyname / STR / NUM / "[" assign "]" / PRIV
 params <- "(" (param ("," param)* ","?)? ")"
-param <- decorator* PARAMMODS "..."? bindtarget OPTIONAL TYPE ("=" assign)?
+param <- decorator* PARAMMODS "..."? (bindtarget / THIS) OPTIONAL TYPE ("=" assign)?
 if <- "if" "(" expr ")" stmt ("else" stmt)?
 while <- "while" "(" expr ")" stmt
 do <- "do" stmt "while" "(" expr ")" ";"?
@@ -138,7 +138,7 @@ _HOLES = {
     "TYPED": ("", 'declaration /'), "BANG": ("", '"!"?'), "TYPE": ("", "(\":\" type)?"), "RTYPE": ("", "(\":\" returned)?"), "TPARAMS": ("", "tparams?"), "SIGNATURE": ("", "/ semi"), "ABSTRACT": ("", '"abstract"?'),
     "IMPLEMENTS": ("", '("implements" type ("," type)*)?'), "TARGS": ("", "targs?"), "OPTIONAL": ("", '("?" / "!")?'), "MEMBERS": ("", '/ (modifier &"[")* "[" ident ":" type "]" ":" type semi'), "PARAMMODS": ("", "(modifier &(bindtarget / modifier))*"),
     "TYPEONLY": ("", '("type" &("{" / "*" / ident !("from" STR / ",") / ident "from" STR))?'), "EXPORTED": ("", '/ declaration / "=" expr semi / "as" "namespace" ident semi'), "ASTYPE": ("", '(@same ("as" / "satisfies") ("const" / type))*'), "SUFFIXES": ("", '/ @same "!" !"=" / targs (args / template)'),
-    "WORDS": ("", _TS_WORDS), "MODIFIERS": ("", '/ "public" / "private" / "protected" / "readonly" / "abstract" / "declare" / "override" / "accessor"'), "NAMES": ("", _TS_WORDS + ' / "enum"'),
+    "THIS": ("bindtarget", '"this"'), "WORDS": ("", _TS_WORDS), "MODIFIERS": ("", '/ "public" / "private" / "protected" / "readonly" / "abstract" / "declare" / "override" / "accessor"'), "NAMES": ("", _TS_WORDS + ' / "enum"'),
 }
 _TYPES = r"""
 declaration <- interface / typealias / enum / namespace / "declare" @same (declared / "global" block) / class
@@ -245,7 +245,8 @@ JAVA = JAVA.replace("IDENTS", 'ID / "record" / "sealed" / "permits" / "yield" /
 C = r"""
 file <- external* EOF
 external <- ";" / "extern" STR ("{" external* "}" / external) / asm ";" / assertion / function / declaration / ID args ";"?
-function <- specifiers declarator (attribute / asm)* declaration* block
+function <- specifiers fdeclarator (attribute / asm)* declaration* block
+fdeclarator <- ("*" qualifier*)* (ID / "(" attribute* declarator ")") attribute* params (params / "[" (assign / "*")? "]" / attribute)*
 declaration <- "__extension__"? specifiers (initial ("," initial)*)? ";" / assertion
 assertion <- ("_Static_assert" / "static_assert") "(" conditional ("," STR+)? ")" ";"
 specifiers <- qualifier* (core qualifier* (core qualifier*)* / ID qualifier*) / qualifier+ &("*" / ID / "(")
@@ -419,8 +420,7 @@ hunary_chain <- hunary (!"&&" binop hunary / "as" type)*
 hunary <- ("-" / "!" / "*" / ("&" / "&&") "mut"?) hunary / hprimary suffix*
 hprimary <- NUM / STR / CHAR / "true" / "false" / blockexpr / "(" (expr ("," expr)* ","?)? ")" / "[" (expr (";" expr / ("," expr)* ","?))? "]" / "return" hexpr? / "break" LIFE? / "continue" LIFE? / closure / path "!" delimited / valuepath
 pattern <- "|"? single ("|" single)*
-single <- ("&" / "&&") "mut"? single / "ref"? "mut"? ID !("::" / "(" / "{" / "!" / ".." / "..=") ("@" single)? / "_" / ".." !patlit / patlit (("..=" / ".." / "...") patlit?)? / ("..=" / "..") patlit / "(" (pattern ("," pattern)* ","?)? ")" / "[" (pattern ("," pattern)* ","?)? "]" / path "!" delimited
-        / (qualified / path) ("(" (pattern ("," pattern)* ","?)? ")" / "{" (patfield ("," patfield)* ","?)? "}" / ("..=" / "..") patlit?)?  / "const" block
+single <- ("&" / "&&") "mut"? single / "ref"? "mut"? ID !("::" / "(" / "{" / "!" / ".." / "..=") ("@" single)? / "_" / ".." !patlit / (qualified / path) ("(" (pattern ("," pattern)* ","?)? ")" / "{" (patfield ("," patfield)* ","?)? "}") / path "!" delimited / patlit (("..=" / ".." / "...") patlit?)? / ("..=" / "..") patlit / qualified / "const" block / "(" (pattern ("," pattern)* ","?)? ")" / "[" (pattern ("," pattern)* ","?)? "]"
 patlit <- "-"? NUM / STR / CHAR / "true" / "false" / path
 patfield <- outer* (".." / (ID / NUM) ":" pattern / "ref"? "mut"? ID)
 """
@@ -428,7 +428,7 @@ patfield <- outer* (".." / (ID / NUM) ":" pattern / "ref"? "mut"? ID)
 RUBY = r"""
 file <- stmts EOF
 stmts <- sep* (stmt (sep+ / &closing))*
-closing <~ "end" / EOF / ")" / "}" / "else" / "elsif" / "when" / "in" / "rescue" / "ensure" / "then" / "do"
+closing <~ "end" / EOF / ")" / "}" / "else" / "elsif" / "when" / "in" / "rescue" / "ensure" / "then" / "do" / LOOPDO
 sep <~ NL / ";"
 stmt <- "alias" (ID / SYM / IVAR / CONST) (ID / SYM / IVAR / CONST) modifier* / "undef" (ID / SYM / CONST) ("," NL? (ID / SYM / CONST))* modifier* / ("BEGIN" / "END") "{" stmts "}" / statement modifier*
 modifier <- ("if" / "unless" / "while" / "until" / "rescue") statement
@@ -438,15 +438,15 @@ multiple <- target ("," NL? target)+ ","? "=" NL? values / "*" target ("," targe
 target <- "*"? (postfix / "(" target ("," target)* ")")
 values <- value ("," NL? value)*
 value <- "*"? expr
-command <- !"defined?" ("!"? head) @gap &argstart arguments doblock? chain*
+command <- !"defined?" (receiver / "!"? head) @gap &argstart arguments doblock? chain*
+receiver <- "!"? primary (!lastcall suffix)* lastcall @gap &argstart
 chain <- NL? ("." / "&.") (method arguments0? brace? doblock?)
 arguments0 <- "(" callargs? ")"
-head <- ("yield" / "super" / "return" / "break" / "next" / ID !"=" / CONST &(STR / SYM / NUM / LABEL / CONST / ID / IVAR)) / (primary suffix* ("." / "&." / "::") NL? method &@gap0) / primary (!lastcall suffix)* lastcall
-gap0 <~ .
+head <- "yield" / "super" / "return" / "break" / "next" / ID !"=" / CONST &(STR / SYM / NUM / LABEL / CONST / ID / IVAR)
 lastcall <- ("." / "&.") NL? method !("(" / "." / "&." / "=" / "[")
-argstart <- ID / CONST / STR / SYM / NUM / LABEL / IVAR / REGEX / "self" / "nil" / "true" / "false" / "not" / "->" / "::" CONST / "defined?" / "lambda" / "proc" / "if" _never / "case" / "begin" / "def" / "super" / "yield" / "__method__" / "__FILE__" / "__LINE__" / "!" !"=" / "[" / ("*" / "&" / "**" / "-" / ":") @glued_next / "..." / "(" / "while" _never / "class" _never
+argstart <- ID / CONST / STR / SYM / NUM / LABEL / IVAR / REGEX / "self" / "nil" / "true" / "false" / "not" / "->" / "::" CONST / "defined?" / "lambda" / "proc" / "if" _never / "case" / "begin" / "def" / "super" / "yield" / "__method__" / "__FILE__" / "__LINE__" / "!" !"=" / "[" / ("*" / "&" / "**" / "-" / ":") &tightvalue / "..." / "(" / "while" _never / "class" _never
 _never <~ !. EOF
-glued_next <~ .
+tightvalue <- @glued .
 arguments <- argument ("," NL? argument)*
 argument <- LABEL NL? (command / expr)? / ("*" / "**" / "&") expr? / "..." / command / pairexpr
 pairexpr <- expr (NL? "=>" NL? (command / expr))?
@@ -457,7 +457,7 @@ expr <- unary_not / ternary (assignop NL? (command / values_or_expr) ("rescue" e
 unary_not <- "not" expr
 values_or_expr <- expr ("," NL? value)* / "*" expr ("," NL? value)*
 assignop <~ "=" / "+=" / "-=" / "*=" / "/=" / "%=" / "**=" / "||=" / "&&=" / "|=" / "&=" / "^=" / "<<=" / ">>="
-ternary <- binary ("?" NL? ternary_part NL? ":" NL? ternary / "?" NL? LABELTERN)?
+ternary <- binary ("?" NL? ternary_part NL? ":" NL? ternary / "?" NL? LABEL NL? ternary)?
 ternary_part <- expr
 binary <- unary (binop NL* unary_or_cmd)* (".." / "...")?
 unary_or_cmd <- unary
@@ -484,8 +484,8 @@ keyword <- ("yield" / "super") (@glued arguments0)? brace? doblock? / ("return"
 then <~ sep* "then" / sep+
 if <- "if" statement then stmts ("elsif" statement then stmts)* ("else" stmts)? "end"
 unless <- "unless" statement then stmts ("else" stmts)? "end"
-while <- ("while" / "until") statement ("do" / sep) stmts "end"
-for <- "for" target ("," target)* "in" statement ("do" / sep) stmts "end"
+while <- ("while" / "until") statement (LOOPDO / sep) stmts "end"
+for <- "for" target ("," target)* "in" statement (LOOPDO / sep) stmts "end"
 case <- "case" statement? sep* (("when" exprlist then stmts)+ / ("in" pattern (("if" / "unless") statement)? then stmts)+) ("else" stmts)? "end"
 pattern <- patternitem ("," NL? patternitem)* ","?
 patternitem <- LABEL patternalt? / "*" ID? / "**" (ID / "nil")? / patternalt
@@ -504,8 +504,6 @@ module <- "module" ("::")? CONST ("::" CONST)* sep body "end"
 lambda <- "->" lambda_body
 lambda_body <- ("(" (param ("," NL? param)*)? (";" ID ("," ID)*)? ")" / params)? ("{" stmts "}" / "do" body "end")
 """
-RUBY = RUBY.replace(' &@gap0) /', ' &_never) /').replace(") @glued_next", ") !@gapnext").replace("!@gapnext", "&tightvalue")
-RUBY = RUBY.replace("gap0 <~ .\n", "").replace("glued_next <~ .\n", "tightvalue <- @glued .\n").replace(' / "?" NL? LABELTERN', ' / "?" NL? LABEL NL? ternary')
 
 LUA = r"""
 file <- block EOF
@@ -542,7 +540,7 @@ class <- ("class" / "fun"? "interface") ident tparams? (modifiers "constructor"?
 classparam <- modifiers ("val" / "var")? ident ":" type ("=" expr)?
 supers <- super ("," super)*
 super <- annotation* usertype args? ("by" expr)?
-classbody <- "{" ((enumentry ("," enumentry)* ","?)? ";")? enumtail? (member semi)* "}"
+classbody <- "{" ((enumentry ("," enumentry)* ","?)? ";")? enumtail? (member semi?)* "}"
 enumtail <- enumentry ("," enumentry)* ","?
 enumentry <- modifiers ident args? classbody? &("," / ";" / "}")
 member <- "init" block / modifiers "constructor" params (":" ("this" / "super") args)? block? / "companion" "object" ident? (":" supers)? classbody? / declaration

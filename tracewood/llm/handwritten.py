@@ -46,7 +46,7 @@ def evidence(repo: Column, parts: Column, text: Column) -> Column:
     """The rule that a file's path and text fall under, or null."""
     top = header(text)
     folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.lower(p))
-    name = F.element_at(parts, -1)
+    name = F.try_element_at(parts, F.lit(-1))
     owner = F.regexp_extract(top, COPYRIGHT, 1)
     lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
     shapes = F.array_distinct(F.transform(lines, lambda s: F.regexp_replace(s, r"\d+", "0")))
@@ -75,7 +75,7 @@ def shared_copies(files: DataFrame, work: Workspace) -> DataFrame:
     known = files.filter("repo is not null and size(parts) > 0")
     deepest = known.agg(F.max(F.size("parts"))).first()[0] or 0
     path = F.array_join("parts", "/")
-    leaf = known.select("repo", F.size("parts").alias("depth"), path.alias("path"), F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("parent"), F.element_at("parts", -1).alias("name"), "h", "g", F.lit(1).cast("long").alias("n"), "bytes", F.col("vendored").cast("int").alias("vendored"))
+    leaf = known.select("repo", F.size("parts").alias("depth"), path.alias("path"), F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("parent"), F.try_element_at("parts", F.lit(-1)).alias("name"), "h", "g", F.lit(1).cast("long").alias("n"), "bytes", F.col("vendored").cast("int").alias("vendored"))
     levels, below = [], None
     for depth in range(deepest, 0, -1):
         here = leaf.filter(F.col("depth") == depth)

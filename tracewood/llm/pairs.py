@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracewood.functions.text import latest
 
 CODE, COMMENT, DECORATOR, HEAD = 0, 1, 2, 3
-_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|else|do|try|new|throw|await|typeof|sizeof|synchronized|using|lock|foreach|elif|with|match|loop|unless|until|when|assert|super|this|delete|void|in|of|yield|not|and|or|case|print|defer|go|select)\b)"
+_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|else|do|try|new|throw|await|typeof|sizeof|synchronized|using|lock|foreach|elif|with|unless|until|when|super|this|void|func|function|fn|def|class)\b)"
 _DEF_HEAD = r"(?:async[ \t]+)?def[ \t]+(?P<def>(?:self\.)?[\w.]+[?!=]?|[^\s\w(]+)"
 _BRACE_HEAD = (
     r"(?:@\w[\w.]*(?:\([^()\n]*\))?[ \t]+)*(?:"

@@ -53,7 +53,7 @@ def well_formed(language: str, text: str) -> bool:
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text)
+                ast.parse(text.removeprefix("\ufeff"))
         except (SyntaxError, ValueError):
             return False
         except (RecursionError, MemoryError):
