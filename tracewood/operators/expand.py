@@ -38,7 +38,7 @@ def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_hops: int =
     local = nodes.select(F.col("node").alias("dst"), "is_defined")
     # parallel edges of a pair: only the best factor can ever matter
     links = work.cut(edges.select("src", "dst", factor.alias("factor")).filter(F.col("factor") >= THRESHOLD * 0.05).groupBy("src", "dst").agg(F.max("factor").alias("factor")).join(local, "dst", "left"))
-    start = seeds.groupBy("node").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("weight").cast("double"))).alias("path")).join(local.withColumnRenamed("dst", "node"), "node", "left")
+    start = work.cut(seeds).groupBy("node").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("weight").cast("double"))).alias("path")).join(local.withColumnRenamed("dst", "node"), "node", "left")
     rank = F.when(F.coalesce("is_defined", F.lit(False)), F.col("path")).otherwise(F.col("path") * FOREIGN)
     best = work.cut(start.select("node", rank.alias("score"), F.lit(0).alias("hops")))
     queue = work.cut(start.select("node", "path", F.lit(0).alias("hops")))

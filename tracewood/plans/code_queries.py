@@ -606,3 +606,99 @@ def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
     pages = files(spark, folder).filter("lower(relative_path) like '%.md'").select(F.col("file_id").alias("file"), "text")
     notes = table(spark, folder, "documents").filter("kind = 'markdown'").select((-F.col("doc_id")).alias("file"), "text")
     return split(pages.unionByName(notes)).select("file", "ord", "title", "first_line", "last_line", F.size("mentions").alias("mentions"))
+
+
+def code_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes of the compiler index: every defined symbol is a node, named file#name."""
+    occurrences = table(spark, folder, "scip_occurrence")
+    rows = scip.occurrences(occurrences).filter("is_def").groupBy("symbol").agg(F.min("file").alias("file"), F.min(scip.symbol_name(F.col("symbol"))).alias("name"))
+    ids = resolve.mint(rows.select("file", F.col("symbol").alias("name"), F.lit(0).alias("ordinal"))).select("node", F.col("name").alias("key"))
+    nodes = rows.join(ids, rows["symbol"] == ids["key"]).select("node", F.concat("file", F.lit("#"), "name").alias("symbol"), "file", "name", F.lit(True).alias("is_defined"), "key")
+    made = scip.edges(occurrences).join(nodes.select(F.col("key").alias("caller"), F.col("node").alias("src")), "caller").join(nodes.select(F.col("key").alias("callee"), F.col("node").alias("dst")), "callee")
+    edges = made.select("src", "dst", F.lit(0).cast("long").alias("ts"), F.lit(1.0).alias("authority"), F.lit(0).alias("edge_kind"), F.lit(2).alias("confidence"), F.lit(0).cast("long").alias("seq"))
+    return edges, nodes.drop("key")
+
+
+@query()
+def query_graph(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import query_graph as ask
+    from tracewood.session import Workspace
+
+    work = Workspace(spark, "question")
+    edges, nodes = (work.cut(df) for df in code_graph(spark, folder))
+    return ask(edges, nodes, nodes.select("node", "symbol", F.lit(None).cast("string").alias("docs")), "how are orchard rows archived")
+
+
+_HUNKS = """st AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY indexed_at DESC NULLS LAST) AS rn FROM (SELECT DISTINCT file_id, text, indexed_at FROM scip_document WHERE file_id IS NOT NULL)),
+nw AS (SELECT file_id AS file, text FROM st WHERE rn = 1 AND text IS NOT NULL AND file_id IN (SELECT file_id FROM st WHERE rn = 2 AND text IS NOT NULL)), od AS (SELECT file_id AS file, text FROM st WHERE rn = 2 AND text IS NOT NULL),
+nl AS (SELECT file, n, rtrim(regexp_replace(line, chr(13) || '$', ''), ' ') AS line FROM (SELECT file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM nw)),
+ol AS (SELECT DISTINCT file, rtrim(regexp_replace(line, chr(13) || '$', ''), ' ') AS line FROM (SELECT file, unnest(string_split(text, chr(10))) AS line FROM od)),
+fr AS (SELECT file, n, n - row_number() OVER (PARTITION BY file ORDER BY n) AS island FROM nl WHERE NOT EXISTS (SELECT 1 FROM ol WHERE ol.file = nl.file AND ol.line = nl.line)), hk AS (SELECT file, min(n) AS h1, max(n) AS h2 FROM fr GROUP BY file, island)"""
+
+
+def _states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    rows = table(spark, folder, "scip_document").filter("file_id is not null").select("file_id", "text", "indexed_at").distinct()
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc_nulls_last("indexed_at")))).filter("text is not null")
+    old = ranked.filter("rn = 2").select(F.col("file_id").alias("file"), "text")
+    return old, ranked.filter("rn = 1").select(F.col("file_id").alias("file"), "text").join(old.select("file"), "file", "left_semi")
+
+
+@query(f"WITH {_HUNKS} SELECT file, h1::INT AS first, h2::INT AS last FROM hk")
+def changed_hunks(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import changed_hunks as hunks
+
+    return hunks(*_states(spark, folder)).select("file", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
+@query(
+    f"""WITH {_HUNKS}, {_REG}, rg AS (SELECT r.file_id AS file, node, len(string_split(decode(encode(text)[1:s]), chr(10))) AS f, len(string_split(decode(encode(text)[1:e - 1]), chr(10))) AS l FROM reg r JOIN nw ON nw.file = r.file_id WHERE s >= 0 AND s < e AND e <= strlen(text)),
+    hit AS (SELECT hk.file, h1, h2, node, f, l FROM hk JOIN rg ON rg.file = hk.file AND f <= h2 AND h1 <= l) SELECT DISTINCT a.file, a.node FROM hit a WHERE NOT EXISTS (SELECT 1 FROM hit b WHERE b.file = a.file AND b.h1 = a.h1 AND b.h2 = a.h2 AND b.node <> a.node AND a.f <= b.f AND b.l <= a.l AND (a.l - a.f) > (b.l - b.f))"""
+)
+def detect_changes(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import detect_changes as changes
+
+    known = symbols(spark, folder).select(F.col("file_id").alias("file"), "node", "start", "end")
+    return changes(known, *_states(spark, folder))
+
+
+@query(
+    rf"""WITH {_DOCS}, {_REG}, p AS (SELECT DISTINCT repo || '/' || regexp_replace(replace(relative_path, '\', '/'), '/?[^/]*$', '') AS path FROM docs_now), a AS (SELECT DISTINCT replace(regexp_replace(replace(file, '\', '/'), '/?[^/]*$', ''), '/', '.') AS asked FROM reg),
+    w AS (SELECT asked, list_filter(string_split_regex(asked, '[./\\:]+'), lambda x: x <> '') AS x FROM a), h AS (SELECT path, list_filter(string_split_regex(path, '[/\\]+'), lambda x: x <> '') AS y FROM p),
+    m AS (SELECT asked, path, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[len(x) - k + 1:] = y[len(y) - k + 1:])) AS same FROM w JOIN h ON len(x) > 0 AND len(y) > 0 AND x[-1] = y[-1]), b AS (SELECT *, max(same) OVER (PARTITION BY asked) AS best FROM m)
+    SELECT asked, min(path) AS path, min(same)::INT AS parts FROM b WHERE same = best GROUP BY asked HAVING count(*) = 1"""
+)
+def package_suffix_match(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import package_suffix
+
+    folder_of = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\", "/"), "(^|/)[^/]+$", "")
+    paths = files(spark, folder).select(F.concat("repo", F.lit("/"), folder_of("relative_path")).alias("path")).distinct()
+    asked = symbols(spark, folder).select(F.translate(folder_of("file"), "/", ".").alias("asked")).distinct()
+    return package_suffix(asked, paths)
+
+
+@query(f"WITH {_PARTS}, {_LABEL}, nm AS (SELECT community, {_STEM} AS label FROM sz JOIN lb USING (community)) SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN nm.label = {_STEM.replace('file', 'p.file')} THEN 'placed' WHEN {_STEM.replace('file', 'p.file')} IN (SELECT label FROM nm) THEN 'wrong' ELSE 'absent' END AS verdict FROM parts p LEFT JOIN nm USING (community)) GROUP BY 1")
+def partition_scale(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import partition_scale as scale
+
+    parts = _parts(spark, folder)
+    return scale(parts, overview.labels(parts))
+
+
+@query()
+def http_surface(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import facts
+
+    rows = _extracted(spark, folder)
+    routes = facts(rows, "routes").select(F.lit("route").alias("kind"), F.concat_ws("#", "file", "handler").alias("symbol"), "verb", "path")
+    asks = facts(rows, "requests").select(F.lit("request").alias("kind"), F.concat_ws("#", "file", "sender").alias("symbol"), "verb", "path")
+    return routes.unionByName(asks).withColumn("segments", resolve.segments(F.col("path")))
+
+
+@query()
+def explain_node(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.operators.tools import explain
+
+    edges, nodes = graph_edges(spark, folder), graph_nodes(spark, folder)
+    return explain(edges, nodes, nodes.filter("is_defined").select("node", F.col("file").alias("community")), 1)
