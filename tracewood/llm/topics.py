@@ -36,18 +36,31 @@ _SENTENCE = re.compile(r"[.!?;]+[)\]\"'»”]*\s+|\n+")
 ROUNDS = 3
 
 
-def sentences(text: str) -> list[set[str]]:
+_met: dict[str, frozenset[str]] = {}  # words of parts met lately; texts of one origin repeat their phrases
+_MOST_MET = 100_000
+
+
+def _words(part: str) -> frozenset[str]:
+    words = _met.get(part)
+    if words is None:
+        words = frozenset(_WORD.findall(_CAMEL.sub(" ", part).lower()))
+        if len(_met) >= _MOST_MET:
+            _met.clear()
+        if len(part) < 400:
+            _met[part] = words
+    return words
+
+
+def sentences(text: str) -> list[frozenset[str]]:
     """The distinct words (three letters at least, in lower case, identifiers taken apart) of each sentence or line.
 
     Words of the first sentence, often a title, come a second time with a mark, as some mean more there.
     """
     out = []
-    for part in _SENTENCE.split(_CAMEL.sub(" ", text)):
-        words = set(_WORD.findall(part.lower()))
+    for part in _SENTENCE.split(text):
+        words = _words(part)
         if words:
-            if not out:
-                words |= {f"^{w}" for w in words}
-            out.append(words)
+            out.append(words if out else words | {f"^{w}" for w in words})
     return out
 
 
@@ -61,7 +74,7 @@ class Model:
     together: np.ndarray | None = None  # log lift of pairs of subjects
     order: list[int] = field(default_factory=list)
 
-    def passing(self, words: set[str]) -> float:
+    def passing(self, words: frozenset[str]) -> float:
         score = self.cue_prior + sum(self.cue.get(w, 0.0) for w in words)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
 
