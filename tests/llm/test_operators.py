@@ -151,6 +151,8 @@ def test_not_handwritten(spark):
         16: ("p", "lib/one.py", BODY + "# one\r\n", None),
         17: ("p", "lib/two.py", BODY + "# two\n", None),
         **{k: (("p", "q")[k % 2], f"own/{k}.py", BODY.replace("alpha", f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}"), None) for k in range(30, 50)},
+        18: ("r", "src/j.py", plain.replace("delta", "five") + "\n\n# Diese Datei wird von x erzeugt und bei jedem Lauf überschrieben.\n\n", "generated"),
+        19: ("r", "src/k.py", plain.replace("delta", "six") + "HEADER = '# Code generated by %s. DO NOT EDIT.'\n", None),
         60: (None, None, None, None),
         61: ("r", "src/empty.py", "", None),
     }

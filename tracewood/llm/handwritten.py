@@ -2,7 +2,7 @@
 
 Merkle hashes go bottom-up over every repo's directory tree: a file's is that of its text, a directory's an order-free
 hash of its entries' names and hashes, an algebraic aggregate that is combined before the shuffle. Subtrees that occur in
-unrelated repos mark copies; header, path and layout rules find tool output, squeezed scripts and data. All rules run where
+unrelated repos mark copies; signatures at the head or end, path and layout rules find tool output, squeezed scripts and data. All rules run where
 the text is read; texts are never shuffled.
 """
 
@@ -42,13 +42,20 @@ def header(text: Column) -> Column:
     return F.concat_ws("\n", lines, F.regexp_extract(text, r"^\s*/\*[\s\S]*?\*/", 0))
 
 
+def footer(lines: Column) -> Column:
+    """Comment lines among the last five of the given non-blank lines, if the last of all is one; some tools sign at the end."""
+    is_comment = lambda s: s.rlike(r"^\s*(#(?!\s*(?:endif|if|define|include)\b)|//|/\*|\*|--|<!--)")
+    tail = F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), F.lit(5))
+    return F.when(is_comment(F.try_element_at(lines, F.lit(-1))), F.array_join(F.filter(tail, is_comment), "\n")).otherwise("")
+
+
 def evidence(repo: Column, parts: Column, text: Column) -> Column:
     """The rule that a file's path and text fall under, or null."""
-    top = header(text)
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
+    top = F.concat_ws("\n", header(text), footer(lines))
     folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.lower(p))
     name = F.try_element_at(parts, F.lit(-1))
     owner = F.regexp_extract(top, COPYRIGHT, 1)
-    lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
     shapes = F.array_distinct(F.transform(lines, lambda s: F.regexp_replace(s, r"\d+", "0")))
     long_text = F.array_join(F.filter(lines, lambda s: F.length(s) > 400), "\n")
     size = F.greatest(F.length(text), F.lit(1))
@@ -59,8 +66,8 @@ def evidence(repo: Column, parts: Column, text: Column) -> Column:
         .when(F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated: directory")
         .when(name.rlike(GENERATED_NAME), "generated: name")
         .when(name.rlike(MINIFIED_NAME), "minified: name")
-        .when(top.rlike(GENERATED_LINE), "generated: header")
-        .when(top.rlike(VENDORED_LINE) | ((owner != "") & (F.lower(owner) != F.lower(F.coalesce(repo, F.lit(""))))), "vendored: header")
+        .when(top.rlike(GENERATED_LINE), "generated: signature")
+        .when(top.rlike(VENDORED_LINE) | ((owner != "") & (F.lower(owner) != F.lower(F.coalesce(repo, F.lit(""))))), "vendored: signature")
         .when((F.length(long_text) * 2 > size) & (solid > 0.92), "minified: layout")
         .when((size >= 200) & (F.length(values) * 4 < size), "data: layout")
         .when((F.size(lines) >= 20) & (F.size(shapes) * 6 < F.size(lines)), "generated: layout")

@@ -85,7 +85,7 @@ def parse_files(files: DataFrame, rules: DataFrame, explain: bool = False) -> Da
 
     Files are parsed where they are read and only verdicts are shuffled to find each file's latest state. Files whose
     extension is in no rule, or in one of a language without grammar, and rows without file_id or path are left out. A
-    null or empty text is well-formed. Rows repeated or of equal indexed_at give one verdict. No files give no rows.
+    null, empty or blank text is well-formed. Rows repeated or of equal indexed_at give one verdict. No files give no rows.
     """
     known = {e: lang for e, lang in extensions(rules).items() if lang in LANGUAGES}
     schema = "file_id bigint, repo string, language string, indexed_at timestamp, well_formed boolean, position int, cause string"
@@ -95,7 +95,7 @@ def parse_files(files: DataFrame, rules: DataFrame, explain: bool = False) -> Da
         for batch in batches:
             good, places, causes = [], [], []
             for language, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ok = not text or well_formed(language, text)
+                ok = not text or not text.strip() or well_formed(language, text)
                 at, cause = failure(language, text) if explain and not ok else (None, None)
                 good.append(ok)
                 places.append(at)
