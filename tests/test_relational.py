@@ -91,3 +91,16 @@ def test_unused(spark):
     links = spark.createDataFrame([(2, 1), (2, 2)], "caller long, callee long")
     texts = spark.createDataFrame([("src/a.py", "def used(): pass\ndef dead(): pass\ndef written(): pass\nx = written")], "file string, text string")
     assert [r["name"] for r in unused.find_unused(defs, links, texts).collect()] == ["dead"]
+
+
+def test_calls_resolve_nearest_first(spark):
+    defs = spark.createDataFrame([(1, "a/x.py", "f", "python"), (2, "a/y.py", "f", "python"), (3, "b/m.py", "g", "python"), (4, "c/m2.py", "g", "python"), (5, "d/z.kt", "only", "kotlin"), (6, "e/q.py", "only", "python")], "node long, file string, name string, lang string")
+    calls = spark.createDataFrame([("a/x.py", "k", "f", False, "python"), ("a/x.py", "k", "f", True, "python"), ("a/x.py", "k", "h", False, "python"), ("J.java", "k", "only", False, "java"), ("a/x.py", "k", "h", False, "python")], "file string, caller string, callee string, has_receiver boolean, lang string")
+    imports = spark.createDataFrame([("a/x.py", "h", "b.m.g")], "file string, name string, target string")
+    rows = resolve.cascade(calls, defs, imports).collect()
+    got = {(r["file"], r["callee"], r["has_receiver"]): (r["target"], r["how"], r["confidence"], r["uses"]) for r in rows}
+    assert got == {("a/x.py", "f", False): (1, "file", 1, 1), ("a/x.py", "f", True): (None, None, 0, 1), ("a/x.py", "h", False): (3, "import", 1, 2), ("J.java", "only", False): (5, "name", 0, 1)}
+    loose = spark.createDataFrame([("a/b/c.py", "k", "x", None), ("a/z.py", "k", "y", None), ("q.py", "k", "z", None), ("a/b/d.py", "k", "w", 3)], "file string, caller string, callee string, target long")
+    assert [(r["callee"], r["common"]) for r in resolve.untraced(loose, "a/b/e.py").collect()] == [("x", 2), ("y", 1), ("z", 0)]
+    refs = spark.createDataFrame([("ci.yml", "build", "t/a.sh"), ("ci.yml", "build", "t/a.sh"), ("ci.yml", "build", "gone.sh")], "file string, job string, path string")
+    assert [tuple(r) for r in resolve.file_references(refs, spark.createDataFrame([("t/a.sh",)], "file string")).collect()] == [("ci.yml", "build", "t/a.sh")]

@@ -96,3 +96,50 @@ def contracts(imports: DataFrame, exports: DataFrame) -> tuple[DataFrame, DataFr
     first = exports.groupBy("package", "version", "contract").agg(F.min(F.struct("ord", "repo")).alias("first")).select("package", "version", "contract", F.col("first.repo").alias("provider"))
     keys = ["package", "version", "contract"]
     return imports.join(first, keys).select("repo", *keys, "provider"), imports.join(first, keys, "left_anti").select("repo", *keys)
+
+# Languages whose definitions can be called from one another.
+FAMILIES = {"java": "jvm", "kotlin": "jvm", "scala": "jvm", "groovy": "jvm", "javascript": "js", "typescript": "js", "c": "c", "cpp": "c", "objc": "c"}
+
+
+def family(language):
+    out = language
+    for name, group in FAMILIES.items():
+        out = F.when(language == name, group).otherwise(out)
+    return out
+
+
+def cascade(calls: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, caller, callee, target, how, confidence) of every call (file, caller, callee, has_receiver, lang).
+
+    The first that gives exactly one definition (node, file, name, lang) wins: the same file (no receiver), an import
+    (file, name, target) whose module ends like the definition's path, the only definition of that name in the language's
+    family. Calls on a receiver of unknown type are ambiguous, the rest inferred; unresolved calls keep a null target.
+    """
+    one = calls.groupBy("file", "caller", "callee", "has_receiver", "lang").agg(F.count("*").alias("uses")).withColumn("call", F.xxhash64("file", "caller", "callee", "has_receiver", "lang"))
+    places = defs.select("node", "name", "lang", F.col("file").alias("def_file"))
+    local = one.filter(~F.col("has_receiver")).join(places.select(F.col("name").alias("callee"), F.col("def_file").alias("file"), "node"), ["file", "callee"]).groupBy("call").agg(F.min("node").alias("target"), F.count_distinct("node").alias("n")).filter("n = 1").select("call", "target", F.lit("file").alias("how"), F.lit(0).alias("step"))
+    # the last part of the module must be the definition's file stem or directory, so the join has a narrow key
+    module = F.regexp_replace(F.regexp_replace("target", r"#.*$", ""), r"^[./\\]+", "")
+    told = imports.select("file", F.col("name").alias("callee"), F.regexp_extract("target", r"([^.#/\\:]+)$", 1).alias("symbol"), F.filter(F.split(module, r"[./\\:]+"), lambda p: p != "").alias("parts"))
+    keyed = told.select("file", "callee", "symbol", F.explode(F.array_distinct(F.slice(F.reverse("parts"), 1, 2))).alias("key"))
+    stems = places.select(F.col("name").alias("symbol"), "node", F.explode(F.array_distinct(F.array(F.regexp_extract("def_file", r"([^/\\.]+)\.[^/\\]*$", 1), F.regexp_extract("def_file", r"([^/\\]+)[/\\][^/\\]*$", 1)))).alias("key")).filter("key <> ''")
+    brought = one.join(keyed, ["file", "callee"]).join(stems, ["symbol", "key"]).groupBy("call").agg(F.min("node").alias("target"), F.count_distinct("node").alias("n")).filter("n = 1").select("call", "target", F.lit("import").alias("how"), F.lit(1).alias("step"))
+    alone = places.groupBy("name", family(F.col("lang")).alias("family")).agg(F.min("node").alias("target"), F.count_distinct("node").alias("n")).filter("n = 1")
+    named = one.withColumn("family", family(F.col("lang"))).join(alone.select(F.col("name").alias("callee"), "family", "target"), ["callee", "family"]).select("call", "target", F.lit("name").alias("how"), F.lit(2).alias("step"))
+    first = local.unionByName(brought).unionByName(named).groupBy("call").agg(F.min(F.struct("step", "target", "how")).alias("best")).select("call", "best.target", "best.how")
+    sure = F.when(F.col("target").isNull() | F.col("has_receiver") | (F.col("how") == "name"), 0).otherwise(1)
+    return one.join(first, "call", "left").select("file", "caller", "callee", "has_receiver", "uses", "target", "how", sure.alias("confidence"))
+
+
+def untraced(calls: DataFrame, home: str, top: int = 10) -> DataFrame:
+    """Calls (file, caller, callee) without a target, nearest to a file by the length of their common directory path."""
+    parts = [p for p in home.replace("\\", "/").split("/")[:-1]]
+    mine = F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<string>")
+    theirs = F.slice(F.split("file", r"[/\\]"), 1, F.greatest(F.size(F.split("file", r"[/\\]")) - 1, F.lit(0)))
+    common = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(parts))), lambda k: (k > 0) & (F.size(theirs) >= k) & (F.slice(theirs, F.lit(1), k) == F.slice(mine, F.lit(1), k))))
+    return calls.filter("target is null").withColumn("common", common).orderBy(F.desc("common"), "file", "caller", "callee").limit(top).select("file", "caller", "callee", "common")
+
+
+def file_references(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, caller, target): jobs of a workflow (file, job, path) and the files (file) they run, once each."""
+    return refs.select("file", F.col("job").alias("caller"), F.col("path").alias("target")).join(files.select(F.col("file").alias("target")), "target").select("file", "caller", "target").distinct()

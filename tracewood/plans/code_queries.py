@@ -702,3 +702,15 @@ def explain_node(spark: SparkSession, folder: str) -> DataFrame:
 
     edges, nodes = graph_edges(spark, folder), graph_nodes(spark, folder)
     return explain(edges, nodes, nodes.filter("is_defined").select("node", F.col("file").alias("community")), 1)
+
+
+@query()
+def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewood.extract.scanner import extract, facts
+
+    texts = files(spark, folder).select(F.concat("repo", F.lit("/"), F.regexp_replace("relative_path", r"\\", "/")).alias("file"), "text")
+    rows = extract(texts)
+    lang = rows.select("file", "lang")
+    defs = facts(rows, "defines")
+    minted = resolve.mint(defs.select("file", "name", F.col("seq").alias("ordinal"))).select("node", "file", "name").join(lang, "file")
+    return resolve.cascade(facts(rows, "calls").join(lang, "file"), minted, facts(rows, "imports").select("file", "name", "target"))
