@@ -232,13 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMP
     model = Model(sorted(about))
     k = len(model.subjects)
     owners = Counter(w for words in about.values() for w in words)
-    first = {w: i for i, s in enumerate(model.subjects) for w in about[s] if owners[w] == 1 and len(w) > 4}
+    first = {form: i for i, s in enumerate(model.subjects) for w in about[s] if owners[w] == 1 and len(w) > 4 and w[0] != "^" for form in (w, w.removesuffix("s"))}
     chosen = majority_labels(labels, model.subjects).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     if not model.subjects:
         return model
     taught = docs.join(F.broadcast(chosen), "doc_id").select("text", "subjects", "kind", "source", "doc_id").filter("text is not null").persist()
     by_label = {r["word"]: model.subjects.index(r["subject"]) for r in _typical(_word_counts(taught.select("text", "subjects"), model, True), 2, "n", PURITY)}
-    model.words = by_label or first
+    model.words = {**first, **by_label}
     # words that sentences of typical words vouch for; sentences without any count half against a word by the last filter
     for _ in range(ROUNDS):
         learned = _typical(_word_counts(docs.select("text"), model, False), 5, "if(subject <> '', n, 0)", LEARNED_PURITY)
