@@ -81,7 +81,7 @@ class Model:
     def features(self, text: str | None, kind: str | None, source: str | None) -> np.ndarray:
         """(subjects, features) of a document."""
         k = len(self.subjects)
-        strong, weak, mention, best, title, lines = (np.zeros(k) for _ in range(6))
+        strong, weak, mention, best, title, heading, lines = (np.zeros(k) for _ in range(7))
         seen: list[set[str]] = [set() for _ in range(k)]
         known, get = self.words, self.words.get
         for n, words in enumerate(sentences(text) if text else ()):
@@ -105,13 +105,14 @@ class Model:
                 lines[s] += 1 - q
                 if n == 0:
                     title[s] = 1
+                    heading[s] = (len(words) <= 12) * (1 - q)  # six words, each of them marked too
         total = strong + weak
         whole = total.sum()
         others = whole - total
         distinct = np.array([len(x) for x in seen], dtype=float)
         place = np.array([float(kind == x) for x in KINDS])
         cols = [
-            np.ones(k), np.log1p(total), total / (1 + whole), np.log1p(strong), np.log1p(weak), np.log1p(mention), np.minimum(best, 4), title, np.log1p(distinct), np.log1p(lines), np.log1p(others), (total > 0.5) * 1.0, (total >= total.max()) * (total > 0.3),
+            np.ones(k), np.log1p(total), total / (1 + whole), np.log1p(strong), np.log1p(weak), np.log1p(mention), np.minimum(best, 4), title, np.log1p(distinct), np.log1p(lines), np.log1p(others), (total > 0.5) * 1.0, (total >= total.max()) * (total > 0.3), (best >= 2) * 1.0, (best >= 3) * 1.0, (lines > 1.5) * 1.0, ((title > 0) & (best >= 0.5)) * 1.0, heading, heading * (kind in ("markdown", "commit")),
             np.full(k, math.log1p(len(text) if text else 0)), np.full(k, float(source is None)),
         ]
         base = np.stack(cols, axis=1)
@@ -182,8 +183,9 @@ def _word_counts(docs: DataFrame, model: Model, labelled: bool) -> DataFrame:
 
 def _typical(counts: DataFrame, least: int, share_of: str, purity: float) -> list:
     """The commonest words of which one subject has the ``purity`` share of sentences."""
+    firm = F.when(F.col("word").startswith("^"), 4 * least).otherwise(least)  # a title's words are met less and prove less
     by = counts.groupBy("word").agg(F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("n"), F.sum(F.expr(share_of)).alias("all"), F.sum("n").alias("total"))
-    good = by.filter((F.col("subject") != "") & (F.col("n") >= least) & (F.col("n") >= F.lit(purity) * F.col("all")) & (F.col("n") * 4 >= F.col("total")))
+    good = by.filter((F.col("subject") != "") & (F.col("n") >= firm) & (F.col("n") >= F.lit(purity) * F.col("all")) & (F.col("n") * 4 >= F.col("total")))
     return good.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
 
 
