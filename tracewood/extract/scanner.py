@@ -337,7 +337,7 @@ def http(text: str, owner: list[str], tokens: Tokens) -> tuple[list[tuple[str, s
         if not handler:
             i = at(m.end())
             ahead = next((owner[k] for k in range(i, min(len(owner), i + 60)) if owner[k] != owner[i]), owner[i])
-            handler = ahead
+            handler = owner[i] if m["p1"] and owner[i] != MODULE else ahead  # a decorator belongs to its function
         routes.append((handler, verb, plain(m["p1"] or m["p2"])))
     for m in _REQUEST.finditer(text):
         requests.append((owner[at(m.start())] if owner else MODULE, (m["v"] or "get").upper(), plain(m["p1"] or m["p2"])))
