@@ -73,8 +73,8 @@ def test_scip_names_and_edges(spark):
         (5, "r", "f", [9, 4, 6], "s p a/two().", 0), (6, "r", "f", [4, 0], "s p ext/[R]lib().", 0), (7, "r", "f", [5, 0], "local 1", 0), (8, "r", "f", [5, 0], "s p mod/", 0), (9, None, None, [5, 0], None, None),
     ]
     df = spark.createDataFrame(rows, "occ_id long, repo string, relative_path string, occ_range array<int>, symbol string, symbol_roles int")
-    assert [tuple(r) for r in scip.edges(df).collect()] == [("s p a/one().", "s p a/two().", 1)]
-    assert [tuple(r) for r in scip.external(df).collect()] == [("s p ext/[R]lib().", 1)]
+    assert [tuple(r) for r in scip.edges(scip.occurrences(df)).collect()] == [("s p a/one().", "s p a/two().", 1)]
+    assert [tuple(r) for r in scip.external(scip.occurrences(df)).collect()] == [("s p ext/[R]lib().", 1)]
     from pyspark.sql import functions as F
 
     assert df.filter("occ_id = 6").select(scip.symbol_name(F.col("symbol"))).first()[0] == "lib"

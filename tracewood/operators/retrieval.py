@@ -125,8 +125,8 @@ def vocabulary_suggestion(results: DataFrame, symbols: DataFrame, index: DataFra
 def mention_counts(files: DataFrame, names: DataFrame) -> DataFrame:
     """(name, mentions, files): how often each name (name) is written as a whole identifier over all texts (file, text)."""
     words = files.select("file", F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("name")).filter(F.length("name") > 2)
-    counted = words.groupBy("file", "name").agg(F.count("*").alias("n"))
-    return counted.join(names.select("name").distinct(), "name").groupBy("name").agg(F.sum("n").alias("mentions"), F.count("*").alias("files"))
+    wanted = words.join(names.select("name").distinct(), "name", "left_semi")
+    return wanted.groupBy("file", "name").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("mentions"), F.count("*").alias("files"))
 
 
 def named_elsewhere(files: DataFrame, defs: DataFrame) -> DataFrame:

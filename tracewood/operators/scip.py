@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewood.functions.text import trimmed
 from tracewood.operators.spans import enclosing
+from tracewood.session import Workspace
 
 
 def symbol_name(symbol: Column) -> Column:
@@ -16,16 +17,18 @@ def symbol_name(symbol: Column) -> Column:
     return F.when(~symbol.startswith("local ") & ~last.endswith("/") & (bare != ""), bare)
 
 
-def occurrences(table: DataFrame) -> DataFrame:
-    """One row per occurrence: repo, file, line, symbol, is_def. Repeats of an id count once, null ranges are line 0."""
-    one = table.filter("occ_id is not null").dropDuplicates(["occ_id"])
-    return one.select("occ_id", "repo", F.col("relative_path").alias("file"), F.coalesce(F.try_element_at("occ_range", F.lit(1)), F.lit(0)).alias("line"), trimmed("symbol").alias("symbol"), (F.coalesce(F.col("symbol_roles").bitwiseAND(1), F.lit(0)) == 1).alias("is_def")).filter(symbol_name(F.col("symbol")).isNotNull())
+def occurrences(table: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """One row per occurrence with a name: occ_id, repo, file, line, symbol, name, is_def. Exact repeats count once, null ranges
+    are line 0. The rows are written once, as everything below reads them several times and names cost regexes."""
+    work = work or Workspace(table.sparkSession, "index")
+    one = table.filter("occ_id is not null").select("occ_id", "repo", F.col("relative_path").alias("file"), F.coalesce(F.try_element_at("occ_range", F.lit(1)), F.lit(0)).alias("line"), trimmed("symbol").alias("symbol"), (F.coalesce(F.col("symbol_roles").bitwiseAND(1), F.lit(0)) == 1).alias("is_def"))
+    useful = one.filter("symbol is not null and symbol <> '' and not symbol like 'local %'").distinct()
+    return work.cut(useful.withColumn("name", symbol_name(F.col("symbol")))).filter("name is not null")
 
 
-def edges(table: DataFrame) -> DataFrame:
-    """(caller, callee, uses): references to symbols that the index defines, from the last definition above them in the same
-    file. References above all definitions belong to none, and nothing refers to itself."""
-    rows = occurrences(table)
+def edges(rows: DataFrame) -> DataFrame:
+    """(caller, callee, uses) of occurrence rows: references to symbols that the index defines, from the last definition above
+    them in the same file. References above all definitions belong to none, and nothing refers to itself."""
     defs = rows.filter("is_def")
     known = defs.select("symbol").distinct()
     scopes = defs.select("repo", "file", "line", F.col("symbol").alias("scope"))
@@ -34,9 +37,8 @@ def edges(table: DataFrame) -> DataFrame:
     return placed.filter("scope is not null and scope <> symbol").groupBy(F.col("scope").alias("caller"), F.col("symbol").alias("callee")).agg(F.count("*").alias("uses"))
 
 
-def external(table: DataFrame) -> DataFrame:
+def external(rows: DataFrame) -> DataFrame:
     """(symbol, uses): references to what no definition of the index holds."""
-    rows = occurrences(table)
     known = rows.filter("is_def").select("symbol").distinct()
     return rows.filter("not is_def").join(known, "symbol", "left_anti").groupBy("symbol").agg(F.count("*").alias("uses"))
 

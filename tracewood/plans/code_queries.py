@@ -163,18 +163,18 @@ links AS (SELECT scope AS caller, symbol AS callee, count(*) AS uses FROM (
 
 @query(f"WITH {_OCC} SELECT * FROM links")
 def scip_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return scip.edges(table(spark, folder, "scip_occurrence"))
+    return scip.edges(scip.occurrences(table(spark, folder, "scip_occurrence")))
 
 
 @query(f"WITH {_OCC} SELECT symbol, count(*) AS uses FROM occ WHERE NOT is_def AND symbol NOT IN (SELECT symbol FROM known) GROUP BY 1")
 def scip_external(spark: SparkSession, folder: str) -> DataFrame:
-    return scip.external(table(spark, folder, "scip_occurrence"))
+    return scip.external(scip.occurrences(table(spark, folder, "scip_occurrence")))
 
 
 @query(f"WITH {_OCC} SELECT symbol, min(name) AS name, count(DISTINCT (repo, file)) AS files FROM defs GROUP BY 1")
 def scip_definitions(spark: SparkSession, folder: str) -> DataFrame:
     rows = scip.occurrences(table(spark, folder, "scip_occurrence")).filter("is_def")
-    return rows.groupBy("symbol").agg(F.min(scip.symbol_name(F.col("symbol"))).alias("name"), F.count_distinct(F.struct("repo", "file")).alias("files"))
+    return rows.groupBy("symbol").agg(F.min("name").alias("name"), F.count_distinct(F.struct("repo", "file")).alias("files"))
 
 
 _TEST = r"(regexp_matches(lower(file), '(^|[/\\])(test|tests|spec|specs|__tests__|testing)[/\\]') OR regexp_matches(lower(regexp_extract(file, '([^/\\]*)$', 1)), '^test_|_test\.|\.test\.|\.spec\.|_spec\.|-test\.|-spec\.') OR regexp_matches(regexp_extract(regexp_extract(file, '([^/\\]*)$', 1), '^([^.]*)', 1), 'Tests?$') OR regexp_matches(name, '^test_|^Test[A-Z_]|^test[A-Z]'))"
@@ -189,10 +189,9 @@ _TEST = r"(regexp_matches(lower(file), '(^|[/\\])(test|tests|spec|specs|__tests_
     SELECT node, file, name FROM loose JOIN (SELECT name, count(*) AS defined FROM loose GROUP BY 1) USING (name) LEFT JOIN seen USING (name) WHERE coalesce(n, 0) <= defined"""
 )
 def find_unused(spark: SparkSession, folder: str) -> DataFrame:
-    occurrences = table(spark, folder, "scip_occurrence")
-    rows = scip.occurrences(occurrences).filter("is_def")
-    defs = rows.groupBy(F.col("symbol").alias("node")).agg(F.min("file").alias("file"), F.min(scip.symbol_name(F.col("symbol"))).alias("name"))
-    return unused.find_unused(defs, scip.edges(occurrences), files(spark, folder).select(F.col("file_id").alias("file"), "text"))
+    rows = scip.occurrences(table(spark, folder, "scip_occurrence"))
+    defs = rows.filter("is_def").groupBy(F.col("symbol").alias("node")).agg(F.min("file").alias("file"), F.min("name").alias("name"))
+    return unused.find_unused(defs, scip.edges(rows), files(spark, folder).select(F.col("file_id").alias("file"), "text"))
 
 
 _DIR = r"regexp_extract(replace(file, '\', '/'), '^((?:[^/]+/){1,2})', 1)"
@@ -466,9 +465,9 @@ def doc_mentions(spark: SparkSession, folder: str) -> DataFrame:
     us AS (SELECT DISTINCT caller, d.name FROM links JOIN defs d ON d.symbol = callee) SELECT DISTINCT caller AS source, target FROM us JOIN u USING (name) WHERE caller <> target"""
 )
 def uses_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    occurrences = table(spark, folder, "scip_occurrence")
-    defs = scip.occurrences(occurrences).filter("is_def").select(F.col("symbol").alias("node"), "file", scip.symbol_name(F.col("symbol")).alias("name"))
-    used = scip.edges(occurrences).select(F.col("caller").alias("node"), scip.symbol_name(F.col("callee")).alias("name")).distinct()
+    rows = scip.occurrences(table(spark, folder, "scip_occurrence"))
+    defs = rows.filter("is_def").select(F.col("symbol").alias("node"), "file", "name")
+    used = scip.edges(rows).select(F.col("caller").alias("node"), scip.symbol_name(F.col("callee")).alias("name")).distinct()
     return resolve.uses_by_name(used, defs)
 
 
@@ -610,11 +609,11 @@ def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def code_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Edges and nodes of the compiler index: every defined symbol is a node, named file#name."""
-    occurrences = table(spark, folder, "scip_occurrence")
-    rows = scip.occurrences(occurrences).filter("is_def").groupBy("symbol").agg(F.min("file").alias("file"), F.min(scip.symbol_name(F.col("symbol"))).alias("name"))
+    found = scip.occurrences(table(spark, folder, "scip_occurrence"))
+    rows = found.filter("is_def").groupBy("symbol").agg(F.min("file").alias("file"), F.min("name").alias("name"))
     ids = resolve.mint(rows.select("file", F.col("symbol").alias("name"), F.lit(0).alias("ordinal"))).select("node", F.col("name").alias("key"))
     nodes = rows.join(ids, rows["symbol"] == ids["key"]).select("node", F.concat("file", F.lit("#"), "name").alias("symbol"), "file", "name", F.lit(True).alias("is_defined"), "key")
-    made = scip.edges(occurrences).join(nodes.select(F.col("key").alias("caller"), F.col("node").alias("src")), "caller").join(nodes.select(F.col("key").alias("callee"), F.col("node").alias("dst")), "callee")
+    made = scip.edges(found).join(nodes.select(F.col("key").alias("caller"), F.col("node").alias("src")), "caller").join(nodes.select(F.col("key").alias("callee"), F.col("node").alias("dst")), "callee")
     edges = made.select("src", "dst", F.lit(0).cast("long").alias("ts"), F.lit(1.0).alias("authority"), F.lit(0).alias("edge_kind"), F.lit(2).alias("confidence"), F.lit(0).cast("long").alias("seq"))
     return edges, nodes.drop("key")
 
