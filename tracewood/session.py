@@ -48,7 +48,8 @@ class Workspace:
     """Written tables of one run below the shared folder, for lineage cuts that survive lost executors.
 
     ``cut`` writes a DataFrame and reads it back, so later plans start from files and have sizes to plan with.
-    ``drop`` removes a table that nothing reads any more.
+    ``drop`` removes a table that nothing reads any more; the rest goes when the application ends, as results that are not
+    evaluated yet still read it.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -57,6 +58,9 @@ class Workspace:
     def cut(self, df: DataFrame, *, buckets: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if self.count == 1:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
         (df.coalesce(buckets) if buckets else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tracewood_path = path
