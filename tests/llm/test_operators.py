@@ -163,6 +163,40 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.limit(0)).collect() == []
 
 
+def _texts(repo, *words):
+    return {f"{repo}/{w}.js": f"// {repo} {w}\n" + "".join(f"export function {w}_{v}(a) {{\n  return a + '{repo} {v}';\n}}\n\n" for v in "alpha beta gamma delta epsilon zeta eta theta".split()) for w in words}
+
+
+def _copied(spark, repos):
+    rows = [(None, repo, path, None, text, None, NEW) for repo, files in repos.items() for path, text in files.items()]
+    df = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], FILES)
+    got = {r["file_id"] for r in handwritten.not_handwritten(df).collect()}
+    return {(r[1], r[2]) for n, r in enumerate(rows) if n in got}
+
+
+def test_shared_subtrees_of_repos_that_are_no_forks(spark):
+    own = {r: _texts(r, *"abcdefghijklmn") for r in ("p", "q")}
+    nested = {f"pkgs/{w}/src/{w}.js": t for w, t in zip("xyz", _texts("lib", *"xyz").values(), strict=True)}
+    # 3 files of 17 in nested directories of one file each
+    got = _copied(spark, {"p": own["p"] | nested, "q": own["q"] | {f"more/{k}": t for k, t in nested.items()}})
+    assert got == {("q", f"more/{k}") for k in nested}
+    # most of q's files are copies of another repo's, below a directory of its own
+    lib = _texts("lib", *"abcdef")
+    got = _copied(spark, {"lib": lib | _texts("lib", *"uvwxyz"), "q": _texts("q", "a", "b") | {f"ext_src/{k}": t for k, t in lib.items()}})
+    assert got == {("q", f"ext_src/{k}") for k in lib}
+
+
+def test_forks_are_one_witness(spark):
+    base, lib = _texts("base", *"abcdefgh"), _texts("lib", *"xyz")
+    # a chain of forks alone shares nothing with unrelated repos
+    chain = {"o": base | _texts("o", *"ij"), "f": base | _texts("f", "i"), "g": {k: t for k, t in base.items() if k[5] in "abcdef"}}
+    assert _copied(spark, chain) == set()
+    # what a fork and its origin took from an unrelated repo is found in both
+    took = {f"inner/{k}": t for k, t in lib.items()}
+    got = _copied(spark, {"o": base | took, "f": base | took, "z": lib | _texts("z", *"abcdefgh")})
+    assert got == {(r, k) for r in "of" for k in took}
+
+
 # ------------------------------------------------------------------ functions and documentation
 
 

@@ -74,6 +74,29 @@ def evidence(repo: Column, parts: Column, text: Column) -> Column:
     )
 
 
+def forks(files: DataFrame, work: Workspace) -> DataFrame:
+    """(repo, origin) of every fork or mirror: a repo more than half of whose files one and the same other repo has with the
+    same text at the same path. Of two such repos the one with more files (of equals the lesser name) is the origin, and a
+    fork's fork has the first one's; together they are one witness of what they share with others.
+
+    ``files``: repo, path, h, g. Files in the same set of repos are counted together before repos are paired.
+    """
+    held = files.distinct()
+    total = held.groupBy("repo").agg(F.count("*").alias("files"))
+    sets = held.groupBy("path", "h", "g").agg(F.count("*").alias("repos"), F.bit_xor(F.xxhash64("repo")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "repo")).alias("t")).filter("repos > 1")
+    common = work.cut(held.join(sets, ["path", "h", "g"]).groupBy("repo", "s", "t").agg(F.count("*").alias("n")))
+    most = common.groupBy("repo").agg(F.sum("n").alias("common")).join(total, "repo").filter(F.col("common") * 2 > F.col("files")).select("repo")
+    near = common.join(most, "repo").join(common.select(F.col("repo").alias("other"), "s", "t"), ["s", "t"]).filter("repo <> other").groupBy("repo", "other").agg(F.sum("n").alias("common"))
+    pairs = near.join(total, "repo").join(total.select(F.col("repo").alias("other"), F.col("files").alias("other_files")), "other").filter(F.col("common") * 2 > F.col("files"))
+    larger = pairs.filter((F.col("other_files") > F.col("files")) | ((F.col("other_files") == F.col("files")) & (F.col("other") < F.col("repo"))))
+    parents = work.cut(larger.groupBy("repo").agg(F.max_by("other", F.struct("common", "other_files", "other")).alias("origin")))
+    while True:  # origins are larger than their forks, so every chain ends; its length halves each time
+        up = parents.select(F.col("repo").alias("origin"), F.col("origin").alias("next"))
+        if parents.join(up, "origin").isEmpty():
+            return parents
+        parents = work.cut(parents.join(up, "origin", "left").select("repo", F.coalesce("next", "origin").alias("origin")))
+
+
 def shared_copies(files: DataFrame, work: Workspace) -> DataFrame:
     """file_id of files below subtrees that unrelated repos share, one home of each subtree left out.
 
@@ -101,10 +124,9 @@ def shared_copies(files: DataFrame, work: Workspace) -> DataFrame:
     nodes = work.cut(nodes.filter(F.col("bytes") >= SHARED_BYTES))
     classes = nodes.groupBy("h", "g").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).filter("first <> last").select("h", "g")
     members = work.cut(nodes.join(classes, ["h", "g"]))
-    # a repo most of whose files lie in shared subtrees is a fork or mirror and no witness
-    total = known.groupBy("repo").agg(F.count("*").alias("files"))
-    forks = members.filter("n = 1").groupBy("repo").agg(F.sum("n").alias("common")).join(total, "repo").filter(F.col("common") * 2 > F.col("files")).select("repo")
-    witnesses = members.join(forks, "repo", "left_anti").groupBy("h", "g").agg(F.min("repo").alias("first"), F.max("repo").alias("last"), F.min(F.struct("vendored", "depth", "repo", "path")).alias("home")).filter("first <> last")
+    kin = forks(known.select("repo", path.alias("path"), "h", "g"), work)
+    told = members.join(kin, "repo", "left").withColumn("fork", F.col("origin").isNotNull()).withColumn("origin", F.coalesce("origin", "repo"))
+    witnesses = told.groupBy("h", "g").agg(F.min("origin").alias("first"), F.max("origin").alias("last"), F.min(F.struct("vendored", "depth", "fork", "repo", "path")).alias("home")).filter("first <> last")
     copies = members.join(witnesses.select("h", "g", "home"), ["h", "g"]).filter((F.col("repo") != F.col("home.repo")) | (F.col("path") != F.col("home.path"))).select("repo", "path").distinct()
     places = known.select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), F.lit(1), k), "/"))).alias("path"))
     return places.join(copies, ["repo", "path"]).select("file_id").distinct()
