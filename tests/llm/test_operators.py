@@ -98,6 +98,29 @@ def test_containers_follow_the_mixture():
         assert np.abs(got - share).max() < 0.03
 
 
+@pytest.mark.parametrize("bucket", [50_000, 700])
+def test_windows_follow_the_mixture_beside_full_pieces(spark, bucket):
+    # most tokens of 'long' are full pieces, which pass no queue; ids are sorted by source
+    rows = [(n, "word " * (700 + n * 37 % 400 if n < 200 else 10 + n * 7 % 40), None, "long" if n < 200 else ("b", "c")[n % 2], 0, None, None, None) for n in range(2200)]
+    kinds = spark.createDataFrame([("s", 256)], "container string, capacity int")
+    got = packing.pack(spark.createDataFrame(rows, DOCS), kinds, bucket_rows=bucket).collect()
+    source = {r[0]: r[3] for r in rows}
+    for mixed in (True, False):  # windows of the mixed containers, and of all of the first round; the second has no full ones
+        used = {}
+        for r in got:
+            if r["tokens"] < 256 if mixed else r["container_no"] < -(-2200 // bucket) << 32:
+                used.setdefault(r["container_no"], []).append((source[r["doc_id"]], r["tokens"]))
+
+        def mixture(numbers, used=used):
+            sums = {q: sum(n for c in numbers for s, n in used[c] if s == q) for q in ("long", "b", "c")}
+            return np.array([*sums.values()]) / sum(sums.values())
+
+        order = sorted(used)
+        for k in range(4):
+            part = order[len(order) * k // 4 : len(order) * (k + 1) // 4]
+            assert np.abs(mixture(part) - mixture(order)).max() < 0.06, (mixed, k, mixture(part), mixture(order))
+
+
 @pytest.mark.parametrize("bucket", [50_000, 7])
 def test_pack(spark, bucket):
     rows = [(n, "word " * (n * 7 % 90), None, ["a", "b", None][n % 3], 0, None, None, None) for n in range(60)]

@@ -2,10 +2,12 @@
 
 Mixture-controlled packing by deficit round-robin. Documents are spread evenly over buckets of about ``BUCKET`` rows (by
 hash, so that no source crowds one). In a bucket every source is a queue with a deficit: the tokens it should have had so far
-by its share of the corpus, less those it had. A container takes from the queue with the largest deficit the largest text
+by its share of what is packed, less those it had. A container takes from the queue with the largest deficit the largest text
 that still fits, until nothing fits; deficits go on to the next container. What a bucket hands to the next one is known
 beforehand, as it places all its tokens: its deficits at the end are prefix sums of tokens per bucket and source. So
-buckets are packed in parallel and still carry deficits across their borders. Containers left less than ``FULL`` are opened
+buckets are packed in parallel and still carry deficits across their borders. Full pieces of long texts are containers by
+themselves and pass no queue, so shares and deficits count, kind by kind, only what is left; full containers are spread evenly
+by source among the mixed ones. Containers left less than ``FULL`` are opened
 again and their texts packed together over all buckets in a second, much smaller round.
 """
 
@@ -67,23 +69,35 @@ def fill(sizes: np.ndarray, queue: np.ndarray, share: np.ndarray, deficit: np.nd
     return where
 
 
+def spread(queue: np.ndarray) -> np.ndarray:
+    """Order of items of equal size in which every stretch holds the queues about in proportion; ties go to the first queue."""
+    order = np.argsort(queue, kind="stable")
+    _, first, counts = np.unique(queue[order], return_index=True, return_counts=True)
+    place = (np.arange(len(queue)) - np.repeat(first, counts) + 0.5) / np.repeat(counts, counts)
+    return order[np.argsort(place, kind="stable")]
+
+
 def _pack(kinds: list[tuple[str, int]]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(docs: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
         carry = carry.sort_values("line", kind="stable").reset_index(drop=True)
-        place = {q: i for i, q in enumerate(carry["line"])}
+        carries = dict(list(carry.groupby("kind")))
+        place = {q: i for i, q in enumerate(carries[kinds[0][0]]["line"])}  # every kind has the bucket's queues
         queues = docs["queue"].map(place).to_numpy()
         sizes = docs["n_tokens"].to_numpy()
-        share, owed = carry["share"].to_numpy(), carry["carry"].to_numpy()
         base = int(docs["bucket"].iloc[0]) << 32
         out = []
         for kind, capacity in kinds:
             rows, start, length = pieces(sizes, capacity)
             number = np.full(len(rows), -1, dtype=np.int64)
             whole = length == capacity
-            number[whole] = np.arange(whole.sum())
             rest = ~whole & (length > 0)
-            number[rest] = whole.sum() + fill(length[rest], queues[rows[rest]], share, owed, capacity)
+            mixed = fill(length[rest], queues[rows[rest]], carries[kind]["share"].to_numpy(), carries[kind]["carry"].to_numpy(), capacity)
+            full, some = int(whole.sum()), int(mixed.max(initial=-1)) + 1
+            turn = np.concatenate([(np.arange(full) + 0.5) / max(1, full), (np.arange(some) + 0.5) / max(1, some)])
+            turn[np.argsort(turn, kind="stable")] = np.arange(full + some)
+            number[np.flatnonzero(whole)[spread(queues[rows[whole]])]] = turn[:full]
+            number[rest] = turn[full:].astype(np.int64)[mixed]
             out.append(pd.DataFrame({"container": kind, "container_no": pd.array(np.where(number < 0, -1, number + base), dtype="Int64"), "doc_id": docs["doc_id"].to_numpy()[rows], "piece": (start // capacity).astype("int32"), "token_start": start, "tokens": length, "queue": docs["queue"].to_numpy()[rows]}))
             out[-1].loc[number < 0, "container_no"] = pd.NA
         return pd.concat(out, ignore_index=True)
@@ -101,6 +115,20 @@ def _again(pdf: pd.DataFrame, capacities: dict[str, int], shares: pd.DataFrame)
     return pdf.assign(container_no=number + (int(pdf["again"].iloc[0]) << 32))
 
 
+def carries(by: DataFrame) -> DataFrame:
+    """(kind, to, line, share, carry) of (kind, step, queue, own): each queue's share of a kind's tokens, and the deficit with
+    which it comes to a step, as every step places all its tokens."""
+    whole = by.groupBy("kind", "queue").agg(F.sum("own").alias("q_sum"))
+    total = by.groupBy("kind").agg(F.sum("own").alias("all_sum"))
+    steps = by.groupBy("kind", "step").agg(F.sum("own").alias("b_sum"))
+    before = Window.partitionBy("kind").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a row per step, not per document
+    steps = steps.withColumn("b_before", F.coalesce(F.sum("b_sum").over(before), F.lit(0)))
+    earlier = Window.partitionBy("kind", "queue").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    told = by.withColumn("q_before", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(steps, ["kind", "step"]).join(whole, ["kind", "queue"]).join(total, "kind")
+    share = F.col("q_sum") / F.greatest(F.col("all_sum"), F.lit(1))
+    return told.select("kind", F.col("step").alias("to"), F.col("queue").alias("line"), share.alias("share"), (share * F.col("b_before") - F.col("q_before")).alias("carry"))
+
+
 def pack(docs: DataFrame, kinds: DataFrame, vocabulary: str = VOCABULARY, bucket_rows: int = BUCKET, work: Workspace | None = None) -> DataFrame:
     """container, container_no, doc_id, piece, token_start, tokens: each text's place in each kind of container.
 
@@ -119,16 +147,9 @@ def pack(docs: DataFrame, kinds: DataFrame, vocabulary: str = VOCABULARY, bucket
     sized = work.cut(count_tokens(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("queue")), ["doc_id", "queue"], vocabulary=vocabulary))
     buckets = max(1, -(-sized.count() // bucket_rows))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    by = sized.groupBy("bucket", "queue").agg(F.sum("n_tokens").alias("own"))
-    whole = by.groupBy("queue").agg(F.sum("own").alias("q_sum"))
-    total = by.agg(F.sum("own").alias("all_sum"))
-    steps = by.groupBy("bucket").agg(F.sum("own").alias("b_sum"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket, not per document
-    steps = steps.withColumn("b_before", F.coalesce(F.sum("b_sum").over(before), F.lit(0)))
-    earlier = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = by.withColumn("q_before", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(steps, "bucket").join(whole, "queue").join(F.broadcast(total))
-    share = F.col("q_sum") / F.greatest(F.col("all_sum"), F.lit(1))
-    carry = carry.select(F.col("bucket").alias("to"), F.col("queue").alias("line"), share.alias("share"), (share * F.col("b_before") - F.col("q_before")).alias("carry"))
+    queued = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.pmod("n_tokens", F.lit(c)).alias("left")) for k, c in kind_list]))  # without full pieces
+    by = sized.select("bucket", "queue", queued.alias("q")).groupBy(F.col("q.kind").alias("kind"), F.col("bucket").alias("step"), "queue").agg(F.sum("q.left").alias("own"))
+    carry = carries(by)
     first = work.cut(sized.groupBy("bucket").cogroup(carry.groupBy("to")).applyInPandas(_pack(kind_list), f"{SCHEMA}, queue string"))
     capacities = dict(kind_list)
     caps = F.create_map(*[x for k, c in kind_list for x in (F.lit(k), F.lit(c))])
