@@ -121,6 +121,18 @@ def test_windows_follow_the_mixture_beside_full_pieces(spark, bucket):
             assert np.abs(mixture(part) - mixture(order)).max() < 0.06, (mixed, k, mixture(part), mixture(order))
 
 
+def test_second_round_follows_the_mixture_of_many_sources(spark):
+    # more sources than any fixed number of them; nearly all texts fit no first-round container to the full
+    rows = [(n, "word " * 20, None, "hot" if n < 200 else f"s{n}", 0, None, None, None) for n in range(400)]
+    rows += [(n, "", None, f"s{n}", 0, None, None, None) for n in range(1000, 101_200)]
+    kinds = spark.createDataFrame([("s", 500)], "container string, capacity int")
+    got = [r for r in packing.pack(spark.createDataFrame(rows, DOCS), kinds, bucket_rows=1_000_000).collect() if r["tokens"]]
+    assert all(r["container_no"] >> 32 for r in got)  # all of the second round
+    order = sorted({r["container_no"] for r in got})
+    hot = [sum(r["tokens"] for r in got if r["container_no"] == c and int(r["doc_id"]) < 200) / sum(r["tokens"] for r in got if r["container_no"] == c) for c in order]
+    assert max(abs(x - 0.5) for x in hot[1:-1]) < 0.1, hot  # no queue has a deficit before the first container is full
+
+
 @pytest.mark.parametrize("bucket", [50_000, 7])
 def test_pack(spark, bucket):
     rows = [(n, "word " * (n * 7 % 90), None, ["a", "b", None][n % 3], 0, None, None, None) for n in range(60)]

@@ -8,7 +8,7 @@ beforehand, as it places all its tokens: its deficits at the end are prefix sums
 buckets are packed in parallel and still carry deficits across their borders. Full pieces of long texts are containers by
 themselves and pass no queue, so shares and deficits count, kind by kind, only what is left; full containers are spread evenly
 by source among the mixed ones. Containers left less than ``FULL`` are opened
-again and their texts packed together over all buckets in a second, much smaller round.
+again and their texts packed together over all buckets in a second, much smaller round, in the same way.
 """
 
 from __future__ import annotations
@@ -105,13 +105,13 @@ def _pack(kinds: list[tuple[str, int]]) -> Callable[[pd.DataFrame, pd.DataFrame]
     return run
 
 
-def _again(pdf: pd.DataFrame, capacities: dict[str, int], shares: pd.DataFrame) -> pd.DataFrame:
+def _again(pdf: pd.DataFrame, carry: pd.DataFrame, capacities: dict[str, int]) -> pd.DataFrame:
     """Packs the texts of opened containers of one kind and group again."""
     kind = pdf["container"].iloc[0]
     pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-    queues, names = pd.factorize(pdf["queue"], sort=True)
-    share = shares.set_index("queue")["share"].reindex(names).fillna(0).to_numpy()
-    number = fill(pdf["tokens"].to_numpy(), queues, share, np.zeros(len(names)), capacities[kind])
+    carry = carry.sort_values("line", kind="stable").reset_index(drop=True)
+    queues = pdf["queue"].map({q: i for i, q in enumerate(carry["line"])}).to_numpy()
+    number = fill(pdf["tokens"].to_numpy(), queues, carry["share"].to_numpy(), carry["carry"].to_numpy(), capacities[kind])
     return pdf.assign(container_no=number + (int(pdf["again"].iloc[0]) << 32))
 
 
@@ -158,13 +158,10 @@ def pack(docs: DataFrame, kinds: DataFrame, vocabulary: str = VOCABULARY, bucket
     told = first.join(opened, ["container", "container_no"], "left")
     # groups of opened texts hold few rows of each bucket; their number follows that of the buckets
     loose = told.filter("opened").withColumn("again", F.lit(buckets) + F.pmod(F.xxhash64("doc_id"), F.lit(max(1, buckets // 16))))
-    mixture = sized.groupBy("queue").agg(F.sum("n_tokens").alias("t"))
-    shares = pd.DataFrame(columns=["queue", "share"])
-    if mixture.count() <= 100_000:  # a mixture of so many sources fits a closure; with more, the second round goes by size alone
-        shares = mixture.toPandas()
-        shares["share"] = shares["t"] / max(1, shares["t"].sum())
-    packed = loose.select("container", "container_no", "doc_id", "piece", "token_start", "tokens", "queue", "again").groupBy("container", "again").applyInPandas(
-        lambda pdf: _again(pdf, capacities, shares)[["container", "container_no", "doc_id", "piece", "token_start", "tokens"]], SCHEMA
+    carry = carries(loose.groupBy(F.col("container").alias("kind"), F.col("again").alias("step"), "queue").agg(F.sum("tokens").alias("own")))
+    loose = loose.select("container", "container_no", "doc_id", "piece", "token_start", "tokens", "queue", "again")
+    packed = loose.groupBy("container", "again").cogroup(carry.groupBy("kind", "to")).applyInPandas(
+        lambda pdf, carry: _again(pdf, carry, capacities)[["container", "container_no", "doc_id", "piece", "token_start", "tokens"]], SCHEMA
     )
     placed = told.filter("opened is null").select(*[c.split()[0] for c in SCHEMA.split(", ")]).unionByName(packed)
     return placed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
