@@ -77,6 +77,17 @@ def test_tombstones_mask_parallel_edges(spark):
     assert sorted((r["src"], r["dst"], r["confidence"]) for r in got.collect()) == [(1, 2, 1), (2, 3, 1)]
 
 
+def test_every_deny_rule_counts(spark):
+    pairs = spark.createDataFrame([("a/b.py", "c/d.py", 2), ("a/b.py", "c/d.py.x", 0), ("ab/b.py", "c", 2), ("/r", "c", 2), (None, "c", 2)], "from_file string, to_file string, confidence int")
+    many = spark.range(10_500).selectExpr("'many' as rule", "'a' as from_path", "'c' as to_path", "1 as floor")
+    assert graph.denied(pairs, many).count() == 10_500
+    rules = [(p, p, q, f) for p in ("a", "a/b", "a/b.py", "a/", "b.py", "", "ab", "a/b.p") for q, f in (("c", 0), ("c/d", 1), ("d", 0))]
+    got = graph.denied(pairs, spark.createDataFrame(rules, "rule string, from_path string, to_path string, floor int")).collect()
+    covers = lambda p, f: f == p or f.startswith((p + "/", p + "."))
+    want = [(r, a, b, c) for r, p, q, f in rules for a, b, c in [tuple(x) for x in pairs.collect()] if a is not None and covers(p, a) and covers(q, b) and c >= f]
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
+
+
 def test_cohesion_against_all_pairs(spark):
     rng = random.Random(3)
     pairs = {tuple(sorted(rng.sample(range(15), 2))) for _ in range(45)}

@@ -193,10 +193,11 @@ def covers(pattern, file):
 def denied(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule, from_file, to_file, confidence): file edges that a deny rule (rule, from_path, to_path, floor) forbids.
 
-    Rules are a small table written by hand, so each file edge is held against all of them.
+    A rule's path that covers a file is one of its prefixes, so edges meet their rules by equality, however many there are.
     """
-    hit = covers(F.col("from_path"), F.col("from_file")) & covers(F.col("to_path"), F.col("to_file")) & (F.col("confidence") >= F.col("floor"))
-    return pairs.join(F.broadcast(rules.limit(10_000)), hit).select("rule", "from_file", "to_file", "confidence")
+    ends = F.filter(F.sequence(F.lit(1), F.length("from_file") + 1), lambda i: (i > F.length("from_file")) | F.substring(F.col("from_file"), i, F.lit(1)).isin("/", "."))
+    reached = pairs.withColumn("from_path", F.explode(F.transform(ends, lambda i: F.substring(F.col("from_file"), F.lit(1), i - 1))))
+    return reached.join(rules, "from_path").filter(covers(F.col("to_path"), F.col("to_file")) & (F.col("confidence") >= F.col("floor"))).select("rule", "from_file", "to_file", "confidence")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
