@@ -117,3 +117,8 @@ def test_states_rules_and_rates(spark):
     rates = {(r["repo"], r["language"]): (r["files"], r["malformed"], r["rate"]) for r in syntax.malformed_rates(syntax.parse_files(files, rules)).collect()}
     assert rates == {("r", "python"): (1, 1, 1.0), ("r", "javascript"): (2, 0, 0.0), (None, "javascript"): (1, 1, 1.0)}
     assert syntax.parse_files(files.limit(0), rules).collect() == [] and syntax.parse_files(files, rules.limit(0)).collect() == []
+
+
+def test_binary_is_told_by_the_whole_text():
+    assert syntax.failure("python", "x = 1\n" * 200 + "y = \ufffd\ufffd (\n")[1] == "binary"
+    assert syntax.failure("python", "x = 1\n" * 200 + "y = (\n")[1] == "truncated"

@@ -67,7 +67,7 @@ def failure(language: str, text: str) -> tuple[int, str]:
     _, far = grammar(language).build(True)(tokens.types, tokens.breaks, tokens.gaps)
     far = min(far, len(tokens.types) - 1)
     at, kind = tokens.starts[far], tokens.types[far]
-    if "\0" in text or "�" in text[:512]:
+    if "\0" in text or "�" in text:
         cause = "binary"
     elif _MARKER.search(text):
         cause = "merge conflict"
