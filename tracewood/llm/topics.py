@@ -1,11 +1,11 @@
-"""Subjects of each text: a classifier chain over term, source and structure features, decoded by beam search.
+"""Subjects of each text: a classifier chain over term and structure features, decoded by beam search.
 
 1. A bounded sample of labelled documents (``SAMPLE``, by hash of the id) gives the words that are typical of one subject.
 2. ``ROUNDS`` passes over all documents let sentences that hold typical words of one subject only (or none, in a document of one
    subject) vouch for their other words, so that words few labels or none have met are learned as well.
 3. Sentences with a single typical word are weighed by their other words: in the sample these tell a passing mention or
    a comparison ("not to be mixed up with the ... of the same name") from a sentence that deals with its word.
-4. Per document and subject the evidence becomes a few features. A chain of calibrated logistic links decides subject after
+4. Per document and subject the evidence becomes a few features. A chain of logistic links with pooled weights decides subject after
    subject, each seeing the subjects chosen so far and how they go together in the sample; beam search finds the best set.
 """
 
