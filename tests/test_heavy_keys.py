@@ -17,3 +17,21 @@ def test_figures_and_shares(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert symbol_figures(df).collect() == [] and heavy_symbols(df).collect() == []
+
+
+def test_each_plan_scans_and_shuffles_rows_once(spark, tmp_path):
+    spark.createDataFrame([(n, "r", f"f{n}", "s", 0) for n in range(9)], SCHEMA).write.parquet(str(tmp_path / "o"))
+    plan = symbol_figures(spark.read.parquet(str(tmp_path / "o")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2  # rows by (key, group), states by key
+
+
+def test_shared_folder_is_required_off_one_host():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tracewood.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))

@@ -1,9 +1,9 @@
 """Per-key results where a few keys hold most rows.
 
-Every step groups by a key that is spread evenly (a row id, or key and group together) before it groups by the
-skewed key, and every grouping is an algebraic aggregate that Spark combines on the map side: bounded hash tables
-per partition that spill mergeable states. Only one compact state per key and partition is shuffled on the skewed key,
-so the work of a heavy key is bounded by the number of partitions and not by its rows.
+Map-side combining: rows meet once on something evenly spread (their id, or key and group together), where repeated rows fall
+away; each of those partitions then combines what it holds into one compact, mergeable state per key, in hash tables that
+spill, and only these states are shuffled on the skewed key. The work of a heavy key is bounded by the number of partitions and
+not by its rows. All aggregates are native algebraic ones.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewood.functions.text import fingerprint, global_symbol, trimmed
+from tracewood.session import Workspace
 
 
 def key_figures(rows: DataFrame, key: Column, uid: str, group: list[str], flag: Column) -> DataFrame:
@@ -21,24 +22,23 @@ def key_figures(rows: DataFrame, key: Column, uid: str, group: list[str], flag:
     from its copies and counts not at all; null parts of ``group`` are values. No rows give no rows.
     """
     a, b = fingerprint(*group)
-    one = (
-        rows.select(F.col(uid).alias("_uid"), key.alias("_key"), a.alias("_g1"), b.alias("_g2"), F.coalesce(flag, F.lit(False)).alias("_flag"))
-        .filter(F.col("_key").isNotNull() & F.col("_uid").isNotNull())
-        .groupBy("_uid", "_key", "_g1", "_g2")
-        .agg(F.max("_flag").alias("_flag"))
-    )
-    spread = one.groupBy("_key", "_g1", "_g2").agg(F.count("*").alias("_uses"), F.sum(F.col("_flag").cast("long")).alias("_flagged"))
+    told = rows.select(F.col(uid).alias("_uid"), key.alias("_key"), a.alias("_g1"), b.alias("_g2"), F.coalesce(flag, F.lit(False)).alias("_flag")).filter(F.col("_key").isNotNull() & F.col("_uid").isNotNull())
+    # the one shuffle of rows; both groupings below find theirs together
+    once = told.repartition("_key", "_g1", "_g2").groupBy("_key", "_g1", "_g2", "_uid").agg(F.max("_flag").alias("_flag"))
+    spread = once.groupBy("_key", "_g1", "_g2").agg(F.count("*").alias("_uses"), F.sum(F.col("_flag").cast("long")).alias("_flagged"))
     return spread.groupBy("_key").agg(F.sum("_uses").alias("uses"), F.count("*").alias("groups"), F.sum("_flagged").alias("flagged"))
 
 
-def keys_above_share(rows: DataFrame, key: Column, uid: str, share: tuple[int, int]) -> DataFrame:
+def keys_above_share(rows: DataFrame, key: Column, uid: str, share: tuple[int, int], work: Workspace | None = None) -> DataFrame:
     """Keys that hold at least ``share`` (numerator, denominator) of all distinct uids, those without a key included.
 
-    One shuffle on the evenly spread uid drops repeated rows; its partitions give compact states per key. The total comes
-    from the same states, as keyless uids have a state of their own. No rows give no rows.
+    One scan and one shuffle of rows, on the evenly spread uid: it drops repeated rows, and its partitions give compact states
+    per key. The states are written once; keys and total are both read from them, as keyless uids have a state of their own.
+    No rows give no rows.
     """
-    once = rows.select(F.col(uid).alias("_uid"), key.alias("_key")).filter(F.col("_uid").isNotNull()).distinct()
-    counts = once.groupBy("_key").agg(F.count("*").alias("_n"))
+    work = work or Workspace(rows.sparkSession, "heavy-keys")
+    once = rows.select(F.col(uid).alias("_uid"), key.alias("_key")).filter(F.col("_uid").isNotNull()).repartition("_uid").distinct()
+    counts = work.cut(once.groupBy("_key").agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n").alias("_total"))
     top, bottom = share
     return counts.join(F.broadcast(total), F.col("_n") * bottom >= F.col("_total") * top).filter(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), F.col("_n").alias("uses"), F.col("_total").alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,9 +36,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where it is unset, a session whose executors are
+    its driver (tests, ``local[n]``) gets a temporary one; any other is refused, as its hosts share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tracewood-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = f"file://{folder}"
