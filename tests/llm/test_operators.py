@@ -3,6 +3,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,16 +52,42 @@ PIECES = st.sampled_from(["don't", "'s", " 're", "\n\n", "  ", "\t", "é", "日
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(PIECES, max_size=25).map("".join), st.integers(1, 9))
-def test_fragments_encode_as_the_whole(text, size):
+@given(st.lists(PIECES, max_size=25).map("".join))
+def test_fragments_encode_as_the_whole(text):
     with_vocabulary = tokens.coder()
-    parts = with_vocabulary.fragments(text, size)
+    parts = with_vocabulary.fragments(text)
     assert "".join(parts) == text
-    ids, offsets = with_vocabulary.encode([text, None, "", text], size)
+    ids, offsets = with_vocabulary.encode([text, None, "", text])
     want = with_vocabulary.coding.encode_ordinary(text)
     assert list(ids[: offsets[1]]) == want == list(ids[offsets[3] :]) and offsets[1] == offsets[3]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_encodes_as_the_whole(text):
+    ids, _ = tokens.coder().encode([text])
+    assert list(ids) == tokens.coder().coding.encode_ordinary(text)
+
+
+def test_every_certain_place_is_cut():
+    with_vocabulary = tokens.coder()
+    text = "every word, of (this) long text is cut " * 3
+    inside = {t[k : k + 2] for t in with_vocabulary.coding.token_byte_values() for k in range(len(t) - 1)}
+    certain = [k for k in range(1, len(text)) if not text[k - 1].isspace() and text[k] != "'" and text[k - 1 : k + 1].encode() not in inside]
+    places = np.cumsum([len(p) for p in with_vocabulary.fragments(text)])[:-1]
+    assert list(places) == certain and len(certain) > 20
+    for wide in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)):
+        assert all(p[-1] != wide for p in with_vocabulary.fragments(f"a{wide}b{wide}c"))  # it looks ahead
+
+
+def test_windows_of_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 50)
+    texts = ["", None, "a" * 500, "b c " * 20, None, "d", ""] * 5
+    ids, offsets = tokens.coder().encode(pa.array(texts).slice(2))
+    for k, t in enumerate(texts[2:]):
+        assert list(ids[offsets[k] : offsets[k + 1]]) == tokens.coder().coding.encode_ordinary(t or "")
+
+
 def test_encoding_decodes_to_the_text(spark):
     with open(tokens.VOCABULARY, "rb") as f:
         words = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
