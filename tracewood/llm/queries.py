@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewood.llm.handwritten import not_handwritten
-from tracewood.llm.packing import fill_report, pack
+from tracewood.llm.packing import fill_report, mixture_report, pack
 from tracewood.llm.pairs import code_pairs, documented_functions
 from tracewood.llm.syntax import malformed_rates, parse_files
 from tracewood.llm.terms import all_terms
@@ -65,6 +65,10 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_containers(spark, folder), table(spark, folder, "container_kind"))
 
 
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture_report(p8_containers(spark, folder), table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
 
@@ -73,7 +77,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return composition(p9_found(spark, folder), table(spark, folder, "documents"))
 
 
-_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p5_found, p5_pairs, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)
+_ALL = (p1_found, p1_terms, p2_found, p2_reasons, p5_found, p5_pairs, p6_found, p6_causes, p6_rates, p7_ids, p8_containers, p8_fill, p8_mixture, p9_found, p9_composition)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SYMBOL = r"CASE WHEN trim(symbol, E' \t') <> '' AND NOT starts_with(trim(symbol, E' \t'), 'local ') THEN trim(symbol, E' \t') END"
