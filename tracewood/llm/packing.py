@@ -78,6 +78,14 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return where, used
 
 
+def spread(group: np.ndarray) -> np.ndarray:
+    """Order in which every stretch holds the groups about in proportion; a group's members keep theirs."""
+    order = np.argsort(group, kind="stable")
+    _, first, counts = np.unique(group[order], return_index=True, return_counts=True)
+    place = (np.arange(len(group)) - np.repeat(first, counts) + 0.5) / np.repeat(counts, counts)
+    return order[np.argsort(place, kind="stable")]
+
+
 def fill(sizes: np.ndarray, queue: np.ndarray, share: np.ndarray, deficit: np.ndarray, capacity: int, window: int = WINDOW) -> np.ndarray:
     """Container number of each item (0 < size <= capacity), in rounds of ``window`` containers."""
     number = np.full(len(sizes), -1, dtype=np.int64)
@@ -96,15 +104,23 @@ def fill(sizes: np.ndarray, queue: np.ndarray, share: np.ndarray, deficit: np.nd
         for c, item in zip(where, items, strict=True):
             if waits[item] == WAITS:
                 keep[c] = True
-        place: dict[int, int] = {}  # containers in the order of their first item, so that a window's parts are alike as well
-        for k, item in enumerate(items):
-            c = where[k]
+        # containers in the order of their items, those of one item (by queue) spread among the rest, so that parts of a window are alike
+        count = np.bincount(where)
+        at = np.bincount(where, weights=np.arange(len(items))) / count
+        alone = np.full(len(used), -1)
+        alone[where] = queue[items]
+        alone[count > 1] = -1
+        kept = np.flatnonzero(keep)
+        kept = kept[np.argsort(at[kept], kind="stable")]
+        kept = kept[spread(alone[kept])].tolist()
+        place = {c: base + k for k, c in enumerate(kept)}
+        base += len(kept)
+        for c, item in zip(where, items, strict=True):
             if keep[c]:
-                number[item] = base + place.setdefault(c, len(place))
+                number[item] = place[c]
             else:
                 held.append(item)
                 waits[item] += 1
-        base += len(place)
     return number
 
 
