@@ -311,37 +311,74 @@ def test_says_something(doc, signature, want):
 REG = "node long, file_id long, repo string, symbol string, docs string, spans struct<start:int,end:int>, read_at timestamp"
 
 
+def _span(text, start, end):
+    a = text.index(start)
+    return (len(text[:a].encode()), len(text[: text.index(end, a) + len(end)].encode()))
+
+
 def test_documented_functions(spark):
     py = "# Ö head\nLIMIT = 3\n\n# Waits for the pump.\n@deco\ndef wait(a):\n    return a\n\ndef bare(a):\n    # Not above.\n    return a\n\n\ndef quoted(a):\n    '''Fails when empty.'''\n\nclass Box:\n    '''Holds rows.'''\n    def take(self):\n        '''take'''\n        s = '''\ndef fake(): pass\n'''\n"
     js = "/** Rounds half up. */\r\nexport const round = async (x) => {\r\n  return `a ${x}\n// Never.\nfunction no() {}`;\r\n};\r\n\r\n// Far.\r\n\r\nfunction far(x) {\r\n  return x;\r\n}\r\nclass K {\r\n  // Only once.\r\n  go(x) {\r\n    if (x) { return 1; }\r\n  }\r\n}\r\n"
-
-    def span(text, start, end=None):
-        a = text.encode().index(start.encode())
-        return (a, a + len((end or start).encode()))
-
-    d = NEW
+    d, far = NEW, _span(js, "function far", "x;\r\n}")
     rows = [
-        (1, 1, "r", "a.py#wait", None, span(py, "def wait"), d), (2, 1, "r", "a.py#bare", None, span(py, "def bare"), d), (3, 1, "r", "a.py#quoted", None, span(py, "def quoted"), d), (4, 1, "r", "a.py#Box", "Holds rows.", span(py, "class Box"), d), (5, 1, "r", "a.py#Box.take", None, span(py, "def take"), d),
-        (6, 1, "r", "a.py#LIMIT", "Upper bound.", span(py, "LIMIT"), d), (7, 2, "r", "b.js#round", None, span(js, "export const round"), d), (8, 2, "r", "b.js#far", None, span(js, "function far"), d), (9, 2, "r", "b.js#K.go", None, span(js, "go(x)"), d), (10, 2, "r", "b.js#far", "Linear time.", span(js, "function far"), d),
-        (11, 2, "r", "b.js#far", " ", span(js, "function far"), d), (12, 2, "r", "b.js#far", "Linear time.", (5, 99_999), d), (13, 2, "r", "b.js#far", "Linear time.", None, d), (14, None, "r", None, "Linear time.", (0, 4), d), (15, 9, "r", "z.py#x", "Linear time.", (0, 4), d), (None, 1, "r", "a.py#wait", "Linear time.", span(py, "def wait"), d),
-        (16, 1, "r", "a.py#wait", "Old words.", span(py, "def wait"), OLD), (16, 1, "r", "a.py#wait", "TODO", span(py, "def wait"), d), (16, 1, "r", "a.py#wait", "TODO", span(py, "def wait"), d), (17, 2, "r", "b.js#no", None, span(js, "function no"), d), (18, 1, "r", "a.py#fake", "Linear time.", span(py, "def fake"), d), (19, 2, "r", "b.js#far", "Linear time.", (-1, 3), None),
+        (1, 1, "r", "a.py#wait", None, _span(py, "def wait", "return a"), d), (2, 1, "r", "a.py#bare", None, _span(py, "def bare", "return a"), d), (3, 1, "r", "a.py#quoted", None, _span(py, "def quoted", "empty.'''"), d), (4, 1, "r", "a.py#Box", "Holds rows.", _span(py, "class Box", "fake(): pass\n'''"), d), (5, 1, "r", "a.py#Box.take", None, _span(py, "def take", "fake(): pass\n'''"), d),
+        (6, 1, "r", "a.py#LIMIT", "Upper bound.", _span(py, "LIMIT", "3"), d), (7, 2, "r", "b.js#round", None, _span(js, "export const round", "};"), d), (8, 2, "r", "b.js#far", None, far, d), (9, 2, "r", "b.js#K.go", None, _span(js, "go(x)", "}\r\n  }"), d), (10, 2, "r", "b.js#far", "Linear time.", far, d),
+        (11, 2, "r", "b.js#far", " ", far, d), (12, 2, "r", "b.js#far", "Linear time.", (5, 99_999), d), (13, 2, "r", "b.js#far", "Linear time.", None, d), (14, None, "r", None, "Linear time.", (0, 4), d), (15, 9, "r", "z.py#x", "Linear time.", (0, 4), d), (None, 1, "r", "a.py#wait", "Linear time.", _span(py, "def wait", "return a"), d),
+        (16, 1, "r", "a.py#wait", "Old words.", _span(py, "def wait", "return a"), OLD), (16, 1, "r", "a.py#wait", "TODO", _span(py, "def wait", "return a"), d), (16, 1, "r", "a.py#wait", "TODO", _span(py, "def wait", "return a"), d), (17, 2, "r", "b.js#no", None, _span(js, "function no", "{}"), d), (18, 1, "r", "a.py#fake", "Linear time.", _span(py, "def fake", "pass"), d), (19, 2, "r", "b.js#far", "Linear time.", (-1, 3), None),
+        (20, 2, "r", "b.js#far", "Linear time.", (far[0], far[1] - 3), d), (21, 2, "r", "b.js#far", "Linear time.", (far[0], far[1] + 9), d), (22, 2, "r", "b.js#K.go", "Linear time.", _span(js, "go(x)", "return 1; }"), d), (23, 1, "r", "a.py#wait", "Linear time.", _span(py, "# Waits", "return a"), d), (24, 1, "r", "a.py#wait", "Linear time.", _span(py, "def wait", "return"), d),
     ]
     files = [(1, "r", "a.py", None, "gone", 1, OLD), (1, "r", "a.py", None, py, 1, NEW), (1, "r", "a.py", None, py, 1, NEW), (2, "r", "b.js", None, js, 1, NEW), (9, "r", "z.py", None, None, 0, NEW), (9, "r", "z.py", None, "def x(): pass", 0, OLD), (8, "r", "y.py", None, "", 0, NEW), (None, "r", "y.py", None, "def x(): pass", 0, NEW)]
-    reg = spark.createDataFrame(rows, REG).selectExpr("*", "1 as start", "2 as place", "'q' as name")
+    reg = spark.createDataFrame(rows, REG).selectExpr("*", "1 as start", "2 as place", "'q' as name", "4 as ends")
     docs = spark.createDataFrame(files, FILES).selectExpr("*", "1 as uid", "2 as line", "3 as kind", "4 as at")
     got = {r["node"]: r["description"] for r in pairs.documented_functions(reg, docs).collect()}
-    assert sorted(got) == [1, 3, 7, 9, 10] and got[1] == "# Waits for the pump." and got[3] == "Fails when empty."
+    assert sorted(got) == [1, 3, 7, 9, 10, 23] and got[1] == "# Waits for the pump." and got[3] == "Fails when empty."
     code = {r["node"]: r["code"] for r in pairs.code_pairs(reg, docs).collect()}
-    assert code[1] == "def wait" and code[7] == "export const round"
+    assert code[1] == "def wait(a):\n    return a" and code[7].startswith("export const round") and code[7].endswith("};")
     assert pairs.documented_functions(reg.limit(0), docs).collect() == [] and pairs.documented_functions(reg, docs.limit(0)).collect() == []
 
 
-def test_units_find_their_ends(spark):
-    js = "function a() {\n  if (x) {\n    y('}');\n  }\n}\nfunction b() {\n"
-    py = "def a():\n    if x:\n        y\n\ndef b():\n    z\n"
-    rows = spark.createDataFrame([(1, "r", "a.js", None, js, 1, NEW), (2, "r", "a.py", None, py, 1, NEW)], FILES)
-    got = {(r["file_id"], r["name"]): r["ends"] for r in pairs.function_units(rows).collect()}
-    assert got == {(1, "a"): True, (1, "b"): False, (2, "a"): True, (2, "b"): got[(2, "b")]}
+CASES = {
+    "several on a line": ("js", "function a(x) { return {k: x}; } function b(y) { if (y) { z(); } }\n", {"a": "function a(x) { return {k: x}; }", "b": "function b(y) { if (y) { z(); } }"}),
+    "behind a statement": ("js", "var q = 1; function c(x) {\n  return x;\n}\n", {"c": "function c(x) {\n  return x;\n}"}),
+    "unclosed": ("js", "function a() {\n  if (x) {\n    y('}');\n  }\n}\nfunction b() {\n", {"a": "function a() {\n  if (x) {\n    y('}');\n  }\n}", "b": None}),
+    "braces in the signature": ("ts", "export function f({ a, b }: { a: T }, c = {}): { r: U } {\n  return g(c);\n}\n", {"f": "export function f({ a, b }: { a: T }, c = {}): { r: U } {\n  return g(c);\n}"}),
+    "arrows": ("js", "const a = (x) => x + 1;\nconst b = x => ({ y: x });\nlet c = async (x) => {\n  return x;\n};\nfoo.bar = function (q) { return q; };\n", {"a": "const a = (x) => x + 1;", "b": "const b = x => ({ y: x });", "c": "let c = async (x) => {\n  return x;\n}", "foo.bar": "foo.bar = function (q) { return q; }"}),
+    "declarations": ("ts", "declare function later(a: string): void;\nfunction now(a: string) { return 1; }\n", {"later": "declare function later(a: string): void;", "now": "function now(a: string) { return 1; }"}),
+    "go": ("go", "func (s *T) M(a interface{}) map[string]struct{} {\n\tx := []int{1}\n\treturn nil\n}\n\nfunc N() {}\n", {"M": "func (s *T) M(a interface{}) map[string]struct{} {\n\tx := []int{1}\n\treturn nil\n}", "N": "func N() {}"}),
+    "rust": ("rs", "impl<'a> A<'a> {\n    pub fn f(&'a self, c: char) -> bool {\n        c == '{' || c == '\\''\n    }\n    fn g(&self);\n}\n", {"f": "pub fn f(&'a self, c: char) -> bool {\n        c == '{' || c == '\\''\n    }", "g": "fn g(&self);"}),
+    "python": ("py", "class K:\n    def a(self):\n        if x:\n            y\n        # inside\n\n    async def b(\n        self,\n        c=[1],\n    ) -> int:\n        return 1\ndef c(): return 2\ndef d(x):\n    s = '''\nq\n'''\n", {"a": "def a(self):\n        if x:\n            y", "b": "async def b(\n        self,\n        c=[1],\n    ) -> int:\n        return 1", "c": "def c(): return 2", "d": "def d(x):\n    s = '''\nq\n'''"}),
+    "ruby": ("rb", "class K\n  def a(x)\n    if x\n      1\n    end\n  end\n\n  def self.b\n    2\n  end\nend\n", {"a": "def a(x)\n    if x\n      1\n    end\n  end", "self.b": "def self.b\n    2\n  end"}),
+    "braces and def": ("md", "def a():\n    return {1: 2}\n\nfunction b() {\n  return 1;\n}\n", {"a": "def a():\n    return {1: 2}", "b": "function b() {\n  return 1;\n}"}),
+}
+
+
+def test_depth_windows_end_functions(spark):
+    names = list(CASES)
+    rows = spark.createDataFrame([(n, "r", f"é{n}.{CASES[k][0]}", None, "// ünï\n\n" + CASES[k][1], 1, NEW) for n, k in enumerate(names)], FILES)
+    got = {}
+    for r in pairs.function_units(rows).collect():
+        raw = ("// ünï\n\n" + CASES[names[r["file_id"]]][1]).encode()
+        got.setdefault(names[r["file_id"]], {})[r["name"]] = None if r["ends"] is None else raw[r["start"] : r["ends"]].decode()
+    for k in names:
+        assert got[k] == CASES[k][2], k
+
+
+def test_the_plan_holds_the_depth_window(spark):
+    files, reg = spark.createDataFrame([], FILES), spark.createDataFrame([], REG)
+    plan = pairs.documented_functions(reg, files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(delta" in plan and "lag(" in plan and "closed" in plan
+
+
+@pytest.mark.parametrize(
+    ("head", "doc"),
+    [('def f(a="it\\"s (", b=1):', "Waits."), ("def f(\n    a,  # not (closed\n    b,\n) -> Dict[str, int]:", "Waits."), ("def f(a: 'x:y' = {1: 2}, *b):  # note", "Waits."), ("def f(a" + ", b" * 300 + "):", "Waits.")],
+)
+def test_docstring_is_the_first_string_of_the_body(head, doc):
+    for quote in ('"""', "'''", '"', "'"):
+        for body in (f"\n    {quote}{doc}{quote}\n    return 1\n", f"\n    # why\n\n    r{quote}{doc}{quote}\n", f"\n    u{quote}{doc}{quote} ; x\n"):
+            found = [r for r in pairs.scan(head + body) if r[3] == pairs.HEAD]
+            assert len(found) == 1 and found[0][9] == doc, (head, body)
+    assert [r[9] for r in pairs.scan(head + "\n    x = \"no\"\n") if r[3] == pairs.HEAD] == [None]
 
 
 # ------------------------------------------------------------------ subjects

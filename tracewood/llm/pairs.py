@@ -1,10 +1,12 @@
 """Functions paired with their documentation.
 
-A light lexer turns every file into rows: lines that are comments, decorators or heads of functions, and lines that open or
-close blocks. SQL does the rest over these rows: cumulative sums of the block changes give each line's depth, and the next
-line that falls back to a head's depth ends the function; runs of adjoining comment lines are islands (line number less rank);
-``lag`` attaches the island directly above a head. Heads then meet the registry's nodes at their byte offsets. Texts are lexed
-where they are read; only such rows are shuffled.
+A light lexer turns every file into token rows: heads of functions, what opens and closes blocks, and lines of comments and
+decorators. SQL does the rest over these rows: a cumulative sum of the block changes gives each token's depth, and the first
+closing token behind a head that falls back to the head's depth ends the function; runs of adjoining comment lines are islands
+(line number less rank); ``lag`` attaches the island directly above a head. A node of the registry is a function if its span
+begins at a head and ends where that head's function does. Texts are lexed where they are read; only such rows are shuffled.
+
+Two kinds of blocks are told apart by the head (``scheme``): braces, and indented lines below ``def``.
 """
 
 from __future__ import annotations
@@ -13,200 +15,274 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewood.functions.text import latest
 
-CODE, COMMENT, DECORATOR, HEAD = 0, 1, 2, 3
+OPEN, CLOSE, STOP, COMMENT, DECORATOR, HEAD, NOTHING = range(7)
+BRACES, INDENTS = 0, 1
 _NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|else|do|try|new|throw|await|typeof|sizeof|synchronized|using|lock|foreach|elif|with|unless|until|when|super|this|void|func|function|fn|def|class)\b)"
 _DEF_HEAD = r"(?:async[ \t]+)?def[ \t]+(?P<def>(?:self\.)?[\w.]+[?!=]?|[^\s\w(]+)"
 _BRACE_HEAD = (
     r"(?:@\w[\w.]*(?:\([^()\n]*\))?[ \t]+)*(?:"
-    r"func[ \t]*(?:\([^()\n]*\)[ \t]*)?(?P<go>\w+)[ \t]*[\[(]"
+    r"func[ \t]*(?:\([^()\n]*\)[ \t]*)?(?P<go>\w+)[ \t]*(?=[\[(])"
     r"|(?:pub(?:\([^()\n]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern)[ \t]+(?:\"[^\"\n]*\"[ \t]+)?)*fn[ \t]+(?P<rust>\w+)"
-    r"|(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<js>[\w$]*)[ \t]*[<(]"
-    r"|(?:local[ \t]+)?function[ \t]+(?P<lua>[\w.:]+)[ \t]*\("
-    r"|(?:[a-z]+[ \t]+)*fun[ \t]+(?:<[^<>\n]*>[ \t]*)?(?P<kt>[\w.]+)[ \t]*\("
+    r"|(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<js>[\w$]*)[ \t]*(?=[<(])"
+    r"|(?:local[ \t]+)?function[ \t]+(?P<lua>[\w.:]+)[ \t]*(?=\()"
+    r"|(?:[a-z]+[ \t]+)*fun[ \t]+(?:<[^<>\n]*>[ \t]*)?(?P<kt>[\w.]+)[ \t]*(?=\()"
     r"|(?:(?:export|const|let|var|public|private|protected|static|readonly|local)[ \t]+)*(?P<arrow>[\w$.]+)[ \t]*(?::[^=\n]+)?=[ \t]*(?:async[ \t]*)?(?:function\b|(?:<[^<>\n]*>[ \t]*)?\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)[ \t]*(?::[^=\n]+)?=>|[\w$]+[ \t]*=>)"
-    r"|(?:(?!return\b|new\b|throw\b|else\b|await\b|class\b|struct\b|interface\b|enum\b|case\b|goto\b|typedef\b)[\w$<>\[\],.?&*:]+[ \t]+)*[*&]*" + _NOT_NAMES + r"(?P<method>[\w$#~]+)[ \t]*(?:<[^<>\n]*>)?\((?P<params>[^(){};]*(?:\([^()]*\)[^(){};]*)*)\)\s*(?:(?::|->)[^{};=\n]+|throws\s+[\w.,\s]+?|const\b|noexcept\b|override\b)?\s*\{"
+    r"|(?:(?!return\b|new\b|throw\b|else\b|await\b|class\b|struct\b|interface\b|enum\b|case\b|goto\b|typedef\b)[\w$<>\[\],.?&*:]+[ \t]+)*[*&]*" + _NOT_NAMES + r"(?P<method>[\w$#~]+)[ \t]*(?:<[^<>\n]*>)?\((?P<params>[^(){};]*(?:\([^()]*\)[^(){};]*)*)\)\s*(?:(?::|->)[^{};=\n]+|throws\s+[\w.,\s]+?|const\b|noexcept\b|override\b)?\s*(?=\{)"
     r")"
 )
-_HEAD = re.compile(rf"^[ \t]*(?P<at>(?:{_DEF_HEAD})|{_BRACE_HEAD})", re.M)
+_HEAD = re.compile(rf"(?:^|(?<=[{{}};]))[ \t]*(?P<at>(?:{_DEF_HEAD})|{_BRACE_HEAD})", re.M)
+_NAMES = ("def", "go", "rust", "js", "lua", "kt", "arrow", "method")
 _DEF_FILE = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+\w", re.M)
-_BRACES = re.compile(r"/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`|'(?:[^'\\\n]|\\[^\n]){1,200}?'|[{}]")
+_RUST_FILE = re.compile(r"\bfn[ \t]+\w+")
+_TICK = {False: r"'(?:[^'\\\n]|\\[^\n])+?'", True: r"'(?:[^'\\\n]|\\[^\n']+|\\')'"}  # Rust has lifetimes beside characters
+_BRACED = {rust: re.compile(r"/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`|" + tick + r"|[{}]") for rust, tick in _TICK.items()}
 _QUOTED = re.compile(r"(?:[rbuRBU]{0,2})(\"\"\"|''')[\s\S]*?(?:\1|\Z)|#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _LINE = re.compile(r"^[ \t]*(?:(?P<c>///?!?|//|#(?!\[|!)|--)|(?P<d>@\w|#!?\[))", re.M)
 _PREPROCESSOR = re.compile(r"[ \t]*#[ \t]*(?:include|define|if|ifdef|ifndef|endif|pragma|undef|else|elif|error|line|warning)\b")
 _INDENT = re.compile(r"^([ \t]*)(?=[^\s#])", re.M)
-_DOCSTRING = re.compile(r"(?::[ \t]*(?:->[^:\n]+:)?[ \t]*(?:#[^\n]*)?\s*(?:#[^\n]*\s*)*)(?:[rRuUbB]?)(\"\"\"|'''|\"|')")
-
-
-def _docstring(text: str, at: int) -> str | None:
-    """The docstring of the Python function whose head begins at ``at``."""
-    opening = text.find("(", at)
-    if opening < 0 or "\n" in text[at:opening]:
-        return None
-    depth, i, n = 0, opening, len(text)
-    while i < n:
-        c = text[i]
+_BLANK = re.compile(r"[ \t]*")
+_END = re.compile(r"[ \t]*end(?=[ \t]*(?:[#;)\r\n.]|\Z))")
+_PARENS = re.compile(r"\((?>[^()]+|\((?>[^()]+|\((?>[^()]+|\([^()]*\))*\))*\))*\)")
+_BODY = re.compile(r"[{};]")
+_LOOSE = re.compile(r"[)\]]*[ \t]*[;,]?\s*")
+_STATEMENT = re.compile(r"[^;\n]*(?:\n(?=[ \t]*[.?:+\-*/&|)\]])[^;\n]*)*;?")
+_SIGNATURE = re.compile(r"#[^\n]*|(\"\"\"|''')(?:[^\\]|\\[\s\S])*?\1|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[()\[\]{}:\n]")
+_FIRST_STRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*[rRuU]?(?:\"\"\"((?:[^\\]|\\[\s\S])*?)(?:\"\"\"|\Z)|'''((?:[^\\]|\\[\s\S])*?)(?:'''|\Z)|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
+
+
+def _def_signature(text: str, at: int) -> tuple[int, str | None]:
+    """Where the signature of a ``def`` ends (behind its colon, or its parentheses where it has none), and the first string
+    token of the body."""
+    depth, end = 0, at
+    for m in _SIGNATURE.finditer(text, at):
+        c = m.group()
         if c in "([{":
             depth += 1
         elif c in ")]}":
             depth -= 1
-            if not depth:
-                break
-        elif c in "\"'":
-            j = text.find(c, i + 1)
-            i = j if j >= 0 else n
-        i += 1
-    line = text.find(":", i)
-    if line < 0 or "\n" in text[i:line]:
-        return None
-    m = _DOCSTRING.match(text, line)
-    if not m or "\n" not in m.group() and m.end() - line > 200:
-        return None
-    end = text.find(m[1], m.end())
-    while end > 0 and text[end - 1] == "\\" and len(m[1]) == 1:
-        end = text.find(m[1], end + 1)
-    body = text[m.end() : end if end >= 0 else n]
-    return None if len(m[1]) == 1 and "\n" in body else body
-
-
-def scan(text: str) -> list[tuple[int, int, int, int, str | None, str | None, str | None]]:
-    """Rows (line, kind, byte offset of the first character, change of depth, comment text or signature, name, docstring)."""
+            end = m.end()
+            if depth < 0:
+                return end, None
+        elif c == ":" and not depth:
+            doc = _FIRST_STRING.match(text, m.end())
+            return m.end(), next((g for g in doc.groups() if g is not None), None) if doc else None
+        elif c == "\n" and not depth:
+            return max(end, m.start()), None
+    return max(end, at), None
+
+
+def scan(text: str) -> list[tuple[int, int, int, int, int, int, int, str | None, str | None, str | None]]:
+    """Token rows (seq, line, scheme, kind, change of depth, byte offset, loose end, comment text or signature, name, docstring).
+
+    The byte offset is that of a head's or note's first character, and of the end of a closing token; white space and a
+    separator behind that reach to its loose end.
+    """
     starts = [0]
     find = text.find
     i = find("\n")
     while i >= 0:
         starts.append(i + 1)
         i = find("\n", i + 1)
+    n, lines = len(text), len(starts)
+    starts.append(n)
+
     def line_of(at: int) -> int:
-        return bisect_right(starts, at) - 1
+        return min(bisect_right(starts, at) - 1, lines - 1)
 
-    change: dict[int, int] = {}
-    rows: dict[int, list] = {}
-    hidden: list[tuple[int, int]] = []  # strings and block comments over several lines
     by_indent = _DEF_FILE.search(text) is not None
-    lines = len(starts)
-
-    def comment(line: int, words: str) -> None:
-        rows.setdefault(line, [COMMENT, 0, words, None, None])
-
-    if by_indent:
-        for m in _QUOTED.finditer(text):
-            if m[1]:
-                hidden.append((m.start(), m.end()))
-        levels = [0]
-        for m in _INDENT.finditer(text):
-            width = len(m[1].expandtabs(8))
-            if width != levels[-1]:
-                delta = 0
-                while width < levels[-1]:
-                    levels.pop()
-                    delta -= 1
-                if width > levels[-1]:
-                    levels.append(width)
-                    delta += 1
-                change[line_of(m.start())] = delta
+    covered: list[tuple[int, int]] = []  # strings and comments
     blocks: list[tuple[int, int]] = []
-    for m in _BRACES.finditer(text):
-        token = m.group()
-        first = token[0]
+    braces: list[tuple[int, int]] = []
+    hidden_lines: list[tuple[int, int]] = []
+    for m in _BRACED[_RUST_FILE.search(text) is not None].finditer(text):
+        first = text[m.start()]
         if first == "{" or first == "}":
-            if not by_indent:
-                line = line_of(m.start())
-                change[line] = change.get(line, 0) + (1 if first == "{" else -1)
-        elif token.startswith("/*"):
-            blocks.append((m.start(), m.end()))
-            if "\n" in token:
-                hidden.append((m.start(), m.end()))
-        elif first == "`" and "\n" in token and not by_indent:
-            hidden.append((m.start(), m.end()))
-    hidden.sort()
-    opens = [a for a, _ in hidden]
-
-    def is_hidden(at: int) -> bool:
+            braces.append((m.start(), 1 if first == "{" else -1))
+        elif first == "/" and text[m.start() + 1] == "*":
+            blocks.append(m.span())
+            covered.append(m.span())
+        elif not by_indent:
+            covered.append(m.span())
+    if by_indent:
+        covered = [m.span() for m in _QUOTED.finditer(text)]
+        hidden_lines = [(a, b) for a, b in covered if b - a >= 6 and "\n" in text[a:b]]
+        covered += blocks
+        covered.sort()
+    opens = [a for a, _ in covered]
+
+    def is_covered(at: int) -> bool:
         k = bisect_right(opens, at) - 1
-        return k >= 0 and hidden[k][0] < at < hidden[k][1]
+        return k >= 0 and covered[k][0] < at < covered[k][1]
 
+    rows: list[tuple[int, int, int, int, int, int, int, str | None, str | None, str | None]] = []
+    noted: set[int] = set()
     for a, b in blocks:
         line = line_of(a)
         if text[starts[line] : a].strip():
             continue
         last = line_of(max(a, b - 1))
-        rest = text[b : starts[last + 1] if last + 1 < lines else len(text)]
-        if rest.strip():
+        if text[b : starts[last + 1]].strip():
             continue
         for k in range(line, last + 1):
-            comment(k, text[starts[k] : (starts[k + 1] if k + 1 < lines else len(text))].strip())
+            if k not in noted:
+                noted.add(k)
+                at = _BLANK.match(text, starts[k]).end()
+                rows.append((at, k, BRACES, COMMENT, 0, at, at, text[starts[k] : starts[k + 1]].strip(), None, None))
     for m in _LINE.finditer(text):
-        if is_hidden(m.start()):
+        at = m.start("c") if m["c"] else m.start("d")
+        line = line_of(at)
+        if line in noted or is_covered(m.start()) or is_covered(at):
             continue
-        line = line_of(m.start())
         if m["d"]:
-            rows.setdefault(line, [DECORATOR, 0, None, None, None])
+            noted.add(line)
+            rows.append((at, line, BRACES, DECORATOR, 0, at, at, None, None, None))
         elif m["c"] != "#" or by_indent or not _PREPROCESSOR.match(text, m.start()):
-            comment(line, text[m.start() : (starts[line + 1] if line + 1 < lines else len(text))].strip())
+            noted.add(line)
+            rows.append((at, line, BRACES, COMMENT, 0, at, at, text[at : starts[line + 1]].strip(), None, None))
+    schemes, skipped, skip_lines, short = set(), [], [], set()
     for m in _HEAD.finditer(text):
         at = m.start("at")
-        if is_hidden(at):
+        if is_covered(at):
             continue
         line = line_of(at)
-        if line in rows and rows[line][0] == COMMENT:
-            continue
-        name = next((m[g] for g in ("def", "go", "rust", "js", "lua", "kt", "arrow", "method") if m[g] is not None), "")
-        end = m.end()
-        if m["method"] is None:
-            stop = find("\n", end)
-            end = min(stop if stop >= 0 else len(text), end + 400)
-        rows[line] = [HEAD, at - starts[line], text[at:end], name, _docstring(text, at) if m["def"] is not None else None]
-    for line, delta in change.items():
-        if delta:
-            rows.setdefault(line, [CODE, 0, None, None, None])
-    plain = text.isascii()
-    out, seen_line, seen_bytes = [], 0, 0
-    for line in sorted(rows):
-        kind, shift, words, name, doc = rows[line]
-        if plain:
-            seen_bytes = starts[line]
+        name = next((m[g] for g in _NAMES if m[g] is not None), "")
+        doc = None
+        if m["def"] is not None:
+            scheme = INDENTS
+            end, doc = _def_signature(text, m.end())
+            skip_lines.append((line + 1, line_of(end - 1)))
+            short.add(line_of(end - 1))
         else:
-            seen_bytes += len(text[starts[seen_line] : starts[line]].encode())
-            seen_line = line
-        if kind != HEAD:
-            rest = text[starts[line] : starts[line] + 200]
-            shift = len(rest) - len(rest.lstrip(" \t"))
-        out.append((line, kind, seen_bytes + shift, change.get(line, 0), words, name, doc))
+            if line in noted and m["method"] is None and text[starts[line] : at].strip() == "":
+                continue
+            scheme = BRACES
+            end = m.end()
+            expression = text[end - 2 : end] == "=>"
+            if m["method"] is None and not expression:
+                params = _PARENS.match(text, max(find("(", end), end))
+                end = params.end() if params else end
+            if expression and text[_BLANK.match(text, end).end() :][:1] != "{":
+                stop = _STATEMENT.match(text, end).end()
+                skipped.append((end, stop))
+                rows.append((stop, line_of(stop), BRACES, STOP, 0, stop, _LOOSE.match(text, stop).end(), None, None, None))
+            else:
+                body = _BODY.search(text, end)
+                if body is None or body.group() != "{":  # a declaration
+                    stop = body.start() + (body.group() == ";") if body else n
+                    rows.append((stop, line_of(stop), BRACES, STOP, 0, stop, _LOOSE.match(text, stop).end(), None, None, None))
+                else:
+                    end = body.start()
+                    skipped.append((at, end))
+        schemes.add(scheme)
+        rows.append((at, line, scheme, HEAD, 0, at, at, text[at:end], name, doc))
+    if BRACES in schemes:
+        inside = iter(sorted(skipped))
+        a, b = next(inside, (n, n))
+        for at, delta in braces:
+            while at >= b and a < n:
+                a, b = next(inside, (n, n))
+            if a <= at < b:  # a brace of a signature
+                continue
+            behind = at + 1
+            if delta > 0:
+                rows.append((at, line_of(at), BRACES, OPEN, 1, at, at, None, None, None))
+            else:
+                on = text[_BLANK.match(text, behind).end() :][:1] == "{"  # a type's brace before a body's
+                rows.append((at, line_of(at), BRACES, OPEN if on else CLOSE, -1, behind, _LOOSE.match(text, behind).end(), None, None, None))
+    if INDENTS in schemes:
+        rows += _indent_rows(text, starts, lines, hidden_lines, covered, skip_lines, short, line_of)
+    rows.sort(key=lambda r: (r[0], r[3] == HEAD))
+    if not text.isascii() and rows:
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        place = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000))])
+        return [(k, *r[1:5], int(place[r[5]]), int(place[r[6]]), *r[7:]) for k, r in enumerate(rows)]
+    return [(k, *r[1:]) for k, r in enumerate(rows)]
+
+
+def _indent_rows(text, starts, lines, hidden, covered, skip_lines, short, line_of):
+    """OPEN, CLOSE and STOP rows of indented blocks. A block ends with its last line of code, or with an ``end`` below it."""
+    hidden_at = [a for a, _ in hidden]
+    skip = {k for a, b in skip_lines for k in range(a, b + 1)}
+    comment_at = {}
+    for a, b in covered:
+        if text[a] == "#":
+            comment_at[line_of(a)] = a
+    out, levels = [], [0]
+    last_end, last_line = 0, -1
+    for m in _INDENT.finditer(text):
+        at = m.end()
+        line = line_of(at)
+        k = bisect_right(hidden_at, m.start()) - 1
+        if line in skip or (k >= 0 and hidden[k][0] < m.start() < hidden[k][1]):
+            last_line = line
+            last_end = _code_end(text, starts, line, comment_at, hidden, hidden_at)
+            continue
+        width = len(m[1].expandtabs(8))
+        closing = _END.match(text, m.start())
+        if width <= levels[-1] and last_line in short:  # a function without indented lines
+            out.append((last_end, last_line, INDENTS, STOP, 0, last_end, m.start(), None, None, None))
+        while width < levels[-1]:
+            levels.pop()
+            if closing and width >= levels[-1]:
+                end = closing.end()
+                out.append((end, line, INDENTS, CLOSE, -1, end, _LOOSE.match(text, end).end(), None, None, None))
+            else:
+                out.append((last_end, last_line, INDENTS, CLOSE, -1, last_end, at, None, None, None))
+        if width > levels[-1]:
+            levels.append(width)
+            out.append((m.start(), line, INDENTS, OPEN, 1, at, at, None, None, None))
+        last_line = line
+        last_end = _code_end(text, starts, line, comment_at, hidden, hidden_at)
+    if last_line in short:
+        out.append((last_end, last_line, INDENTS, STOP, 0, last_end, len(text), None, None, None))
+    for _ in levels[1:]:
+        out.append((last_end, last_line, INDENTS, CLOSE, -1, last_end, len(text), None, None, None))
     return out
 
 
-_SCHEMA = "file_id bigint, indexed_at timestamp, n_bytes int, uid bigint, line int, kind int, at int, delta int, words string, name string, docstring string"
+def _code_end(text, starts, line, comment_at, hidden, hidden_at):
+    """End of a line's code; of a string that goes on below, its end's line."""
+    stop = comment_at.get(line, starts[line + 1])
+    k = bisect_right(hidden_at, stop - 1) - 1
+    if k >= 0 and hidden[k][0] >= starts[line] and hidden[k][1] > stop:
+        stop = hidden[k][1]
+        line_end = text.find("\n", stop)
+        stop = line_end if line_end >= 0 else len(text)
+    return starts[line] + len(text[starts[line] : stop].rstrip())
+
+
+_SCHEMA = "file_id bigint, indexed_at timestamp, n_bytes int, uid bigint, seq int, line int, scheme int, kind int, delta int, at int, loose int, words string, name string, docstring string"
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.strip().split()[0] for c in _SCHEMA.split(",")]
+    empty = [(-1, -1, BRACES, NOTHING, 0, 0, 0, None, None, None)]  # a row even of an empty state, so that it can win over an older one
     for batch in batches:
         ids, stamps, uids, texts = (batch.column(i) for i in range(4))
         take, sizes, rows = [], [], []
         for i, text in enumerate(texts.to_pylist()):
-            # one row even of an empty state, so that it can win over an older one
-            found = scan(text) if text else [(-1, CODE, 0, 0, None, None, None)]
-            if not found:
-                found = [(-1, CODE, 0, 0, None, None, None)]
+            found = (scan(text) if text else None) or empty
             take.extend([i] * len(found))
             sizes.extend([len(text.encode()) if text else 0] * len(found))
             rows.extend(found)
         index = pa.array(take, pa.int32())
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 10
         yield pa.RecordBatch.from_arrays(
-            [ids.take(index), stamps.take(index), pa.array(sizes, pa.int32()), uids.take(index), *(pa.array(c, pa.int32()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=names
+            [ids.take(index), stamps.take(index), pa.array(sizes, pa.int32()), uids.take(index), *(pa.array(c, pa.int32()) for c in cols[:7]), *(pa.array(c, pa.string()) for c in cols[7:])], names=names
         )
 
 
 def function_units(files: DataFrame) -> DataFrame:
-    """file_id, n_bytes, name, signature, start (byte offset), above (of the comment's first line or the head), ends (whether
-    the function's end was found), comment, docstring of every function head in each file's present state.
+    """file_id, n_bytes, name, signature, start (byte offset), above (of the comment's first line or the head), ends (byte offset
+    behind the function, null where its end isn't found), loose (behind white space and a separator after it), comment, docstring
+    of every function head in each file's present state.
 
     A null or empty text has no functions; repeated rows and equal indexed_at count once.
     """
@@ -215,28 +291,22 @@ def function_units(files: DataFrame) -> DataFrame:
     per_file = Window.partitionBy("file_id")
     newest = F.max(F.struct(F.col("indexed_at").isNotNull().alias("has"), "indexed_at", "uid")).over(per_file)
     now = rows.withColumn("newest", newest["uid"]).filter("uid = newest").drop("newest", "uid", "indexed_at")
-    order = Window.partitionBy("file_id").orderBy("line")
-    noted = F.col("kind").isin(COMMENT, DECORATOR)
-    lined = (
-        now.withColumn("after", F.sum("delta").over(order))
-        .withColumn("rank", F.sum(noted.cast("int")).over(order))
-        .withColumn("island", F.when(noted, F.col("line") - F.col("rank")))
-        .withColumn("over_island", F.lag("island").over(order))
-        .withColumn("over_line", F.lag("line").over(order))
-    )
+    # depth by cumulative changes; behind a head the first closing token of its own depth ends the function
+    deep = now.withColumn("depth", F.sum("delta").over(Window.partitionBy("file_id", "scheme").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("kind") != OPEN)
+    closing = F.when(F.col("kind").isin(CLOSE, STOP), F.struct("at", "loose"))
+    behind = Window.partitionBy("file_id", "scheme", "depth").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = deep.withColumn("closed", F.last(closing, ignorenulls=True).over(behind)).filter(F.col("kind").isin(COMMENT, DECORATOR, HEAD))
+    # islands of adjoining noted lines
+    order = Window.partitionBy("file_id").orderBy("seq")
+    noted = F.col("kind") != HEAD
+    lined = ended.withColumn("rank", F.sum(noted.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("island", F.when(noted, F.col("line") - F.col("rank"))).withColumn("over_island", F.lag("island").over(order)).withColumn("over_line", F.lag("line").over(order))
     # an island's lines in order; it is one comment, so the array is as long as the comment
-    in_island = Window.partitionBy("file_id", "island").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    in_island = Window.partitionBy("file_id", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gathered = lined.withColumn("island_at", F.first("at").over(in_island)).withColumn("island_words", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("words"))).over(in_island))
-    above = (
-        gathered.withColumn("over_words", F.lag("island_words").over(order))
-        .withColumn("over_at", F.lag("island_at").over(order))
-        .withColumn("before", F.col("after") - F.col("delta"))
-    )
-    closing = Window.partitionBy("file_id", F.when(F.col("kind") == HEAD, F.col("before")).otherwise(F.col("after"))).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    ended = above.withColumn("end_line", F.first(F.when((F.col("delta") < 0) | (F.col("kind") == HEAD), F.col("line")), ignorenulls=True).over(closing))
+    above = gathered.withColumn("over_words", F.lag("island_words").over(order)).withColumn("over_at", F.lag("island_at").over(order))
     direct = (F.col("over_line") == F.col("line") - 1) & F.col("over_island").isNotNull()
-    return ended.filter(F.col("kind") == HEAD).select(
-        "file_id", "n_bytes", "name", F.col("words").alias("signature"), F.col("at").alias("start"), F.when(direct, F.col("over_at")).otherwise(F.col("at")).alias("above"), (F.col("end_line").isNotNull() | (F.col("delta") == 0)).alias("ends"),
+    return above.filter(F.col("kind") == HEAD).select(
+        "file_id", "n_bytes", "name", F.col("words").alias("signature"), F.col("at").alias("start"), F.when(direct, F.col("over_at")).otherwise(F.col("at")).alias("above"), F.col("closed.at").alias("ends"), F.col("closed.loose").alias("loose"),
         F.when(direct, F.array_join("over_words", "\n")).alias("comment"), "docstring",
     )
 
@@ -306,14 +376,14 @@ def documented_functions(registry: DataFrame, files: DataFrame) -> DataFrame:
     """node and description of every function or method whose documentation says something.
 
     The latest reading of a node and the present state of its file hold. Nodes without span, or with one that lies outside
-    the text or begins at no function, are left out, as are those without documentation. ``docs`` counts where it isn't
+    the text, begins at no function or doesn't end where that function ends, are left out, as are those without documentation. ``docs`` counts where it isn't
     null, even if blank; else the comment directly above or a Python docstring. No rows give no rows.
     """
     nodes = latest(registry.select("node", "file_id", "docs", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"), "symbol", "read_at").filter("node is not null"), "node", "read_at")
     placed = nodes.filter("file_id is not null and start >= 0 and end > start")
     units = function_units(files)
     keyed = units.withColumn("place", F.explode(F.array_distinct(F.array("start", "above"))))
-    met = placed.join(keyed.select("file_id", F.col("place").alias("start"), "n_bytes", "name", "signature", "comment", "docstring"), ["file_id", "start"]).filter("end <= n_bytes")
+    met = placed.join(keyed.select("file_id", F.col("place").alias("start"), "ends", "loose", "n_bytes", "name", "signature", "comment", "docstring"), ["file_id", "start"]).filter("end between ends and least(loose, n_bytes)")
     told = met.select("node", F.concat_ws(" ", F.col("signature"), F.col("symbol")).alias("signature"), "docs", "comment", "docstring")
     return told.mapInArrow(_judge, "node bigint, description string").distinct()
 
