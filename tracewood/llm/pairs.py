@@ -37,7 +37,9 @@ _BRACE_HEAD = (
     r"|(?:(?!return\b|new\b|throw\b|else\b|await\b|class\b|struct\b|interface\b|enum\b|case\b|goto\b|typedef\b)[\w$<>\[\],.?&*:]+[ \t]+)*[*&]*" + _NOT_NAMES + r"(?P<method>[\w$#~]+)[ \t]*(?:<[^<>\n]*>)?\((?P<params>[^(){};]*(?:\([^()]*\)[^(){};]*)*)\)\s*(?:(?::|->)[^{};=\n]+|throws\s+[\w.,\s]+?|const\b|noexcept\b|override\b)?\s*(?=\{)"
     r")"
 )
-_HEAD = re.compile(rf"(?:^|(?<=[{{}};]))[ \t]*(?P<at>(?:{_DEF_HEAD})|{_BRACE_HEAD})", re.M)
+_HEAD = re.compile(rf"[ \t]*(?P<at>(?:{_DEF_HEAD})|{_BRACE_HEAD})")
+_FIRST_WORDS = ("{", "=>", "def ", "def\t", "fn ", "fun ", "func", "function")
+_BORDER = re.compile(r"[{};](?=[ \t]*[^\s{};])")
 _NAMES = ("def", "go", "rust", "js", "lua", "kt", "arrow", "method")
 _DEF_FILE = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+\w", re.M)
 _RUST_FILE = re.compile(r"\bfn[ \t]+\w+")
@@ -147,7 +149,7 @@ def scan(text: str) -> list[tuple[int, int, int, int, int, int, int, str | None,
             noted.add(line)
             rows.append((at, line, BRACES, COMMENT, 0, at, at, text[at : starts[line + 1]].strip(), None, None))
     schemes, skipped, skip_lines, short = set(), [], [], set()
-    for m in _HEAD.finditer(text):
+    for m in _heads(text, starts, lines):
         at = m.start("at")
         if is_covered(at):
             continue
@@ -199,6 +201,7 @@ def scan(text: str) -> list[tuple[int, int, int, int, int, int, int, str | None,
     if INDENTS in schemes:
         rows += _indent_rows(text, starts, lines, hidden_lines, covered, skip_lines, short, line_of)
     rows.sort(key=lambda r: (r[0], r[3] == HEAD))
+    rows = _folded(rows)
     if not text.isascii() and rows:
         code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
         place = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000))])
@@ -206,6 +209,40 @@ def scan(text: str) -> list[tuple[int, int, int, int, int, int, int, str | None,
     return [(k, *r[1:]) for k, r in enumerate(rows)]
 
 
+def _heads(text: str, starts: list[int], lines: int) -> Iterator[re.Match]:
+    """Heads at the beginning of lines and of statements, in order. Lines that can't begin one are passed over unread."""
+    behind = 0
+    match = _HEAD.match
+    for k in range(lines):
+        line = text[starts[k] : starts[k + 1]]
+        if "(" not in line and "=>" not in line and "def" not in line and "fn" not in line:
+            continue
+        if not any(w in line for w in _FIRST_WORDS):
+            last = line.rstrip()[-1:]
+            if last in (";", ":", "") or (last not in "(," and text[starts[k + 1] : starts[k + 1] + 1 + len(line)].lstrip()[:1] != "{"):
+                continue
+        for at in (starts[k], *(m.end() for m in _BORDER.finditer(text, starts[k], starts[k + 1]))):
+            if at >= behind:
+                m = match(text, at)
+                if m:
+                    behind = m.end()
+                    yield m
+
+
+def _folded(rows: list[tuple]) -> list[tuple]:
+    """The rows without opening tokens: each change of depth rides on the next row of its scheme."""
+    out, waiting = [], [0, 0]
+    for r in rows:
+        if r[3] == OPEN:
+            waiting[r[2]] += r[4]
+        elif waiting[r[2]]:
+            out.append((*r[:4], r[4] + waiting[r[2]], *r[5:]))
+            waiting[r[2]] = 0
+        else:
+            out.append(r)
+    return out
+
+
 def _indent_rows(text, starts, lines, hidden, covered, skip_lines, short, line_of):
     """OPEN, CLOSE and STOP rows of indented blocks. A block ends with its last line of code, or with an ``end`` below it."""
     hidden_at = [a for a, _ in hidden]
@@ -288,26 +325,28 @@ def function_units(files: DataFrame) -> DataFrame:
     """
     source = files.select("file_id", F.col("indexed_at").cast("timestamp").alias("indexed_at"), F.monotonically_increasing_id().alias("uid"), "text").filter("file_id is not null")
     rows = source.mapInArrow(_scan_batches, _SCHEMA)
-    per_file = Window.partitionBy("file_id")
-    newest = F.max(F.struct(F.col("indexed_at").isNotNull().alias("has"), "indexed_at", "uid")).over(per_file)
-    now = rows.withColumn("newest", newest["uid"]).filter("uid = newest").drop("newest", "uid", "indexed_at")
-    # depth by cumulative changes; behind a head the first closing token of its own depth ends the function
-    deep = now.withColumn("depth", F.sum("delta").over(Window.partitionBy("file_id", "scheme").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("kind") != OPEN)
+    # depth by cumulative changes; the sort serves the choice of the present state as well
+    depth = F.sum("delta").over(Window.partitionBy("file_id", "uid", "scheme").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.max(F.struct(F.col("indexed_at").isNotNull().alias("has"), "indexed_at", "uid")).over(Window.partitionBy("file_id"))
+    now = rows.withColumn("depth", depth).withColumn("newest", newest["uid"]).filter("uid = newest").drop("newest", "uid", "indexed_at", "delta")
+    # behind a head the first closing token of its own depth ends the function
     closing = F.when(F.col("kind").isin(CLOSE, STOP), F.struct("at", "loose"))
     behind = Window.partitionBy("file_id", "scheme", "depth").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    ended = deep.withColumn("closed", F.last(closing, ignorenulls=True).over(behind)).filter(F.col("kind").isin(COMMENT, DECORATOR, HEAD))
-    # islands of adjoining noted lines
-    order = Window.partitionBy("file_id").orderBy("seq")
+    ended = now.withColumn("closed", F.last(closing, ignorenulls=True).over(behind)).filter(F.col("kind").isin(COMMENT, DECORATOR, HEAD))
+    # islands of adjoining noted lines become a row each, a head is one by itself
     noted = F.col("kind") != HEAD
-    lined = ended.withColumn("rank", F.sum(noted.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("island", F.when(noted, F.col("line") - F.col("rank"))).withColumn("over_island", F.lag("island").over(order)).withColumn("over_line", F.lag("line").over(order))
-    # an island's lines in order; it is one comment, so the array is as long as the comment
-    in_island = Window.partitionBy("file_id", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gathered = lined.withColumn("island_at", F.first("at").over(in_island)).withColumn("island_words", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("words"))).over(in_island))
-    above = gathered.withColumn("over_words", F.lag("island_words").over(order)).withColumn("over_at", F.lag("island_at").over(order))
-    direct = (F.col("over_line") == F.col("line") - 1) & F.col("over_island").isNotNull()
-    return above.filter(F.col("kind") == HEAD).select(
-        "file_id", "n_bytes", "name", F.col("words").alias("signature"), F.col("at").alias("start"), F.when(direct, F.col("over_at")).otherwise(F.col("at")).alias("above"), F.col("closed.at").alias("ends"), F.col("closed.loose").alias("loose"),
-        F.when(direct, F.array_join("over_words", "\n")).alias("comment"), "docstring",
+    rank = F.sum(noted.cast("int")).over(Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    units = ended.withColumn("island", F.when(noted, F.col("line") - rank).otherwise(-1 - F.col("seq"))).groupBy("file_id", "island").agg(
+        F.min("seq").alias("seq"), F.max("line").alias("line"), F.min("at").alias("at"), F.max("kind").alias("kind"), F.first("n_bytes").alias("n_bytes"), F.first("name").alias("name"), F.first("docstring").alias("docstring"), F.first("closed").alias("closed"),
+        F.first("words").alias("signature"), F.collect_list(F.when(F.col("kind") == COMMENT, F.struct("seq", "words"))).alias("lines"),
+    )
+    order = Window.partitionBy("file_id").orderBy("seq")
+    told = units.withColumn("over", F.lag(F.struct("line", "at", "kind", "lines")).over(order)).filter(F.col("kind") == HEAD)
+    direct = F.coalesce((F.col("over.line") == F.col("line") - 1) & (F.col("over.kind") != HEAD), F.lit(False))
+    comment = F.array_join(F.transform(F.sort_array("over.lines"), lambda x: x["words"]), "\n")
+    return told.select(
+        "file_id", "n_bytes", "name", "signature", F.col("at").alias("start"), F.when(direct, F.col("over.at")).otherwise(F.col("at")).alias("above"), F.col("closed.at").alias("ends"), F.col("closed.loose").alias("loose"),
+        F.when(direct, comment).alias("comment"), "docstring",
     )
 
 
