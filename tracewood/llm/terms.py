@@ -52,8 +52,10 @@ def count_terms(named: DataFrame, heavy: list[str], unique: bool, work: Workspac
     """
     spark = named.sparkSession
     slots = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(heavy)], "term string, _slot int"))
-    place = F.when(F.col("_slot").isNotNull(), F.xxhash64("_slot", "_r1", "_r2")).otherwise(F.xxhash64("term"))
-    met = named.join(slots, "term", "left").select(place.alias("_place"), "_slot", F.when(F.col("_slot").isNull(), F.col("term")).alias("term"), "_r1", "_r2", *([] if unique else ["_uid"])).repartition("_place")
+    heavily = F.col("_slot").isNotNull()
+    place = F.when(heavily, F.xxhash64("_slot", "_r1")).otherwise(F.xxhash64("term"))  # a heavy row's place stands for its _r1
+    lean = [place.alias("_place"), "_slot", F.when(~heavily, F.col("term")).alias("term"), F.when(~heavily, F.col("_r1")).alias("_r1"), "_r2"]
+    met = named.join(slots, "term", "left").select(*lean, *([] if unique else ["_uid"])).repartition("_place")
     # everything below finds its rows together, so the only further shuffle is that of the arrays
     pairs = met.distinct().groupBy("_place", "_slot", "term", "_r1", "_r2").agg(F.lit(1).cast("long").alias("n") if unique else F.count("_uid").alias("n"))
     counted = work.cut(pairs.groupBy("_place", "_slot", "term").agg(F.sum("n").alias("uses"), F.count("*").alias("records")).drop("_place"))
