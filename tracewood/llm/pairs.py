@@ -324,7 +324,7 @@ def function_units(files: DataFrame) -> DataFrame:
     A null or empty text has no functions; repeated rows and equal indexed_at count once.
     """
     source = files.select("file_id", F.col("indexed_at").cast("timestamp").alias("indexed_at"), F.monotonically_increasing_id().alias("uid"), "text").filter("file_id is not null")
-    rows = source.mapInArrow(_scan_batches, _SCHEMA)
+    rows = source.mapInArrow(_scan_batches, _SCHEMA).repartition("file_id")  # the one shuffle of rows: all below stays within a file
     # depth by cumulative changes; the sort serves the choice of the present state as well
     depth = F.sum("delta").over(Window.partitionBy("file_id", "uid", "scheme").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     newest = F.max(F.struct(F.col("indexed_at").isNotNull().alias("has"), "indexed_at", "uid")).over(Window.partitionBy("file_id"))
