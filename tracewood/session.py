@@ -59,10 +59,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
 
-    def cut(self, df: DataFrame, *, buckets: int | None = None) -> DataFrame:
+    def cut(self, df: DataFrame, *, buckets: int | None = None, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; ``by`` names a column with few values by which it lies in folders that filters prune."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        (df.coalesce(buckets) if buckets else df).write.mode("overwrite").parquet(path)
+        out = (df.coalesce(buckets) if buckets else df).write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
         if self.count == 1:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
