@@ -293,6 +293,57 @@ def test_forks_are_one_witness(spark):
     assert got == {(r, k) for r in "of" for k in took}
 
 
+def test_shared_projects_and_small_shared_files(spark):
+    own = {r: _texts(r, *"abcdefgh") for r in ("p", "q", "o")}
+    small = "module.exports = {\n  pad: (s) => s,\n};\n"
+    got = _copied(
+        spark,
+        {
+            "p": own["p"] | {"extern/padder/x.js": "// p\n" + small, "src/tiny.js": small, "lib/html.js": "<html>\n404\n</html>", "src/old.js": "// padder 1.2\nlet a = 1;\n", "src/own.js": "// p 1.2\nlet a = 4;\n"},
+            "q": own["q"] | {"Deps/Padder/y.js": "// q\n" + small, "web/tiny.js": small, "lib/page.js": "<html>\n404\n</html>", "src/new.js": "// we tried padder and left it\nlet a = 2;\n", "deps/alone/z.js": "let z = 1;\n"},
+            "o": own["o"] | {"src/banner.js": "/*! Padder v3.0.1 | MIT */\nlet a = 3;\n", "src/none.js": "// alone 2.0\nlet a = 5;\n"},
+        },
+    )
+    # one home of tiny.js is left; a name that one repo alone keeps is no project, though its place is a vendoring one
+    assert got - {("p", "src/tiny.js"), ("q", "web/tiny.js")} == {("p", "extern/padder/x.js"), ("q", "Deps/Padder/y.js"), ("q", "deps/alone/z.js"), ("p", "src/old.js"), ("o", "src/banner.js")}
+    assert len(got & {("p", "src/tiny.js"), ("q", "web/tiny.js")}) == 1
+
+
+def test_merkle_nodes_equal_walking_the_trees(spark, tmp_path):
+    from tracewood.session import Workspace
+
+    rng = random.Random(2)
+    rows = [(n, f"r{rng.randrange(3)}", [*rng.choices("abc", k=rng.randrange(4)), f"f{n % 5}"], rng.randrange(3), 0, 5, False) for n in range(90)]
+    rows = list({(r[1], *r[2]): r for r in rows}.values())
+    rows = [r for r in rows if not any(o[1] == r[1] and len(o[2]) > len(r[2]) and o[2][: len(r[2])] == r[2] for o in rows)]
+    df = spark.createDataFrame(rows, "file_id int, repo string, parts array<string>, h long, g long, lines long, vendored boolean")
+    nodes = handwritten.merkle_nodes(df, Workspace(spark, "test")).filter("n > 1 or path not like '%f_'").collect()
+    trees: dict = {}
+    for r in rows:
+        for k in range(1, len(r[2])):
+            trees.setdefault((r[1], "/".join(r[2][:k])), set()).add(("/".join(r[2][k:]), r[3]))
+    assert {(n["repo"], n["path"]): n["n"] for n in nodes} == {k: len(v) for k, v in trees.items()}
+    same = {}
+    for n in nodes:
+        same.setdefault((n["h"], n["g"]), set()).add(frozenset(trees[n["repo"], n["path"]]))
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len({frozenset(v) for v in trees.values()})
+
+
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ("// Code generated by stringer; DO NOT EDIT.", "generated"), ("# This file was automatically generated from api.yaml", "generated"), ("/* Auto-generated file. Changes will be lost. */", "generated"), ("// Diese Datei wurde aus schema.xml generiert.", "generated"), ("// Ce fichier est généré par swagger", "generated"), ("# Este archivo fue generado por protoc", "generated"),
+        ("// Do not edit without asking.", None), ("# None of this file is generated by a tool.", None), ("// Auto-generated method stub", None), ("# This file was written by Jo.", None), ("// reads the generated index", None), ("// Rien dans ce fichier n'est généré par un outil", None),
+        ("// Bundled copy of zlib 1.2", "vendored"), ("# unveränderte Kopie von xyz 2.0", "vendored"), ("// (c) 2019 the foo authors", "vendored"), ("// (c) the r authors", None), ("// copy the rows first", None), ("// version 1.2 of the layout", None),
+    ],
+)
+def test_header_rules(spark, head, want):
+    rows = [(1, "r", "src/a.x", None, head + "\n\nlet a = 1\n", 1, NEW)]
+    got = handwritten.evidence(*[handwritten.F.col(c) for c in ("repo", "parts", "text")])[0]
+    df = spark.createDataFrame(rows, FILES).withColumn("parts", handwritten.F.split("relative_path", "/"))
+    assert (df.select(got.alias("x")).first()["x"] or ":").split(":")[0] == (want or "")
+
+
 # ------------------------------------------------------------------ functions and documentation
 
 

@@ -1,9 +1,11 @@
 """Files that nobody wrote by hand in their repo: generated, minified or vendored ones and data stored as code.
 
-Merkle hashes go bottom-up over every repo's directory tree: a file's is that of its text, a directory's an order-free
-hash of its entries' names and hashes, an algebraic aggregate that is combined before the shuffle. Subtrees that occur in
-unrelated repos mark copies; signatures at the head or end, path and layout rules find tool output, squeezed scripts and data. All rules run where
-the text is read; texts are never shuffled.
+Merkle hashes go bottom-up over every repo's directory tree, level by level, each level written before the next: a file's is
+that of its text, a directory's an order-free hash of its entries' names and hashes, an algebraic aggregate that is combined
+before the shuffle. What unrelated repos share in these trees marks third-party code: subtrees with equal hashes are copies, and
+a directory that unrelated repos keep under one name at a vendoring place is a project, whose files there, and files elsewhere
+whose header names it with a version or a licence, are copies as well. Header and layout rules find tool output, squeezed
+scripts and data. All rules run where the text is read; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,19 +16,38 @@ from pyspark.sql import functions as F
 from tracewood.functions.text import latest
 from tracewood.session import Workspace
 
-SHARED_BYTES = 300  # a subtree of less text than this proves nothing
+SHARED_LINES = 10  # distinct lines of a shared text or subtree; two people may write less alike by chance
+NAMED_LINES = 3  # the same for a file that is shared under the same name
 # Names of directories and files by which tools and projects mark such files.
 VENDOR_DIRS = ("vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "extern", "externals", "external", "deps", "godeps", "node_modules", "bower_components", "jspm_packages", "site-packages", "pods", "carthage")
 GENERATED_DIRS = ("_generated", "__generated__", "generated", "generated-sources", "generated-src", "generated_sources", "bindings_gen", "autogen", "__pycache__")
 GENERATED_NAME = r"(?i)(_pb2(_grpc)?\.pyi?|[._]pb\.(go|js|rb|ts|cc|h|c|swift|dart)|[._]pb\.gw\.go|\.g\.(ts|dart|cs|js)|\.generated\.\w+|\.designer\.cs|\.tab\.[ch]|\.yy\.[ch])$|^(zz_generated[_.]|lex\.[^/]*\.c$|moc_[^/]*\.cpp$)"
 MINIFIED_NAME = r"(?i)([.\-]min\.(js|mjs|cjs|ts|css)|\.bundle\.js|\.chunk\.js|\.[0-9a-f]{8,}\.(js|mjs|ts|css))$"
+# A header says in some sentence that a tool made the whole file: who or what made it follows, or the sentence's subject is the
+# file. Sentences that deny it don't count, nor do those that speak of a stub or method only.
+_MADE = r"(?:auto[- ]?|automatically[- ]|machine[- ])?generated|auto[- ]?produced|machine[- ](?:made|written)|emitted"
+DENIED = r"(?iU)\b(?:nothing|not|no|none|never|isn't|nichts|nicht|kein\w*|rien|aucune?|jamais|nada|ning[uú]n\w*|nunca)\b[^.;:!?\n]*(?:generat|produc|erzeugt|generiert|g[ée]n[ée]r|produit)\w*"
+_ON = r"(?:[^.;\n]|[.](?=\w))*"  # on within the sentence
 GENERATED_LINE = (
-    r"(?imd)^(?!.*nothing in this file is generated).*(@generated\b|\bgenerated (by|from|with) .*(do not|don't|not be) (edit|modif|change)|\bauto-?generated\b(?! (method|constructor|catch|stub|function))(.*(from|by|file|do not|>|schema)|\s*$)|<auto-?generated|automatically generated (file|by|from|code)"
-    r"|\bfile (was|is|has been) (auto-?|automatically )?(produced|generated|created|written|emitted) (by|from|with)\b|changes (to this file )?will be (overwritten|lost)|\bmachine-(made|generated|written)\b|\bgenerated: ?(true|yes)\b|wird von .* (erzeugt|generiert)|automatisch (erzeugt|generiert)"
-    r"|(g[ée]n[ée]r[ée]|produit) automatiquement|ne pas modifier|generado autom[áa]ticamente|no (editar|modificar) )"
+    rf"(?iU)@generated\b|<auto-?generated|\bgenerated\s*[:=]\s*(?:true|yes)\b"
+    rf"|\b(?:{_MADE})(?: automatically)? (?:by|from|with|using)\b"
+    rf"|\b(?:{_MADE}) (?:file|code|source|module|content)s?\b"
+    rf"|\b(?:file|code|source|module)s?\b{_ON}\b(?:{_MADE}|produced) (?:by|from|with|using)\b"
+    rf"|\b(?:file|code|source|module)\b{_ON}\b(?:created|written) by {_ON}(?:compiler|generator|tool|script)\b"
+    rf"|^\W*(?:{_MADE})\W*$"
+    rf"|\b(?:datei|quelltext|code)\b{_ON}\b(?:wird|wurde|ist)\b{_ON}\b(?:erzeugt|generiert)|\bautomatisch (?:erzeugt|generiert)"
+    rf"|\b(?:fichier|code)\b{_ON}\b(?:g[ée]n[ée]r[ée]|produit)e?\b{_ON}\b(?:par|partir)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b"
+    rf"|\b(?:archivo|fichero|c[óo]digo)\b{_ON}\b(?:generado|producido)\b{_ON}\b(?:por|partir)\b|\bgenerado autom[áa]ticamente\b"
 )
-VENDORED_LINE = r"(?imd)^.*(\bvendored( from)?: |\bbundled copy of\b|copied from upstream|local changes are lost|(fix|report) bugs upstream|enth[äa]lt unver[äa]ndert|unver[äa]nderte kopie|contient sans modification|copie (inchang[ée]e|conforme) de|copia (sin cambios|literal) de|\bvendored copy of\b|third-party code from)"
-COPYRIGHT = r"(?imd)^.*copyright (?:\(c\) |© )?\d{4}(?:-\d{4})? (?:by )?(?:the )?([\w.-]+) (?:project|authors|contributors|developers)"
+# A header says that the file is a copy: a word for copying beside a version or what it was copied from.
+_VERSION = r"(?:\bv|@|\b)\d+(?:\.\d+)+"
+COPIED_LINE = (
+    r"(?iU)^.*(?:\bvendored\b|\bbundled (?:copy|version)\b|\b(?:verbatim|unmodified|unchanged) copy\b|\bcopied (?:\w+ )?from\b|\b(?:fix|report|send) [\w ]*\bupstream\b"
+    r"|\bunver[äa]ndert\w*|\bkopie (?:von|aus|der|des)\b|\bcopie (?:\w+ )?d[eu']|\bsans modifications?\b|\bcopia (?:\w+ )?del?\b|\bsin cambios\b)"
+)
+COPYRIGHT = r"(?imU)^.*(?:copyright|\(c\)|©)\W+(?:\d{4}(?:-\d{4})?,? )?(?:by )?(?:the )?([\w.-]+) (?:project|authors|contributors|developers)\b"
+# A line that could name the project a file comes from: it holds a version, a year or a licence.
+CLAIM = r"(?iU)\d+\.\d+|@\d|\b(?:19|20)\d\d\b|\(c\)|©|\blicen[cs]ed?\b"
 FIRST_CODE = r"(?md)^(?![ \t]*(?:#(?!\s*(?:include|define|if|ifdef|ifndef|pragma)\b)|//|/\*|\*|--|<!--|;;|\r?$))"
 
 
@@ -49,29 +70,34 @@ def footer(lines: Column) -> Column:
     return F.when(is_comment(F.try_element_at(lines, F.lit(-1))), F.array_join(F.filter(tail, is_comment), "\n")).otherwise("")
 
 
-def evidence(repo: Column, parts: Column, text: Column) -> Column:
-    """The rule that a file's path and text fall under, or null."""
+def evidence(repo: Column, parts: Column, text: Column) -> tuple[Column, Column]:
+    """The rule that a file's path and text fall under, or null; and the words of header lines that could name a project."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
-    top = F.concat_ws("\n", header(text), footer(lines))
+    top = F.split(F.concat_ws("\n", header(text), footer(lines)), r"\r?\n")
+    said = F.filter(F.transform(top, lambda s: F.regexp_replace(s, DENIED, " ")), lambda s: F.length(s) > 3)
     folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.lower(p))
     name = F.try_element_at(parts, F.lit(-1))
-    owner = F.regexp_extract(top, COPYRIGHT, 1)
+    own = F.lower(F.coalesce(repo, F.lit("")))
+    owners = F.filter(F.transform(said, lambda s: F.lower(F.regexp_extract(s, COPYRIGHT, 1))), lambda o: (o != "") & (o != own))
+    claims = F.filter(said, lambda s: s.rlike(CLAIM))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.array_join(claims, " ")), r"[^\p{L}\p{N}_.-]+|[.](?:\s|$)")), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}") & (w != own))
     shapes = F.array_distinct(F.transform(lines, lambda s: F.regexp_replace(s, r"\d+", "0")))
     long_text = F.array_join(F.filter(lines, lambda s: F.length(s) > 400), "\n")
     size = F.greatest(F.length(text), F.lit(1))
     solid = F.length(F.regexp_replace(long_text, r"\s+", "")) / F.greatest(F.length(long_text), F.lit(1))
     values = F.regexp_replace(text, r"""(["'])[0-9A-Za-z+/=_-]{24,}\1|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d_]*(?:\.\d+)?\b|[,\s]""", "")
-    return (
+    rule = (
         F.when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))), "vendored: directory")
         .when(F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated: directory")
         .when(name.rlike(GENERATED_NAME), "generated: name")
         .when(name.rlike(MINIFIED_NAME), "minified: name")
-        .when(top.rlike(GENERATED_LINE), "generated: signature")
-        .when(top.rlike(VENDORED_LINE) | ((owner != "") & (F.lower(owner) != F.lower(F.coalesce(repo, F.lit(""))))), "vendored: signature")
+        .when(F.exists(said, lambda s: s.rlike(GENERATED_LINE)), "generated: header")
+        .when(F.exists(said, lambda s: s.rlike(COPIED_LINE)) | (F.size(owners) > 0), "vendored: header")
         .when((F.length(long_text) * 2 > size) & (solid > 0.92), "minified: layout")
         .when((size >= 200) & (F.length(values) * 4 < size), "data: layout")
         .when((F.size(lines) >= 20) & (F.size(shapes) * 6 < F.size(lines)), "generated: layout")
     )
+    return rule, F.when(F.size(claims) > 0, words)
 
 
 def forks(files: DataFrame, work: Workspace) -> DataFrame:
@@ -97,56 +123,77 @@ def forks(files: DataFrame, work: Workspace) -> DataFrame:
         parents = work.cut(parents.join(up, "origin", "left").select("repo", F.coalesce("next", "origin").alias("origin")))
 
 
-def shared_copies(files: DataFrame, work: Workspace) -> DataFrame:
-    """file_id of files below subtrees that unrelated repos share, one home of each subtree left out.
+def merkle_nodes(files: DataFrame, work: Workspace) -> DataFrame:
+    """repo, depth, path, parent, name, h, g, n, lines, vendored of every file and directory, bottom-up.
 
-    ``files``: file_id, repo, parts, h, g, bytes, vendored (whether a path rule names the place).
+    ``files``: file_id, repo, parts, h, g, lines, vendored (whether a path rule names the place). Each level reads the files of
+    its depth and the directories written before, so a path of any depth adds one small step and no plan grows with it.
     """
-    known = files.filter("repo is not null and size(parts) > 0")
-    deepest = known.agg(F.max(F.size("parts"))).first()[0] or 0
     path = F.array_join("parts", "/")
-    leaf = known.select("repo", F.size("parts").alias("depth"), path.alias("path"), F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("parent"), F.try_element_at("parts", F.lit(-1)).alias("name"), "h", "g", F.lit(1).cast("long").alias("n"), "bytes", F.col("vendored").cast("int").alias("vendored"))
-    levels, below = [], None
-    for depth in range(deepest, 0, -1):
-        here = leaf.filter(F.col("depth") == depth)
-        if below is not None:
-            here = here.unionByName(below)
-        levels.append(here)
-        up = here.filter(F.col("depth") > 1).groupBy("repo", "parent").agg(
-            F.bit_xor(F.xxhash64("name", "h", "g")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "g", "h", "name")).alias("g"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("vendored").alias("vendored")
+    leaf = files.select("repo", F.size("parts").alias("depth"), path.alias("path"), F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("parent"), F.try_element_at("parts", F.lit(-1)).alias("name"), "h", "g", F.lit(1).cast("long").alias("n"), "lines", F.col("vendored").cast("int").alias("vendored"))
+    leaf = work.cut(leaf, by="depth")
+    order = ["repo", "depth", "path", "parent", "name", "h", "g", "n", "lines", "vendored"]
+    nodes, below = [leaf.select(order)], None
+    for depth in range(leaf.agg(F.max("depth")).first()[0] or 0, 1, -1):
+        here = leaf.filter(F.col("depth") == depth).select(order)
+        here = here if below is None else here.unionByName(below)
+        up = here.groupBy("repo", "parent").agg(
+            F.bit_xor(F.xxhash64("name", "h", "g")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "g", "h", "name")).alias("g"), F.sum("n").alias("n"), F.sum("lines").alias("lines"), F.max("vendored").alias("vendored")
         )
-        below = up.select("repo", F.lit(depth - 1).alias("depth"), F.col("parent").alias("path"), F.regexp_replace("parent", r"/?[^/]*$", "").alias("parent"), F.regexp_extract("parent", r"[^/]*$", 0).alias("name"), "h", "g", "n", "bytes", "vendored")
-    if not levels:
-        return files.select("file_id").limit(0)
-    nodes = levels[0]
-    for x in levels[1:]:
-        nodes = nodes.unionByName(x)
-    nodes = work.cut(nodes.filter(F.col("bytes") >= SHARED_BYTES))
-    classes = nodes.groupBy("h", "g").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).filter("first <> last").select("h", "g")
-    members = work.cut(nodes.join(classes, ["h", "g"]))
-    kin = forks(known.select("repo", path.alias("path"), "h", "g"), work)
+        below = work.cut(up.select("repo", F.lit(depth - 1).alias("depth"), F.col("parent").alias("path"), F.regexp_replace("parent", r"/?[^/]*$", "").alias("parent"), F.regexp_extract("parent", r"[^/]*$", 0).alias("name"), "h", "g", "n", "lines", "vendored"))
+        nodes.append(below)
+    out = nodes[0]
+    for x in nodes[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def shared_copies(files: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(repo, path) of subtrees that unrelated repos share, one home of each left out; and (project) names that unrelated repos
+    give to a directory at a vendoring place or to a shared directory.
+
+    A file counts with ``SHARED_LINES`` distinct lines, or with ``NAMED_LINES`` under the same name; a directory's lines are those
+    of its files. ``files`` as for merkle_nodes.
+    """
+    nodes = merkle_nodes(files, work)
+    vendors = F.array(*map(F.lit, VENDOR_DIRS))
+    alike = F.when(F.col("lines") < SHARED_LINES, F.col("name")).otherwise("")
+    held = nodes.filter((F.col("lines") >= SHARED_LINES) | ((F.col("lines") >= NAMED_LINES) & (F.col("n") == 1))).withColumn("alike", alike)
+    classes = held.groupBy("h", "g", "alike").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).filter("first <> last").select("h", "g", "alike")
+    members = work.cut(held.join(classes, ["h", "g", "alike"]).select("repo", "path", "name", "depth", "n", "vendored", "h", "g", "alike"))
+    places = work.cut(nodes.filter(F.array_contains(vendors, F.lower(F.regexp_extract("parent", r"[^/]*$", 0)))).select("repo", F.lower("name").alias("project"), "path"))
+    kin = forks(files.select("repo", F.array_join("parts", "/").alias("path"), "h", "g"), work)
     told = members.join(kin, "repo", "left").withColumn("fork", F.col("origin").isNotNull()).withColumn("origin", F.coalesce("origin", "repo"))
-    witnesses = told.groupBy("h", "g").agg(F.min("origin").alias("first"), F.max("origin").alias("last"), F.min(F.struct("vendored", "depth", "fork", "repo", "path")).alias("home")).filter("first <> last")
-    copies = members.join(witnesses.select("h", "g", "home"), ["h", "g"]).filter((F.col("repo") != F.col("home.repo")) | (F.col("path") != F.col("home.path"))).select("repo", "path").distinct()
-    places = known.select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), F.lit(1), k), "/"))).alias("path"))
-    return places.join(copies, ["repo", "path"]).select("file_id").distinct()
+    witnesses = told.groupBy("h", "g", "alike").agg(F.min("origin").alias("first"), F.max("origin").alias("last"), F.min(F.struct("vendored", "depth", "fork", "repo", "path")).alias("home")).filter("first <> last")
+    copies = work.cut(members.join(witnesses.select("h", "g", "alike", "home"), ["h", "g", "alike"]).filter((F.col("repo") != F.col("home.repo")) | (F.col("path") != F.col("home.path"))).select("repo", "path", F.when(F.col("n") > 1, F.lower("name")).alias("project")).distinct())
+    named = places.select("repo", "project").unionByName(copies.filter("project is not null").select("repo", "project")).distinct()
+    names = named.join(kin, "repo", "left").withColumn("origin", F.coalesce("origin", "repo")).groupBy("project").agg(F.min("origin").alias("first"), F.max("origin").alias("last")).filter("first <> last").select("project")
+    projects = work.cut(names.filter(F.length("project") > 2))
+    found = copies.select("repo", "path", F.lit("vendored: shared subtree").alias("why")).unionByName(places.join(projects, "project").select("repo", "path", F.lit("vendored: shared project").alias("why")))
+    return found.groupBy("repo", "path").agg(F.max("why").alias("why")), projects
 
 
 def not_handwritten(files: DataFrame, work: Workspace | None = None) -> DataFrame:
     """file_id and reason of every file whose present state nobody wrote by hand in its repo.
 
-    Path rules hold for null and empty texts too; such texts have no layout and take no part in shared subtrees. Rows
-    without file_id are left out, a null path has no parts, a null repo shares nothing, repeated rows count once, and no
-    rows give no rows.
+    What unrelated repos share comes first, then the header and layout rules. Path rules hold for null and empty texts too; such
+    texts have no layout and take no part in shared subtrees. Rows without file_id are left out, a null path has no parts, a null
+    repo shares nothing, repeated rows count once, and no rows give no rows.
     """
     work = work or Workspace(files.sparkSession, "handwritten")
     parts = F.coalesce(clean_parts(F.col("relative_path")), F.array().cast("array<string>"))
     text = F.coalesce("text", F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+(?=\n|$)", ""), r"\s+$", "")
-    reason = evidence(F.col("repo"), parts, text)
+    rule, words = evidence(F.col("repo"), parts, text)
+    distinct_lines = F.size(F.array_distinct(F.filter(F.split(plain, "\n"), lambda s: F.trim(s) != "")))
     marked = files.filter("file_id is not null").select(
-        "file_id", "repo", "indexed_at", parts.alias("parts"), reason.alias("reason"), F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(11), plain).alias("g"), F.length(plain).cast("long").alias("bytes")
+        "file_id", "repo", "indexed_at", parts.alias("parts"), rule.alias("reason"), words.alias("words"), F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(11), plain).alias("g"), distinct_lines.cast("long").alias("lines"), (F.length(plain) > 0).alias("some")
     )
     now = work.cut(latest(marked, "file_id", "indexed_at").drop("indexed_at"))
-    copies = shared_copies(now.filter("bytes > 0").withColumn("vendored", F.coalesce(F.col("reason").startswith("vendored"), F.lit(False))), work).withColumn("copied", F.lit(True))
-    return now.join(copies, "file_id", "left").select("file_id", F.coalesce("reason", F.when(F.col("copied"), "vendored: shared subtree")).alias("reason")).filter("reason is not null")
+    known = now.filter("some and repo is not null and size(parts) > 0").withColumn("vendored", F.coalesce(F.col("reason").startswith("vendored"), F.lit(False)))
+    copies, projects = shared_copies(known, work)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), F.lit(1), k), "/"))
+    below = now.filter("repo is not null and size(parts) > 0").select("file_id", "repo", F.explode(prefixes).alias("path")).join(copies, ["repo", "path"]).select("file_id", "why")
+    naming = now.filter("words is not null").select("file_id", F.explode("words").alias("project")).join(projects, "project").select("file_id", F.lit("vendored: names a shared project").alias("why"))
+    shared = below.unionByName(naming).groupBy("file_id").agg(F.max("why").alias("why"))
+    return now.join(shared, "file_id", "left").select("file_id", F.coalesce("why", "reason").alias("reason")).filter("reason is not null")
