@@ -339,9 +339,8 @@ def test_merkle_nodes_equal_walking_the_trees(spark, tmp_path):
 )
 def test_header_rules(spark, head, want):
     rows = [(1, "r", "src/a.x", None, head + "\n\nlet a = 1\n", 1, NEW)]
-    got = handwritten.evidence(*[handwritten.F.col(c) for c in ("repo", "parts", "text")])[0]
     df = spark.createDataFrame(rows, FILES).withColumn("parts", handwritten.F.split("relative_path", "/"))
-    assert (df.select(got.alias("x")).first()["x"] or ":").split(":")[0] == (want or "")
+    assert (handwritten.with_evidence(df).first()["rule"] or ":").split(":")[0] == (want or "")
 
 
 # ------------------------------------------------------------------ functions and documentation

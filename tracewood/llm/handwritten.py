@@ -39,8 +39,8 @@ GENERATED_LINE = (
     rf"|\b(?:fichier|code)\b{_ON}\b(?:g[ée]n[ée]r[ée]|produit)e?\b{_ON}\b(?:par|partir)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b"
     rf"|\b(?:archivo|fichero|c[óo]digo)\b{_ON}\b(?:generado|producido)\b{_ON}\b(?:por|partir)\b|\bgenerado autom[áa]ticamente\b"
 )
-# A header says that the file is a copy: a word for copying beside a version or what it was copied from.
-_VERSION = r"(?:\bv|@|\b)\d+(?:\.\d+)+"
+HINT = r"(?i)generat|machine|emitted|produ|created|written|erzeugt|generiert|g[ée]n[ée]r"  # only such a line can be one of the above
+# A header says that the file is a copy: a word for copying, and of what.
 COPIED_LINE = (
     r"(?iU)^.*(?:\bvendored\b|\bbundled (?:copy|version)\b|\b(?:verbatim|unmodified|unchanged) copy\b|\bcopied (?:\w+ )?from\b|\b(?:fix|report|send) [\w ]*\bupstream\b"
     r"|\bunver[äa]ndert\w*|\bkopie (?:von|aus|der|des)\b|\bcopie (?:\w+ )?d[eu']|\bsans modifications?\b|\bcopia (?:\w+ )?del?\b|\bsin cambios\b)"
@@ -70,34 +70,34 @@ def footer(lines: Column) -> Column:
     return F.when(is_comment(F.try_element_at(lines, F.lit(-1))), F.array_join(F.filter(tail, is_comment), "\n")).otherwise("")
 
 
-def evidence(repo: Column, parts: Column, text: Column) -> tuple[Column, Column]:
-    """The rule that a file's path and text fall under, or null; and the words of header lines that could name a project."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
-    top = F.split(F.concat_ws("\n", header(text), footer(lines)), r"\r?\n")
-    said = F.filter(F.transform(top, lambda s: F.regexp_replace(s, DENIED, " ")), lambda s: F.length(s) > 3)
-    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.lower(p))
-    name = F.try_element_at(parts, F.lit(-1))
-    own = F.lower(F.coalesce(repo, F.lit("")))
-    owners = F.filter(F.transform(said, lambda s: F.lower(F.regexp_extract(s, COPYRIGHT, 1))), lambda o: (o != "") & (o != own))
-    claims = F.filter(said, lambda s: s.rlike(CLAIM))
-    words = F.filter(F.array_distinct(F.split(F.lower(F.array_join(claims, " ")), r"[^\p{L}\p{N}_.-]+|[.](?:\s|$)")), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}") & (w != own))
-    shapes = F.array_distinct(F.transform(lines, lambda s: F.regexp_replace(s, r"\d+", "0")))
-    long_text = F.array_join(F.filter(lines, lambda s: F.length(s) > 400), "\n")
-    size = F.greatest(F.length(text), F.lit(1))
-    solid = F.length(F.regexp_replace(long_text, r"\s+", "")) / F.greatest(F.length(long_text), F.lit(1))
-    values = F.regexp_replace(text, r"""(["'])[0-9A-Za-z+/=_-]{24,}\1|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d_]*(?:\.\d+)?\b|[,\s]""", "")
+def with_evidence(files: DataFrame) -> DataFrame:
+    """``files`` (repo, parts, text) with ``lines`` (without blank ones and white space at the end), ``rule`` (that path and text
+    fall under, or null) and ``words`` (of header lines that could name a project). Each step is computed once."""
+    rows = files.withColumn("lines", F.filter(F.transform(F.split("text", "\n"), lambda s: F.rtrim(s, F.lit(" \t\r"))), lambda s: s != ""))
+    rows = rows.withColumn("said", F.filter(F.split(F.concat_ws("\n", header(F.col("text")), footer(F.col("lines"))), r"\r?\n"), lambda s: F.length(s) > 3))
+    own = F.lower(F.coalesce("repo", F.lit("")))
+    rows = rows.withColumn("claims", F.filter("said", lambda s: s.rlike(CLAIM)))
+    folders = F.transform(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda p: F.lower(p))
+    name = F.try_element_at("parts", F.lit(-1))
+    owners = F.filter(F.transform("claims", lambda s: F.lower(F.regexp_extract(s, COPYRIGHT, 1))), lambda o: (o != "") & (o != own))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.array_join("claims", " ")), r"[^\p{L}\p{N}_.-]+|[.](?:\s|$)")), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}") & (w != own))
+    shapes = F.array_distinct(F.transform("lines", lambda s: F.translate(s, "0123456789", "")))
+    long_text = F.array_join(F.filter("lines", lambda s: F.length(s) > 400), "\n")
+    size = F.greatest(F.length("text"), F.lit(1))
+    solid = F.length(F.translate(long_text, " \t\n", "")) / F.greatest(F.length(long_text), F.lit(1))
+    values = F.regexp_replace("text", r"""(["'])[0-9A-Za-z+/=_-]{24,}\1|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d_]*(?:\.\d+)?\b|[,\s]""", "")
     rule = (
         F.when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))), "vendored: directory")
         .when(F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated: directory")
         .when(name.rlike(GENERATED_NAME), "generated: name")
         .when(name.rlike(MINIFIED_NAME), "minified: name")
-        .when(F.exists(said, lambda s: s.rlike(GENERATED_LINE)), "generated: header")
-        .when(F.exists(said, lambda s: s.rlike(COPIED_LINE)) | (F.size(owners) > 0), "vendored: header")
+        .when(F.exists("said", lambda s: s.rlike(HINT) & F.regexp_replace(s, DENIED, " ").rlike(GENERATED_LINE)), "generated: header")
+        .when(F.exists("said", lambda s: s.rlike(COPIED_LINE)) | (F.size(owners) > 0), "vendored: header")
         .when((F.length(long_text) * 2 > size) & (solid > 0.92), "minified: layout")
         .when((size >= 200) & (F.length(values) * 4 < size), "data: layout")
-        .when((F.size(lines) >= 20) & (F.size(shapes) * 6 < F.size(lines)), "generated: layout")
+        .when((F.size("lines") >= 20) & (F.size(shapes) * 6 < F.size("lines")), "generated: layout")
     )
-    return rule, F.when(F.size(claims) > 0, words)
+    return rows.withColumn("rule", rule).withColumn("words", F.when(F.size("claims") > 0, words)).drop("said", "claims")
 
 
 def forks(files: DataFrame, work: Workspace) -> DataFrame:
@@ -182,15 +182,11 @@ def not_handwritten(files: DataFrame, work: Workspace | None = None) -> DataFram
     """
     work = work or Workspace(files.sparkSession, "handwritten")
     parts = F.coalesce(clean_parts(F.col("relative_path")), F.array().cast("array<string>"))
-    text = F.coalesce("text", F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+(?=\n|$)", ""), r"\s+$", "")
-    rule, words = evidence(F.col("repo"), parts, text)
-    distinct_lines = F.size(F.array_distinct(F.filter(F.split(plain, "\n"), lambda s: F.trim(s) != "")))
-    marked = files.filter("file_id is not null").select(
-        "file_id", "repo", "indexed_at", parts.alias("parts"), rule.alias("reason"), words.alias("words"), F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(11), plain).alias("g"), distinct_lines.cast("long").alias("lines"), (F.length(plain) > 0).alias("some")
-    )
+    chosen = files.filter("file_id is not null").select("file_id", "repo", "indexed_at", parts.alias("parts"), F.coalesce("text", F.lit("")).alias("text"))
+    distinct = F.size(F.array_distinct("lines")).cast("long")
+    marked = with_evidence(chosen).select("file_id", "repo", "indexed_at", "parts", F.col("rule").alias("reason"), "words", F.xxhash64("lines").alias("h"), F.xxhash64(F.lit(11), "lines").alias("g"), distinct.alias("lines"))
     now = work.cut(latest(marked, "file_id", "indexed_at").drop("indexed_at"))
-    known = now.filter("some and repo is not null and size(parts) > 0").withColumn("vendored", F.coalesce(F.col("reason").startswith("vendored"), F.lit(False)))
+    known = now.filter("lines > 0 and repo is not null and size(parts) > 0").withColumn("vendored", F.coalesce(F.col("reason").startswith("vendored"), F.lit(False)))
     copies, projects = shared_copies(known, work)
     prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), F.lit(1), k), "/"))
     below = now.filter("repo is not null and size(parts) > 0").select("file_id", "repo", F.explode(prefixes).alias("path")).join(copies, ["repo", "path"]).select("file_id", "why")
