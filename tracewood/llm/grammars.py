@@ -25,7 +25,9 @@ import <- "import" dotted ("as" name)? ("," dotted ("as" name)?)* / "from" ("."
 names <- name ("as" name)? ("," name ("as" name)?)*
 dotted <- name ("." name)*
 alias <- "type" name tparams? "=" test
-assignment <- stars (":" test ("=" value)? / augmented value / ("=" value)*)
+assignment <- (places "=")+ value / place ":" test ("=" value)? / place augmented value / stars !("=" / ":" / augmented)
+places <- ("*"? place) ("," "*"? place)* ","?
+place <- atom (trailer &("." / "(" / "["))* ("." name / "[" subscripts "]") / name / "(" places? ")" / "[" places? "]"
 augmented <~ "+=" / "-=" / "*=" / "/=" / "//=" / "%=" / "@=" / "&=" / "|=" / "^=" / ">>=" / "<<=" / "**="
 value <- yield / stars
 yield <- "yield" ("from" test / stars?)
@@ -63,8 +65,10 @@ operator <~ "or" / "and" / "not" "in" / "in" / "is" "not"? / "<" / ">" / "==" /
 unary <- ("not" / "-" / "+" / "~" / "await")* primary
 primary <- atom trailer*
 trailer <- "." name / "(" args? ")" / "[" subscripts "]"
-args <- arg ("," arg)* ","?
-arg <- ("*" / "**") test / name "=" test / named comp?
+args <- arg ("," arg)* ("," keyword)* ("," last)* ","? / keyword ("," keyword)* ("," last)* ","? / last ("," last)* ","?
+arg <- "*" test / !(name "=") named comp?
+keyword <- name "=" test / "*" test
+last <- name "=" test / "**" test
 subscripts <- subscript ("," subscript)* ","?
 subscript <- test? ":" test? (":" test?)? / star
 atom <- name / NUM / string / "(" (yield / stars comp?)? ")" / "[" (stars comp?)? "]" / "{" (dict / stars comp?)? "}" / "..." / "None" / "True" / "False"
