@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tracewood.operators.hierarchy import class_parents, hierarchy
+from tracewood.operators.hierarchy import class_parents, hierarchy, walk
 
 
 def brute(links):
@@ -22,13 +22,31 @@ def brute(links):
     return out
 
 
-@pytest.mark.parametrize("rows_per_task", [200_000, 3])
-def test_random_forests_with_rings(spark, rows_per_task):
+def circle_ends(links):
+    """The node before the least one of every circle."""
+    parent = {}
+    for n, p in links:
+        if n is not None:
+            old = parent.get(n)
+            parent[n] = p if old is None else (old if p is None else min(old, p))
+    out = set()
+    for n in parent:
+        ring, v = [n], parent[n]
+        while v in parent and v not in ring:
+            ring.append(v)
+            v = parent[v]
+        if v in parent and v == n:
+            out.add(ring[ring.index(min(ring)) - 1])
+    return out
+
+
+@pytest.mark.parametrize("path_cells", [200_000, 3])
+def test_random_forests_with_rings(spark, path_cells):
     rng = random.Random(5)
     links = [(n, rng.choice([None, 999, *range(1, 40)])) for n in range(1, 40)] + [(100 + k, 99 + k if k else None) for k in range(30)]
     links += [(None, 3), (7, 7), links[3]]
     df = spark.createDataFrame(links, "node long, parent long").selectExpr("node", "parent", "'x' as comp", "1 as ptr", "true as done")
-    got = {r["node"]: r for r in hierarchy(df, component_rows=rows_per_task).collect()}
+    got = {r["node"]: r for r in hierarchy(df, path_cells=path_cells).collect()}
     want = brute(links)
     assert {n: (r["root"], r["depth"]) for n, r in got.items()} == want
     for n, r in got.items():
@@ -37,8 +55,16 @@ def test_random_forests_with_rings(spark, rows_per_task):
             assert r["descendants"] == sum(n in x["path"] and m != n for m, x in got.items())
         else:
             assert r["path"] == [] and r["descendants"] == -1
-    rings = [n for n, r in got.items() if r["back_edge"]]
-    assert rings and all(want[n] == (-1, -1) for n in rings)
+    assert {n for n, r in got.items() if r["back_edge"]} == circle_ends(links)
+
+
+def test_back_edges_do_not_hang_on_the_order_of_rows():
+    import numpy as np
+
+    for order in ([1, 2, 3, 4], [4, 3, 2, 1], [2, 3, 1, 4]):
+        up = {1: 2, 2: 3, 3: 1, 4: 1}  # 4 lies below the circle
+        rows = walk(np.array(order), np.array([up[v] for v in order]))
+        assert rows["node"][rows["back_edge"]].tolist() == [3]
 
 
 def test_empty(spark):

@@ -4,8 +4,8 @@
    is the logarithm of the depth. Nodes that never reach a root lie on or below a circle.
 2. Components are co-located (hash of the component) and each is walked by an iterative depth-first traversal with node
    colours: paths and depths going down from the root, back edges where a walk meets a grey node.
-3. A component larger than ``component_rows`` never goes into one task: its roots and depths are those of the doubling,
-   its paths are joined together from doubled path pieces.
+3. A component whose paths hold more than ``path_cells`` nodes together never goes into one task: its roots and depths are those
+   of the doubling, its paths are joined together from doubled path pieces. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracewood.functions.text import latest, plain_class_name
 from tracewood.session import Workspace
 
-COMPONENT_ROWS = 200_000
+PATH_CELLS = 4_000_000  # 32 MB of paths; the sum of a component's depths, so a long chain counts in full
 SCHEMA = "node long, parent long, root long, depth long, path array<long>, descendants long, back_edge boolean"
 
 
@@ -52,7 +52,7 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         start.select("node", "parent", F.coalesce("parent", "node").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.least("node", F.coalesce("parent", "node")).alias("low"), F.col("parent").isNull().alias("done"), F.lit(None).cast("long").alias("comp"))
     )
     finished: list[DataFrame] = [state.filter("done")]
-    active, keep = state.filter("not done"), [state]
+    active = state.filter("not done")
     last = -1
     while True:
         # the ancestor's row may be a finished one: then the node is finished too
@@ -62,7 +62,6 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
             F.col("_low").alias("comp"), F.coalesce(F.col("comp") == F.col("_low"), F.lit(False)).alias("same"),
         )
         step = work.cut(step)
-        keep.append(step)
         counts = step.agg(F.count("*").alias("n"), F.sum(F.col("done").cast("int")).alias("done"), F.sum((~F.col("done") & ~F.col("same")).cast("int")).alias("moved")).first()
         step = step.drop("same")
         finished.append(step.filter("done"))
@@ -113,16 +112,17 @@ def walk(node: np.ndarray, parent: np.ndarray) -> pd.DataFrame:
                 if up[v] >= 0:
                     below[up[v]] += below[v] + 1
     for s in range(n):  # white nodes lie on or below a circle
-        v = s
+        v, trail = s, []
         while colour[v] == 0:
             colour[v] = 1
-            if colour[up[v]] == 1:
-                back[v] = True
-            v = up[v]
-        v = s
-        while colour[v] == 1:
-            colour[v] = 2
+            trail.append(v)
             v = up[v]
+        if colour[v] == 1:  # a grey node is met again: its circle is closed by the link to its least node
+            ring = trail[trail.index(v) :]
+            least = min(ring, key=lambda i: node[i])
+            back[ring[ring.index(least) - 1]] = True
+        for i in trail:
+            colour[i] = 2
     return pd.DataFrame({"node": node, "parent": pd.array([int(node[p]) if p >= 0 else None for p in up], dtype="Int64"), "root": root, "depth": depth, "path": path, "descendants": [below[i] if depth[i] >= 0 else -1 for i in range(n)], "back_edge": back})
 
 
@@ -155,22 +155,25 @@ def _large(parts: DataFrame, work: Workspace) -> DataFrame:
     below = state.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("node").agg(F.count("*").alias("descendants"))
     trees = state.join(below, "node", "left").select("node", "parent", "root", "depth", "path", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.lit(False).alias("back_edge"))
     empty = F.array().cast("array<long>")
-    rings = parts.filter("circular").select("node", "parent", F.lit(-1).cast("long").alias("root"), F.lit(-1).cast("long").alias("depth"), empty.alias("path"), F.lit(-1).cast("long").alias("descendants"), (F.col("parent") == F.col("comp")).alias("back_edge"))
+    # pointers of 2^k steps lead from every node to its circle and from a circle's nodes to all of them
+    on_ring = parts.filter("circular").select(F.col("ptr").alias("node"), F.lit(True).alias("on_ring")).distinct()
+    rings = parts.filter("circular").join(on_ring, "node", "left").select("node", "parent", F.lit(-1).cast("long").alias("root"), F.lit(-1).cast("long").alias("depth"), empty.alias("path"), F.lit(-1).cast("long").alias("descendants"), (F.coalesce("on_ring", F.lit(False)) & (F.col("parent") == F.col("comp"))).alias("back_edge"))
     return trees.unionByName(rings)
 
 
-def hierarchy(links: DataFrame, component_rows: int = COMPONENT_ROWS, work: Workspace | None = None) -> DataFrame:
+def hierarchy(links: DataFrame, path_cells: int = PATH_CELLS, work: Workspace | None = None) -> DataFrame:
     """Root, depth, path from the root, number of descendants and back edges of every node of (node, parent) rows.
 
-    Nodes on or below a circle have root, depth and descendants -1 and an empty path; ``back_edge`` marks the row whose
-    parent link closes a circle. Null nodes are dropped, a repeated node keeps its least parent, a parent that is no node
+    Nodes on or below a circle have root, depth and descendants -1 and an empty path; ``back_edge`` marks, once per circle, the
+    node on it whose parent is the circle's least node. Null nodes are dropped, a repeated node keeps its least parent, a parent that is no node
     makes its child a root, further columns are ignored, and no rows give no rows.
     """
     spark = links.sparkSession
     work = work or Workspace(spark, "hierarchy")
     links = links.filter("node is not null").groupBy(F.col("node").cast("long").alias("node")).agg(F.min(F.col("parent").cast("long")).alias("parent"))
     parts = work.cut(components(work.cut(links), work))
-    big = work.cut(parts.groupBy("comp").count().filter(F.col("count") > component_rows).select("comp", F.lit(True).alias("big")))
+    cells = F.sum(F.when(F.col("circular"), 1).otherwise(F.col("hops") + 1))
+    big = work.cut(parts.groupBy("comp").agg(cells.alias("cells")).filter(F.col("cells") > path_cells).select("comp", F.lit(True).alias("big")))
     if not big.take(1):
         return parts.repartition("comp").sortWithinPartitions("comp").select("node", "parent", "comp").mapInPandas(_walk_partition, SCHEMA)
     told = parts.join(big, "comp", "left")

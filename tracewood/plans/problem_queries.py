@@ -27,6 +27,11 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select("node", "depth", F.posexplode("path").alias("pos", "up")).filter("up <> node").select(F.col("up").alias("node"), F.col("node").alias("descendant"), (F.col("depth") - F.col("pos")).cast("long").alias("distance"))
 
 
+def p3_circles(spark: SparkSession, folder: str) -> DataFrame:
+    """(node, parent) of the link that closes each circle of bases."""
+    return hierarchy(class_parents(table(spark, folder, "class_facts"))).filter("back_edge").select("node", "parent")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return heavy_symbols(table(spark, folder, "scip_occurrence")).select("symbol")
 
@@ -35,7 +40,7 @@ def p4_symbol_figures(spark: SparkSession, folder: str) -> DataFrame:
     return symbol_figures(table(spark, folder, "scip_occurrence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p4_found, p4_symbol_figures)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p3_circles, p4_found, p4_symbol_figures)}
 
 _PLAIN = r"""
   nullif(regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0},
@@ -59,6 +64,10 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN t.node IS NULL THEN -1 ELSE coalesce(b.descendants, 0) END AS descendants FROM links l LEFT JOIN tree t USING (node) LEFT JOIN below b USING (node)""",
     "p3_descendants": f"""WITH RECURSIVE {_PARENTS}, ups AS (SELECT node, depth, unnest(string_split(path, '/'))::BIGINT AS up, generate_subscripts(string_split(path, '/'), 1) AS pos FROM tree)
         SELECT up AS node, node AS descendant, depth - pos + 1 AS distance FROM ups WHERE up <> node""",
+    "p3_circles": f"""WITH RECURSIVE {_PARENTS}, rest AS (SELECT l.node, l.parent FROM links l WHERE NOT EXISTS (FROM tree t WHERE t.node = l.node)),
+        far AS (SELECT node, parent AS up FROM rest UNION SELECT f.node, r.parent FROM far f JOIN rest r ON r.node = f.up),
+        rings AS (SELECT f.node, min(f.up) AS least FROM far f WHERE EXISTS (FROM far o WHERE o.node = f.node AND o.up = f.node) GROUP BY f.node)
+        SELECT r.node, r.parent FROM rest r JOIN rings g USING (node) WHERE r.parent = g.least""",
     "p4_found": f"""WITH once AS (SELECT DISTINCT occ_id, {_SYMBOL} AS symbol FROM scip_occurrence WHERE occ_id IS NOT NULL)
         SELECT symbol FROM once WHERE symbol IS NOT NULL GROUP BY symbol HAVING count(*) * 100 >= (SELECT count(*) FROM once)""",
     "p4_symbol_figures": f"""WITH once AS (SELECT occ_id, {_SYMBOL} AS symbol, repo, relative_path, bool_or(coalesce(symbol_roles & 1, 0) = 1) AS def FROM scip_occurrence
