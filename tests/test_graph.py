@@ -134,3 +134,41 @@ def test_unknown_confidence_is_an_error():
     assert confidence_floor("inferred") == 1 and confidence_floor(None) == 0
     with pytest.raises(ValueError):
         confidence_floor("certain")
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_nearest_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(40, 4)), 1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, [None, 1.0, 1.0, 1.0])], "node long, vec array<double>").selectExpr("*", "1 as query", "2 as block", "3 as width")
+    asked = df.filter("node % 3 = 0").select("node", "vec").withColumnRenamed("node", "query")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    got = {(r["query"], r["rank"]): r["node"] for r in embed.nearest(asked, df, 3, block).collect()}
+    assert got == {(q, k + 1): n for q in range(0, 40, 3) for k, n in enumerate(sorted((n for n in range(40) if n != q), key=lambda n: (-s[q, n], n))[:3])}
+    assert embed.nearest(asked.limit(0), df, 3).collect() == []
+
+
+def test_cycles_equal_enumeration(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    pairs = sorted({(f"f{rng.randrange(7)}", f"f{rng.randrange(7)}") for _ in range(22)})
+    df = spark.createDataFrame(pairs, "from_file string, to_file string")
+    want = [list(p) for n in range(2, 6) for p in itertools.permutations(sorted({x for e in pairs for x in e}), n) if p[0] == min(p) and all(e in pairs for e in zip(p, (*p[1:], p[0]), strict=True))]
+    want.sort(key=lambda p: (len(p), p))
+    assert sorted((r["files"] for r in graph.cycles(df, 5).collect()), key=lambda p: (len(p), p)) == want and len(want) > 5
+    assert [r["files"] for r in graph.cycles(df, 5, limit=4).collect()] == want[:4]
+
+
+def test_cohesion_of_some_nodes(spark):
+    rng = np.random.default_rng(2)
+    links = {tuple(sorted(map(int, e))) for e in rng.integers(0, 14, (40, 2)) if e[0] != e[1]}
+    adjacency = spark.createDataFrame([e for a, b in links for e in ((a, b), (b, a))], "a long, b long")
+    whole = {r["node"]: r for r in graph.cohesion(adjacency).collect()}
+    some = graph.cohesion(adjacency, spark.createDataFrame([(n,) for n in (0, 3, 5, 99)], "node long")).collect()
+    assert {r["node"] for r in some} == {0, 3, 5} & set(whole) and all(r == whole[r["node"]] for r in some)
+    for n, r in whole.items():
+        near = [b for a, b in links if a == n] + [a for a, b in links if b == n]
+        assert r["linked"] == sum((min(x, y), max(x, y)) in links for i, x in enumerate(near) for y in near[:i])

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tracewood.operators import history, resolve, retrieval, scip, spans, unused
 
 
@@ -104,3 +106,31 @@ def test_calls_resolve_nearest_first(spark):
     assert [(r["callee"], r["common"]) for r in resolve.untraced(loose, "a/b/e.py").collect()] == [("x", 2), ("y", 1), ("z", 0)]
     refs = spark.createDataFrame([("ci.yml", "build", "t/a.sh"), ("ci.yml", "build", "t/a.sh"), ("ci.yml", "build", "gone.sh")], "file string, job string, path string")
     assert [tuple(r) for r in resolve.file_references(refs, spark.createDataFrame([("t/a.sh",)], "file string")).collect()] == [("ci.yml", "build", "t/a.sh")]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_touched_equals_brute_force(spark, block):
+
+    rng = random.Random(6)
+    ranges = [(f"f{n % 2}", n, a, a + rng.randrange(9)) for n in range(40) for a in [rng.randrange(1, 25)]]
+    hunks = [(f"f{n % 2}", a, a + rng.randrange(-1, 6)) for n in range(14) for a in [rng.randrange(1, 30)]]
+    want = set()
+    for f, a, b in hunks:
+        hit = [(n, s, e) for g, n, s, e in ranges if g == f and (s <= b and a <= e if a <= b else s < a <= e)]
+        want |= {(f, n) for n, s, e in hit if not any(s <= s2 and e2 <= e and e2 - s2 < e - s for _, s2, e2 in hit)}
+    got = spans.touched(spark.createDataFrame(hunks, "file string, first int, last int"), spark.createDataFrame(ranges, "file string, node int, first int, last int"), block=block)
+    assert {(r["file"], r["node"]) for r in got.collect()} == want and want
+
+
+def test_running_totals(spark):
+    from pyspark.sql import functions as F
+
+    from tracewood.session import Workspace, running
+
+    rows = [(n * 37 % 101, n % 5 + 1) for n in range(101)]
+    got = running(spark.createDataFrame(rows, "k int, w int").repartition(7), [F.desc("k")], "w", Workspace(spark, "test")).collect()
+    before, want = 0, {}
+    for place, (k, w) in enumerate(sorted(rows, reverse=True)):
+        want[k] = (place, before)
+        before += w
+    assert {r["k"]: (r["place"], r["before"]) for r in got} == want

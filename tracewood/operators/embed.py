@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 64
@@ -41,52 +41,75 @@ def unit(vec):
     return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
-def propagate(vectors: DataFrame, links: DataFrame) -> DataFrame:
+def propagate(vectors: DataFrame, links: DataFrame, dims: int = DIMS) -> DataFrame:
     """One round: a node with links (src, dst) becomes 0.35 of itself and 0.65 of its neighbours' mean, where a neighbour
-    without links of its own weighs 0.3; others stay. Unit length. Means are taken per dimension, combined before the shuffle."""
+    without links of its own weighs 0.3; others stay. Unit length. A node's sums are one row of ``dims`` numbers, combined before
+    the shuffle."""
     starts = links.select(F.col("src").alias("node")).distinct().withColumn("moves", F.lit(True))
     told = vectors.join(starts, "node", "left")
-    near = links.select("src", F.col("dst").alias("node")).join(told, "node").select(F.col("src").alias("node"), F.when(F.col("moves"), 1.0).otherwise(SINK).alias("w"), F.posexplode("vec").alias("dim", "x"))
-    mean = near.groupBy("node", "dim").agg((F.sum(F.col("w") * F.col("x")) / F.count("*")).alias("m"))
-    own = told.select("node", "moves", F.posexplode("vec").alias("dim", "x"))
-    mixed = own.join(mean, ["node", "dim"], "left").withColumn("y", F.when(F.col("moves") & F.col("m").isNotNull(), OWN * F.col("x") + NEAR * F.col("m")).otherwise(F.col("x")))
-    vecs = mixed.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "y"))), lambda s: s["y"]).alias("vec"))
-    return vecs.select("node", unit(F.col("vec")).alias("vec"))
+    near = links.select("src", F.col("dst").alias("node")).join(told, "node").select(F.col("src").alias("node"), F.when(F.col("moves"), 1.0).otherwise(SINK).alias("w"), "vec")
+    sums = near.groupBy("node").agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.element_at("vec", i + 1)).alias(f"s{i}") for i in range(dims)])
+    mean = sums.select("node", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(dims)]).alias("mean"))
+    mixed = F.when(F.col("moves") & F.col("mean").isNotNull(), F.zip_with("vec", "mean", lambda x, m: OWN * x + NEAR * m)).otherwise(F.col("vec"))
+    return told.join(mean, "node", "left").select("node", unit(mixed).alias("vec"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+BLOCK_ROWS = 20_000  # rows of a block of queries or vectors
+
+
+def _packed(rows: DataFrame, block: Column, names: tuple[str, str]) -> DataFrame:
+    """(block, ids, flat): whole blocks of vectors of one width, a row each."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField(names[0], T.BinaryType()), T.StructField(names[1], T.BinaryType())])
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id", kind="stable")
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "width": [int(pdf["width"].iloc[0])], names[0]: [pdf["id"].to_numpy(np.int64).tobytes()], names[1]: [x.tobytes()]})
+
+    return rows.withColumn("block", block).withColumn("width", F.size("vec")).groupBy("block", "width").applyInPandas(run, schema)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, node, score, rank): the k vectors (node, vec) of largest cosine to each query (query, vec), itself left out.
 
-    Exact: queries are held in blocks of bounded size against every Arrow batch, each of which keeps only its own k best,
-    so the shuffle carries k rows per query and batch. Ties go to the lower node; vectors of other length or null don't count.
+    Exact: blocks of queries meet blocks of vectors in tasks of their own, so neither side is held by the driver or broadcast,
+    and each pair of blocks keeps only its own k best: the last shuffle carries k rows per query and block of vectors. Ties go to
+    the lower node; vectors of other length than the query, null ones and those with a null in them don't count.
     """
-    spark = queries.sparkSession
-    rows = queries.select("query", "vec").filter("query is not null and vec is not null").orderBy("query")
-    count = rows.count()
-    out = None
-    for start in range(0, max(count, 1), 20_000):
-        block = rows.offset(start).limit(20_000).collect()
-        ids = np.array([r["query"] for r in block], dtype=np.int64)
-        width = max((len(r["vec"]) for r in block), default=0)
-        q = np.array([r["vec"] if len(r["vec"]) == width else [0.0] * width for r in block], dtype=np.float64).reshape(len(block), width)
-        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                rows = [(n, v) for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if n is not None and v is not None and len(v) == width]
-                if not rows or not len(ids):
-                    continue
-                nodes = np.array([n for n, _ in rows], dtype=np.int64)
-                x = np.array([v for _, v in rows], dtype=np.float64)
-                score = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 6)
-                score[ids[:, None] == nodes[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(nodes, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1)
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], order.shape)[keep]), pa.array(nodes[order][keep]), pa.array(best[keep])], names=["query", "node", "score"])
-
-        part = vectors.select(F.col("node").cast("long").alias("node"), "vec").mapInArrow(run, "query long, node long, score double")
-        out = part if out is None else out.unionByName(part)
+    sound = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).filter("id is not null and vec is not null and size(vec) > 0").filter(~F.exists("vec", lambda x: x.isNull()))
+    asked, given = sound(queries, "query").distinct(), sound(vectors, "node")
+    parts = max(1, -(-asked.count() // block_rows)), max(1, -(-given.count() // block_rows))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    q = _packed(asked, place(parts[0]), ("q_ids", "q"))
+    v = _packed(given, place(parts[1]), ("v_ids", "v")).withColumnRenamed("block", "v_block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))))
+    both = v.join(q, ["block", "width"]).repartition(parts[0] * parts[1], "block", "v_block").select("width", "q_ids", "q", "v_ids", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                ids, nodes = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["v_ids"], np.int64)
+                x, y = (np.frombuffer(row[c]).reshape(-1, row["width"]) for c in ("q", "v"))
+                for at in range(0, len(ids), 500):  # 500 rows of scores at once
+                    mine = ids[at : at + 500]
+                    score = np.round(x[at : at + 500] @ y.T, 6)
+                    score[mine[:, None] == nodes[None, :]] = -np.inf
+                    if score.shape[1] > 4 * k:  # all that may be among the k best, ties included
+                        least = np.partition(score, -k, axis=1)[:, -k]
+                        r, c = np.nonzero(score >= least[:, None])
+                    else:
+                        r, c = np.nonzero(np.ones(score.shape, dtype=bool))
+                    s = score[r, c]
+                    order = np.lexsort((nodes[c], -s, r))
+                    r, c, s = r[order], c[order], s[order]
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    keep = (rank < k) & np.isfinite(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[r[keep]]), pa.array(nodes[c[keep]]), pa.array(s[keep])], names=["query", "node", "score"])
+
+    found = both.mapInArrow(run, "query long, node long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

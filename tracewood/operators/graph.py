@@ -167,22 +167,39 @@ def file_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.filter("from_file <> to_file").groupBy("from_file", "to_file").agg(F.max("confidence").alias("confidence"))
 
 
-def cycles(pairs: DataFrame, max_len: int, work: Workspace | None = None) -> DataFrame:
-    """(files, length): simple cycles of (from_file, to_file) pairs, each once, beginning at its least file.
+def cycles(pairs: DataFrame, max_len: int, limit: int | None = None, work: Workspace | None = None) -> DataFrame:
+    """(files, length): simple cycles of (from_file, to_file) pairs, each once, beginning at its least file; with ``limit`` the
+    first so many by length and files, and no longer ones are looked for once that many are found.
 
-    Paths grow by one file per round and only over files above their start, so a cycle has one spelling.
+    Paths grow by one file per round and only over files above their start, so a cycle has one spelling. A file is stepped on
+    only if it leads back to the start within the steps left, so paths that close no cycle are never built.
     """
     work = work or Workspace(pairs.sparkSession, "cycles")
-    links = work.cut(pairs.select(F.col("from_file").alias("a"), F.col("to_file").alias("b")).distinct())
+    links = work.cut(pairs.select(F.col("from_file").alias("a"), F.col("to_file").alias("b")).filter("a <> b").distinct())
+    for _ in range(3):  # files without a way in or out lie on no cycle
+        links = work.cut(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
+    back = work.cut(links.filter("a > b").select(F.col("b").alias("start"), F.col("a").alias("node"), F.lit(1).alias("dist")))
+    edge = back
+    for dist in range(2, max_len):
+        step = edge.select("start", F.col("node").alias("b")).join(links, "b").filter("a > start").select("start", F.col("a").alias("node")).distinct()
+        edge = work.cut(step.join(back, ["start", "node"], "left_anti").withColumn("dist", F.lit(dist)))
+        if edge.isEmpty():
+            break
+        back = back.unionByName(edge)
     paths = links.filter("b > a").select(F.col("a").alias("start"), F.col("b").alias("tip"), F.array("a", "b").alias("files"))
-    out = None
+    out, count = None, 0
     for length in range(2, max_len + 1):
-        paths = work.cut(paths)
-        closed = paths.join(links.select(F.col("a").alias("tip"), F.col("b").alias("start")), ["tip", "start"]).select("files", F.lit(length).alias("length"))
+        near = back.filter(F.col("dist") <= max_len + 1 - length).select("start", F.col("node").alias("tip"), (F.col("dist") == 1).alias("closes"))
+        paths = work.cut(paths.join(near, ["start", "tip"]))
+        closed = paths.filter("closes").select("files", F.lit(length).alias("length"))
         out = closed if out is None else out.unionByName(closed)
+        if limit is not None:
+            count += closed.count()
+            if count >= limit:
+                break
         if length < max_len:
             paths = paths.join(links.select(F.col("a").alias("tip"), F.col("b").alias("next")), "tip").filter("next > start and not array_contains(files, next)").select("start", F.col("next").alias("tip"), F.concat("files", F.array("next")).alias("files"))
-    return out
+    return out if limit is None else out.orderBy("length", "files").limit(limit)
 
 
 def covers(pattern, file):
@@ -211,37 +228,50 @@ def contracted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls(edges, nodes).groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.max("confidence").alias("confidence"))
 
 
-def cohesion(adjacency: DataFrame) -> DataFrame:
+def cohesion(adjacency: DataFrame, of: DataFrame | None = None, work: Workspace | None = None) -> DataFrame:
     """(node, peers, linked, cohesion): share of a node's neighbour pairs that are linked themselves; 1 below two peers.
+    ``of``: only these nodes (node).
 
-    Every triangle is found once, from its node of least degree, so a hub's neighbour pairs are never formed.
+    Every triangle is found from its node of least degree, so a hub's neighbour pairs are never formed.
     """
-    one = adjacency.select("a", "b").distinct()
-    size = one.groupBy("a").agg(F.count("*").alias("d"))
+    work = work or Workspace(adjacency.sparkSession, "cohesion")
+    one = work.cut(adjacency.select("a", "b").distinct())
+    size = work.cut(one.groupBy("a").agg(F.count("*").alias("d")))
     half = one.filter("a < b").join(size.select("a", F.col("d").alias("da")), "a").join(size.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
     low = F.when((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))), True).otherwise(False)
-    directed = half.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
-    wedge = directed.select("x", F.col("y").alias("y1")).join(directed.select("x", F.col("y").alias("y2")), "x").filter("y1 < y2")
-    triangles = wedge.join(half.select(F.col("a").alias("y1"), F.col("b").alias("y2")), ["y1", "y2"])
-    linked = triangles.select(F.explode(F.array("x", "y1", "y2")).alias("a")).groupBy("a").agg(F.count("*").alias("linked"))
+    directed = work.cut(half.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")))
+    if of is None:
+        wedge = directed.select("x", F.col("y").alias("y1")).join(directed.select("x", F.col("y").alias("y2")), "x").filter("y1 < y2")
+        triangles = wedge.join(one.select(F.col("a").alias("y1"), F.col("b").alias("y2")), ["y1", "y2"])
+        linked = triangles.select(F.explode(F.array("x", "y1", "y2")).alias("a")).groupBy("a").agg(F.count("*").alias("linked"))
+    else:  # an edge lies among a node's neighbours if both its ends do; ends of less degree have few
+        size = size.join(of.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+        mine = work.cut(one.join(size.select(F.col("a").alias("b")), "b", "left_semi"))
+        met = directed.join(mine.select(F.col("a").alias("x"), F.col("b").alias("of")), "x").join(mine.select(F.col("a").alias("y"), F.col("b").alias("of")), ["y", "of"], "left_semi")
+        linked = met.groupBy(F.col("of").alias("a")).agg(F.count("*").alias("linked"))
     out = size.join(linked, "a", "left").select(F.col("a").alias("node"), F.col("d").alias("peers"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"))
     pairs = F.col("peers") * (F.col("peers") - 1) / 2
     return out.withColumn("cohesion", F.round(F.when(F.col("peers") < 2, 1.0).otherwise(F.col("linked") / pairs), 6))
 
 
-def hub_candidates(edges: DataFrame, nodes: DataFrame, factor: float = 2.0, most_cohesion: float = 0.5, files: int = 2) -> DataFrame:
+def hub_candidates(edges: DataFrame, nodes: DataFrame, factor: float = 2.0, most_cohesion: float = 0.5, files: int = 2, work: Workspace | None = None) -> DataFrame:
     """Nodes that bridge unrelated files: degree at least ``factor`` times the upper median of degrees above one, an
     incoming edge, low cohesion, neighbours in several files. All are judged on the whole graph; removal one after
-    another, as the partition needs it, is part of ``community``."""
-    adjacency = undirected(edges)
-    weights = adjacency.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
+    another, as the partition needs it, is part of ``community``. The cheap tests come first, so triangles are looked for around
+    the few nodes that pass them."""
+    work = work or Workspace(edges.sparkSession, "hubs")
+    edges = work.cut(edges.select("src", "dst").filter("src <> dst"))
+    adjacency = work.cut(undirected(edges))
+    weights = work.cut(adjacency.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")))
     ranked = weights.filter("degree > 1").groupBy("degree").agg(F.count("*").alias("n"))
     sums = ranked.withColumn("upto", F.sum("n").over(Window.orderBy("degree"))).join(F.broadcast(ranked.agg(F.sum("n").alias("all"))))  # a row per distinct degree beside one total
     median = sums.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("degree").alias("median"))
-    incoming = edges.filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("incoming"))
-    spread = adjacency.join(nodes.filter("file is not null").select(F.col("node").alias("b"), "file"), "b").groupBy(F.col("a").alias("node")).agg(F.count_distinct("file").alias("files"))
-    out = weights.join(F.broadcast(median), F.col("degree") >= factor * F.col("median")).join(incoming, "node").join(spread, "node").join(cohesion(adjacency).select("node", "cohesion"), "node")
-    return out.filter((F.col("cohesion") <= most_cohesion) & (F.col("files") >= files)).select("node", "degree", "incoming", "files", "cohesion")
+    large = weights.join(F.broadcast(median), F.col("degree") >= factor * F.col("median")).select("node", "degree")
+    incoming = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("incoming"))
+    around = adjacency.select(F.col("a").alias("node"), "b").join(large.select("node"), "node", "left_semi")
+    spread = around.join(nodes.filter("file is not null").select(F.col("node").alias("b"), "file"), "b").groupBy("node").agg(F.count_distinct("file").alias("files"))
+    kept = work.cut(large.join(incoming, "node").join(spread, "node").filter(F.col("files") >= files))
+    return kept.join(cohesion(adjacency, kept, work).select("node", "cohesion"), "node").filter(F.col("cohesion") <= most_cohesion).select("node", "degree", "incoming", "files", "cohesion")
 
 
 def modularity(adjacency: DataFrame, partition: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.session import Workspace, running
+
 
 def labels(parts: DataFrame) -> DataFrame:
     """(community, label, size): communities (node, community, file) of two members at least, named after the stem of the file
@@ -40,12 +42,12 @@ def links(parts: DataFrame, edges: DataFrame) -> DataFrame:
     return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("weight"))
 
 
-def discs(parts: DataFrame, cell: float = 128.0) -> DataFrame:
+def discs(parts: DataFrame, cell: float = 128.0, work: Workspace | None = None) -> DataFrame:
     """(node, x, y, cx, cy): members of a community on a golden-angle spiral around its centre, the centres, largest first, on a
     wider one; cx and cy are the grid cell."""
     sizes = parts.groupBy("community").agg(F.count("*").alias("size"))
     angle = 2.399963229728653  # fixed value: the golden angle
-    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy(F.desc("size"), "community").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("order", F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1)
+    placed = running(sizes, [F.desc("size"), F.asc("community")], "size", work or Workspace(parts.sparkSession, "discs")).withColumnRenamed("place", "order")
     centre = placed.select("community", (F.sqrt("before") * 24 * F.cos(F.col("order") * angle)).alias("x0"), (F.sqrt("before") * 24 * F.sin(F.col("order") * angle)).alias("y0"))
     k = F.row_number().over(Window.partitionBy("community").orderBy("node")) - 1
     spots = parts.select("node", "community").withColumn("k", k).join(centre, "community")

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.session import Workspace, running
 
-def mint(defs: DataFrame) -> DataFrame:
+
+def mint(defs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(node, file, name, symbol): one id per file and name, in order of file and first ordinal; ids are dense.
 
-    ``defs``: file, name, ordinal. Ids count up within ranges of files, so no single task ranks everything.
+    ``defs``: file, name, ordinal. Ids count up within ranges of files of like size, so neither a common path prefix nor the
+    whole table ends up in one task.
     """
+    work = work or Workspace(defs.sparkSession, "mint")
     one = defs.filter("file is not null and name is not null").groupBy("file", "name").agg(F.min("ordinal").alias("ordinal"))
-    sizes = one.groupBy("file").agg(F.count("*").alias("n"))
-    buckets = sizes.withColumn("bucket", F.substring("file", 1, 2))
-    base = buckets.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = buckets.withColumn("within", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(base.select("bucket", "base"), "bucket").select("file", (F.col("base") + F.col("within")).alias("start"))
+    starts = running(one.groupBy("file").agg(F.count("*").alias("n")), [F.col("file")], "n", work).select("file", F.col("before").alias("start"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("ordinal", "name"))
     return one.join(starts, "file").select((F.col("start") + rank - 1).alias("node"), "file", "name", F.concat("file", F.lit("#"), "name").alias("symbol"))
 
@@ -54,7 +55,7 @@ def inherited(classes: DataFrame, members: DataFrame, depth: int = 64) -> DataFr
 def mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(doc, node): backticked words of documents (doc, text) that name a symbol (node, symbol, name) in full, or by a tail
     that only one symbol has. Nothing is minted; repeated mentions count once."""
-    words = docs.select("doc", F.explode(F.expr(r"regexp_extract_all(text, '`([^`\n]{3,200})`', 1)")).alias("word")).select("doc", F.regexp_replace("word", r"\(.*$", "").alias("word")).distinct()
+    words = docs.select("doc", F.explode(F.expr(r"regexp_extract_all(text, '`([^`\n]{3,})`', 1)")).alias("word")).select("doc", F.regexp_replace("word", r"\(.*$", "").alias("word")).distinct()
     full = words.join(symbols.select(F.col("symbol").alias("word"), "node"), "word").select("doc", "node")
     tails = symbols.groupBy(F.col("name").alias("word")).agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").select("word", "node")
     return full.union(words.join(tails, "word").select("doc", "node")).distinct()

@@ -55,13 +55,23 @@ def hunk_lines(header: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(begin.alias("first"), (begin + count - 1).alias("last")))
 
 
-def touched(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(file, node): ranges (file, node, first, last in lines) hit by a hunk (file, first, last) that hold no other hit range.
-    A pure deletion is a point and must lie strictly inside."""
-    met = hunks.select("file", F.col("first").alias("h1"), F.col("last").alias("h2")).join(ranges, "file").filter("(h1 <= h2 and first <= h2 and h1 <= last) or (h1 > h2 and first < h1 and h1 <= last)").select("file", "h1", "h2", "node", "first", "last")
-    inner = met.select("file", "h1", "h2", F.col("node").alias("other"), F.col("first").alias("f2"), F.col("last").alias("l2"))
-    holds = met.join(inner, ["file", "h1", "h2"]).filter("node <> other and first <= f2 and l2 <= last and (last - first) > (l2 - f2)").select("file", "h1", "h2", "node").distinct()
-    return met.join(holds, ["file", "h1", "h2", "node"], "left_anti").select("file", "node").distinct()
+def touched(hunks: DataFrame, ranges: DataFrame, key: list[str] | None = None, block: int = 256) -> DataFrame:
+    """(*key, node): ranges (*key, node, first, last in lines) hit by a hunk (*key, first, last) that hold no other hit range of
+    it. A pure deletion (first above last) is a point and must lie strictly inside.
+
+    Hunks and ranges meet in blocks of lines; a pair counts in the first block both lie in. Of a hunk's ranges in order of
+    falling start, one holds another if an earlier one ends no later, so hits are never paired with each other.
+    """
+    key = key or ["file"]
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(F.greatest(a, b) / block)))
+    h = hunks.select(*key, F.col("first").alias("h1"), F.col("last").alias("h2")).withColumn("block", spread(F.col("h1"), F.col("h2")))
+    r = ranges.select(*key, "node", "first", "last").filter("first <= last").withColumn("block", spread(F.col("first"), F.col("last")))
+    met = h.join(r, [*key, "block"]).filter(F.col("block") == F.floor(F.greatest("h1", "first") / block))
+    met = met.filter("(h1 <= h2 and first <= h2 and h1 <= last) or (h1 > h2 and first < h1 and h1 <= last)").select(*key, "h1", "h2", "node", "first", "last")
+    shapes = met.select(*key, "h1", "h2", "first", "last").distinct()
+    inner = F.min("last").over(Window.partitionBy(*key, "h1", "h2").orderBy(F.desc("first"), "last").rowsBetween(Window.unboundedPreceding, -1))
+    least = shapes.withColumn("inner", inner).filter("inner is null or inner > last").drop("inner")
+    return met.join(least, [*key, "h1", "h2", "first", "last"], "left_semi").select(*key, "node").distinct()
 
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:

@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -81,6 +82,20 @@ class Workspace:
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def running(df: DataFrame, order: list[Column], weight: str, work: Workspace) -> DataFrame:
+    """``df`` with ``place`` (from 0) and ``before`` (sum of ``weight`` over all earlier rows) in a total order.
+
+    Rows are laid out in ranges; each range is counted by itself, and only one sum per range is added up in one place.
+    """
+    laid = work.cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = laid.groupBy("_range").agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    told = laid.withColumn("_within", F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_rank", F.row_number().over(within) - 1)
+    return told.join(F.broadcast(base), "_range").withColumn("before", F.col("_base") + F.col("_within")).withColumn("place", F.col("_first") + F.col("_rank")).drop("_range", "_within", "_rank", "_base", "_first")
+
+
 _shipped: set[str] = set()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +16,25 @@ TIMEOUT, MOST_OUTPUT = 120, 64 << 20
 def run(root: str, *args: str) -> str:
     """Output of a git command, without the repository's own hooks, pagers or helpers; too slow or too long is an error."""
     env = {**os.environ, "GIT_CONFIG_NOSYSTEM": "1", "GIT_TERMINAL_PROMPT": "0", "GIT_OPTIONAL_LOCKS": "0"}
-    done = subprocess.run(["git", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", "-c", "diff.external=", "-C", root, *args], capture_output=True, timeout=TIMEOUT, env=env)
-    if done.returncode:
-        raise RuntimeError(done.stderr.decode(errors="replace").strip())
-    if len(done.stdout) > MOST_OUTPUT:
-        raise RuntimeError("git printed too much")
-    return done.stdout.decode(errors="replace")
+    command = ["git", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", "-c", "diff.external=", "-C", root, *args]
+    with tempfile.TemporaryFile() as said, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=said, env=env) as git:
+        clock = threading.Timer(TIMEOUT, git.kill)
+        clock.start()
+        try:
+            out = git.stdout.read(MOST_OUTPUT + 1)  # no more than this is ever held
+            if len(out) > MOST_OUTPUT:
+                git.kill()
+                raise RuntimeError("git printed too much")
+            code = git.wait()
+        finally:
+            late = not clock.is_alive()
+            clock.cancel()
+        if late:
+            raise subprocess.TimeoutExpired(command, TIMEOUT)
+        if code:
+            said.seek(0)
+            raise RuntimeError(said.read(10_000).decode(errors="replace").strip())
+    return out.decode(errors="replace")
 
 
 def revision(text: str) -> str:

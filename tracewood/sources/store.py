@@ -26,9 +26,10 @@ class Store:
         stream.write(bytearray(text.encode()))
         stream.close()
         _, final = self._fs(path)
-        fs.delete(final, False)
-        if not fs.rename(place, final):
-            raise OSError(f"{path} can't be replaced")
+        jvm, conf = self._jvm, self.spark._jsc.hadoopConfiguration()
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(place, final, over)  # readers find the old or the new one
 
     def _read(self, path: str) -> str | None:
         fs, place = self._fs(path)
