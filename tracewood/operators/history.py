@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.operators import spans
+
 MOST_FILES = 30  # fixed value: a commit of more files says nothing about what belongs together
 
 
@@ -41,3 +43,22 @@ def risk(symbols: DataFrame) -> DataFrame:
 def without_trailers(body):
     """A commit body without its last paragraph if that holds trailers only."""
     return F.regexp_replace(body, r"(?s)(^|\n\n)([A-Za-z][A-Za-z-]*: [^\n]*\n?)+\s*$", "")
+
+
+def change_history(commits: DataFrame, hunks: DataFrame, ranges: DataFrame, wanted: DataFrame, limit: int = 10, body_lines: int = 6) -> DataFrame:
+    """(file, name, rank, sha, date, subject, body, body_lines_left_out): the latest commits that changed a definition.
+
+    ``commits``: sha, ord (0 is the newest), date, subject, body; ``hunks``: sha, file, first, last; ``ranges``: sha, file, node
+    (the name), first, last of the definitions *as the file was after that commit*; ``wanted``: file, name. A hunk counts for the
+    innermost definitions it touches. Commits meet their own ranges only, so nothing grows with the length of the history.
+    """
+    asked = wanted.select("file", "name").distinct()
+    near = hunks.join(asked.select("file").distinct(), "file", "left_semi").select("sha", "file", "first", "last").distinct()
+    hit = spans.touched(near, ranges.join(asked.select("file").distinct(), "file", "left_semi"), key=["sha", "file"])
+    mine = hit.withColumnRenamed("node", "name").join(asked, ["file", "name"]).join(commits, "sha")
+    rank = F.row_number().over(Window.partitionBy("file", "name").orderBy("ord", "sha"))
+    lines = F.split(F.coalesce(without_trailers(F.col("body")), F.lit("")), "\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)  # a last line end opens no line
+    return mine.withColumn("rank", rank).filter(F.col("rank") <= limit).select(
+        "file", "name", "rank", "sha", "date", "subject", F.array_join(F.slice(lines, 1, body_lines), "\n").alias("body"), F.greatest(F.size(lines) - body_lines, F.lit(0)).alias("body_lines_left_out")
+    )

@@ -35,6 +35,15 @@ def merged(named: DataFrame) -> DataFrame:
     return by.select("label", "size", "communities")
 
 
+def subsystem_names(parts: DataFrame, most: int = 8) -> DataFrame:
+    """(label, size): names of the largest subsystems, for an answer that found nothing: of each community (node, community, file)
+    with two definitions or more the stem most of them lie in; a label counts once, by its largest community."""
+    base = F.regexp_extract("file", r"([^/]*)$", 1)
+    stems = parts.filter("file is not null").withColumn("label", F.regexp_replace(base, r"(?<=.)\.[^.]*$|^\.[^.]*$", "")).groupBy("community", "label").agg(F.count("*").alias("n"))
+    told = stems.groupBy("community").agg(F.sum("n").alias("size"), F.min(F.struct(-F.col("n"), F.col("label"))).alias("best")).filter("size >= 2")
+    return told.groupBy(F.col("best.label").alias("label")).agg(F.max("size").alias("size")).orderBy(F.desc("size"), "label").limit(most)
+
+
 def links(parts: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, weight): edges between two communities, in either direction."""
     home = parts.select("node", "community")

@@ -82,3 +82,20 @@ def anomalies(defines: DataFrame, calls: DataFrame) -> DataFrame:
     found = rows.filter("kind is not null").unionByName(called).unionByName(twice).unionByName(crossing).unionByName(outside)
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("what"))
     return found.withColumn("r", rank).groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("what")))).alias("examples"))
+
+CHARS_PER_TOKEN = 4  # fixed value: the benchmark's measure of an answer's length
+
+
+def structural_recall(answers: DataFrame, expected: DataFrame) -> DataFrame:
+    """(question, asked, found, returned, tokens): how many expectations (question, expected) the text of a tool's answer
+    (question, answer) holds. An expectation ``in: section symbol`` looks only at the section named so (blanks for its
+    underscores), which ends at a blank line; an answer that is null holds nothing."""
+    met = expected.join(answers, "question", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    section = F.regexp_replace(F.regexp_extract("expected", r"^in: (\S+) ", 1), "_", " ")
+    symbol = F.regexp_extract("expected", r"^in: \S+ (.*)$", 1)
+    begins = F.locate_(section, F.col("answer")) if hasattr(F, "locate_") else F.expr("instr(answer, replace(regexp_extract(expected, '^in: (\\\\S+) ', 1), '_', ' '))")
+    after = F.expr("substr(answer, instr(answer, replace(regexp_extract(expected, '^in: (\\\\S+) ', 1), '_', ' ')))")
+    inside = (begins > 0) & F.substring_index(after, "\n\n", 1).contains(symbol)
+    hit = F.when(F.col("expected").startswith("in: "), (section != "") & (symbol != "") & inside).otherwise(F.col("answer").contains(F.col("expected")))
+    size = F.size(F.filter(F.split("answer", "\n"), lambda s: s.contains("#")))
+    return met.groupBy("question").agg(F.count("*").alias("asked"), F.sum(hit.cast("long")).alias("found"), F.max(size).alias("returned"), F.max(F.floor(F.length("answer") / CHARS_PER_TOKEN)).alias("tokens"))

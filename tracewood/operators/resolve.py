@@ -91,6 +91,23 @@ def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     return met.withColumn("best", best).filter("best = 1").select("sender", "handler", "literals").distinct()
 
 
+def handlers(routes: DataFrame, defs: DataFrame) -> DataFrame:
+    """routes (file, handler, verb, path) with ``node``: the definition (node, file, name) a handler means, or null.
+
+    A handler written ``file#name`` means that one. A bare name means the tree's only definition of it, else the only one that
+    lies in a file which declares routes itself, as a client often shares the name its server carries.
+    """
+    asked = routes.select("handler").filter("handler is not null").distinct()
+    exact = defs.groupBy(F.concat_ws("#", "file", "name").alias("handler")).agg(F.min("node").alias("exact"))
+    serving = routes.select("file").distinct().withColumn("serves", F.lit(True))
+    by = defs.join(serving, "file", "left").groupBy(F.col("name").alias("handler")).agg(
+        F.count_distinct("node").alias("n"), F.min("node").alias("one"), F.count_distinct(F.when(F.col("serves"), F.col("node"))).alias("m"), F.min(F.when(F.col("serves"), F.col("node"))).alias("served")
+    )
+    bare = F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("served"))
+    known = asked.join(exact, "handler", "left").join(by, "handler", "left").select("handler", F.when(F.col("handler").contains("#"), F.col("exact")).otherwise(bare).alias("node"))
+    return routes.join(known, "handler", "left").select("file", "handler", "verb", "path", "node")
+
+
 def contracts(imports: DataFrame, exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Imports (repo, package, version, contract) joined to the first export (repo, package, version, contract, ord) with the
     same package, exact version and contract; and those without one."""

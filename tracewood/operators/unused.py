@@ -32,7 +32,8 @@ def is_callback(file: Column, name: Column) -> Column:
 
 def find_unused(defs: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
     """(node, file, name): definitions (node, file, name) without another node's link (caller, callee), of a kind that calls could
-    reach, whose name the texts (file, text) don't write more often than it is defined."""
+    reach, whose name the texts (file, text) don't write more often than it is defined. With ``start`` (byte offset) definitions that
+    are annotated, implement a trait or are called by an engine are left out as well."""
     called = links.filter("caller <> callee").select(F.col("callee").alias("node")).distinct()
     base, ext = F.regexp_extract("file", r"([^/\\]*)$", 1), F.lower(F.regexp_extract("file", r"\.([^./\\]*)$", 1))
     named = F.col("name")
@@ -41,7 +42,12 @@ def find_unused(defs: DataFrame, links: DataFrame, files: DataFrame) -> DataFram
     wanted = loose.groupBy("name").agg(F.count("*").alias("defined"))
     seen = mention_counts(files, wanted)
     rare = wanted.join(seen, "name", "left").filter(F.coalesce("mentions", F.lit(0)) <= F.col("defined")).select("name")
-    return loose.join(rare, "name").select("node", "file", "name")
+    found = loose.join(rare, "name")
+    if "start" in defs.columns:  # texts are looked into for the few that are left
+        from tracewood.operators.marks import exempt
+
+        found = found.join(exempt(found, files), "node", "left_anti")
+    return found.select("node", "file", "name")
 
 
 def repeated_directories(defs: DataFrame, least: int = 500, share: float = 0.8) -> DataFrame:

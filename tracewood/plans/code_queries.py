@@ -433,7 +433,16 @@ def community_links(spark: SparkSession, folder: str) -> DataFrame:
     return overview.links(nodes.filter("is_defined").select("node", F.col("file").alias("community")), joined)
 
 
-@query()
+_ANGLE = 2.399963229728653
+
+
+@query(
+    f"""WITH {SQL_GRAPH}, pt AS (SELECT node, file AS c FROM nodes WHERE is_defined), sz AS (SELECT c, count(*) AS size FROM pt GROUP BY 1),
+    pl AS (SELECT c, coalesce(sum(size) OVER (ORDER BY size DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY size DESC, c) - 1 AS o FROM sz),
+    sp AS (SELECT node, sqrt(before) * 24 * cos(o * {_ANGLE}) AS x0, sqrt(before) * 24 * sin(o * {_ANGLE}) AS y0, row_number() OVER (PARTITION BY c ORDER BY node) - 1 AS k FROM pt JOIN pl USING (c)),
+    xy AS (SELECT node, round(x0 + sqrt(k) * 8 * cos(k * {_ANGLE}), 4) AS x, round(y0 + sqrt(k) * 8 * sin(k * {_ANGLE}), 4) AS y FROM sp), dg AS (SELECT src AS node, count(*) AS degree FROM edges GROUP BY 1)
+    SELECT node, x, y, coalesce(degree, 0) AS degree FROM xy LEFT JOIN dg USING (node) WHERE x BETWEEN -400 AND 400 AND y BETWEEN -400 AND 400 ORDER BY 4 DESC, 1 LIMIT 3000"""
+)
 def viewport_topk(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = graph_edges(spark, folder), graph_nodes(spark, folder)
     degrees = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))

@@ -127,3 +127,53 @@ def history(spark: SparkSession, root: str, count: int = 200) -> DataFrame:
         if len(parts) == 5:
             rows.extend((*parts[:3], parts[3].strip(), f, a, b) for f, a, b in parse_diff(parts[4]))
     return spark.createDataFrame(rows, "sha string, date string, subject string, body string, file string, first int, last int")
+
+
+def blobs(spark: SparkSession, root: str, wanted: list[tuple[str, str]], most: int = 8 << 20) -> DataFrame:
+    """(sha, file, text) of files as they were after a commit, by one ``cat-file --batch``; missing ones, folders and those above
+    ``most`` bytes are left out."""
+    names = "".join(f"{revision(sha)}:./{file}\n" for sha, file in wanted if "\n" not in file)
+    rows = []
+    with tempfile.TemporaryFile() as ask:
+        ask.write(names.encode())
+        ask.seek(0)
+        with subprocess.Popen(["git", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", "-C", root, "cat-file", "--batch"], stdin=ask, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env={**os.environ, "GIT_CONFIG_NOSYSTEM": "1"}) as git:
+            for sha, file in wanted:
+                if "\n" in file:
+                    continue
+                head = git.stdout.readline().decode(errors="replace").split()
+                if len(head) != 3 or not head[2].isdigit():
+                    continue
+                left, kept, size = int(head[2]) + 1, [], int(head[2])
+                while left > 0:  # large ones are passed over in pieces
+                    piece = git.stdout.read(min(left, 1 << 20))
+                    if not piece:
+                        break
+                    left -= len(piece)
+                    if size <= most:
+                        kept.append(piece)
+                if head[1] == "blob" and size <= most:
+                    rows.append((sha, file, b"".join(kept)[:size].decode(errors="replace")))
+    return spark.createDataFrame(rows, "sha string, file string, text string")
+
+
+def change_history(spark: SparkSession, root: str, file: str, name: str, count: int = 200, limit: int = 10, body_lines: int = 6) -> DataFrame:
+    """The latest commits of a file that changed one of its definitions, newest first; see ``operators.history.change_history``."""
+    from pyspark.sql import functions as F
+
+    from tracewood.extract.scanner import extract, facts
+    from tracewood.operators import history as H
+    from tracewood.operators.tools import line_ranges
+
+    log = run(root, "log", "--no-merges", "--no-renames", "--relative", "-p", "-U0", "--no-ext-diff", "--no-textconv", "--no-color", f"-n{int(count)}", "--date=short", "--format=%x1e%H%x1f%ad%x1f%s%x1f%b%x1f", "--", file)
+    told, hunks = [], []
+    for n, record in enumerate(r for r in log.split("\x1e") if r.strip()):
+        parts = record.split("\x1f", 4)
+        if len(parts) == 5:
+            told.append((parts[0].strip(), n, parts[1].strip(), parts[2].strip(), parts[3]))
+            hunks.extend((parts[0].strip(), file, a, b) for f, a, b in parse_diff(parts[4]) if f == file)
+    commits = spark.createDataFrame(told, "sha string, ord int, date string, subject string, body string")
+    texts = blobs(spark, root, [(t[0], file) for t in told]).select(F.concat_ws(":", "sha", "file").alias("file"), "text")
+    defines = facts(extract(texts), "defines").select("file", F.col("name").alias("node"), "start", "end")
+    ranges = line_ranges(defines, texts).select(F.regexp_extract("file", r"^([^:]*):", 1).alias("sha"), F.lit(file).alias("file"), "node", "first", "last")
+    return H.change_history(commits, spark.createDataFrame(hunks, "sha string, file string, first int, last int"), ranges, spark.createDataFrame([(file, name)], "file string, name string"), limit, body_lines)

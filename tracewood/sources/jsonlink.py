@@ -24,13 +24,25 @@ def link(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, dangling) of node-link files; either ``links`` or ``edges`` holds the edges."""
     raw = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    nodes = raw.select(F.explode("nodes").alias("n")).select("n.*").dropDuplicates(["id"])
-    rows = raw.select(F.explode(F.concat(F.coalesce("links", F.array()), F.coalesce("edges", F.array()))).alias("e")).select("e.*")
-    return nodes, *link(nodes, rows)
+    return _told(raw.select(F.explode("nodes").alias("n")).select("n.*"), raw.select(F.explode(F.concat(F.coalesce("links", F.array()), F.coalesce("edges", F.array()))).alias("e")).select("e.*"))
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, dangling) of what ``write`` has written."""
+    element = lambda name: next(f.dataType.elementType for f in spark.createDataFrame([], SCHEMA).schema if f.name == name)
+    lines = spark.read.text(path)
+    of = lambda kind, name: lines.filter(F.get_json_object("value", "$.kind") == kind).select(F.from_json("value", element(name)).alias("x")).select("x.*")
+    return _told(of("node", "nodes"), of("link", "links"))
+
+
+def _told(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return nodes.dropDuplicates(["id"]), *link(nodes.dropDuplicates(["id"]), links)
 
 
 def write(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Writes one JSON line per node and edge, tagged by kind, so that no task gathers the graph."""
     a = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), *nodes.columns)).alias("value"))
+    if "confidence" in edges.columns and edges.schema["confidence"].dataType.typeName() != "string":
+        edges = edges.withColumn("confidence", F.element_at(F.array(F.lit("ambiguous"), F.lit("inferred"), F.lit("extracted")), F.col("confidence").cast("int") + 1))
     b = edges.select(F.to_json(F.struct(F.lit("link").alias("kind"), *edges.columns)).alias("value"))
     a.union(b).write.mode("overwrite").text(path)
