@@ -88,3 +88,17 @@ def test_parents_of_classes(spark):
     df = spark.createDataFrame(rows, "node long, repo string, class_symbol string, class_bases array<string>, read_at timestamp").selectExpr("*", "1 as parent", "'z' as name", "2 as pos")
     got = {r["node"]: r["parent"] for r in class_parents(df).collect()}
     assert got == {1: None, 2: 1, 3: 3, 4: None, 5: None, 6: 1}
+
+
+def test_members_over_all_bases(spark):
+    from tracewood.operators.resolve import inherited_over
+
+    bases = [(1, 0, 2), (1, 1, 3), (2, 0, None), (3, 0, 4), (5, 0, 6), (6, 0, 5), (6, 1, 4), (7, 0, None), (7, 1, 4), (8, 0, 3), (8, 1, 2)]
+    members = [(3, "run"), (2, "run"), (4, "stop"), (4, "run"), (6, "own"), (1, "mine")]
+    got = inherited_over(spark.createDataFrame(bases, "node long, pos int, base long").selectExpr("*", "1 as owner"), spark.createDataFrame(members, "node long, member string"))
+    told = {(r["node"], r["member"]): (r["owner"], r["distance"], r["known"]) for r in got.collect()}
+    assert told[1, "run"] == (2, 1, True) and told[8, "run"] == (3, 1, True)  # as near, so the first written
+    assert told[1, "stop"] == (4, 2, False)  # a base of 2 is no class and as near
+    assert told[5, "stop"] == (4, 2, True) and told[6, "own"] == (6, 0, True) and told[5, "own"] == (6, 1, True) and told[7, "run"] == (4, 1, False)
+    assert told[1, "mine"] == (1, 0, True) and (2, "stop") not in told
+    assert inherited_over(spark.createDataFrame([], "node long, pos int, base long"), spark.createDataFrame([], "node long, member string")).collect() == []

@@ -24,20 +24,31 @@ PATH_CELLS = 4_000_000  # 32 MB of paths; the sum of a component's depths, so a
 SCHEMA = "node long, parent long, root long, depth long, path array<long>, descendants long, back_edge boolean"
 
 
+def class_bases(facts: DataFrame) -> DataFrame:
+    """(node, pos, base) of every written base: the class of the same repo that it names, or null. See ``class_parents``."""
+    _, entries, names = _written(facts)
+    return entries.join(names, ["repo", "name"], "left").select("node", "pos", F.col("parent").alias("base"))
+
+
 def class_parents(facts: DataFrame) -> DataFrame:
     """(node, parent) of every class: the first entry of class_bases that names a class of the same repo, or null.
 
     The latest reading of a node holds. Null, empty and foreign entries are skipped; a class without repo has no parent.
     Should a repo define a name twice, the smaller node is meant. Rows without node are no classes.
     """
+    now, named, names = _written(facts)
+    first = named.join(names, ["repo", "name"]).groupBy("node").agg(F.min_by("parent", "pos").alias("parent"))
+    return now.select("node").join(first, "node", "left")
+
+
+def _written(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Present classes, their named bases (node, repo, pos, name), and what a repo's names mean (repo, name, parent)."""
     now = latest(facts.select("node", "repo", "class_symbol", "class_bases", "read_at").filter("node is not null"), "node", "read_at")
     now = now.select("node", "repo", F.expr("substr(class_symbol, instr(class_symbol, '#') + 1)").alias("written"), "class_bases")
     names = now.select(F.col("node").alias("parent"), "repo", plain_class_name(F.col("written")).alias("name")).filter("repo is not null and name is not null")
     names = names.groupBy("repo", "name").agg(F.min("parent").alias("parent"))
     entries = now.select("node", "repo", F.posexplode("class_bases").alias("pos", "entry"))
-    named = entries.select("node", "repo", "pos", plain_class_name(F.col("entry")).alias("name")).filter("name is not null")
-    first = named.join(names, ["repo", "name"]).groupBy("node").agg(F.min_by("parent", "pos").alias("parent"))
-    return now.select("node").join(first, "node", "left")
+    return now, entries.select("node", "repo", "pos", plain_class_name(F.col("entry")).alias("name")).filter("name is not null"), names
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:

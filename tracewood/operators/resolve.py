@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.operators.unused import is_test_path
 from tracewood.session import Workspace, running
 
 
@@ -30,7 +31,10 @@ def bind_same_file(calls: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def link_unique(placeholders: DataFrame, defs: DataFrame) -> DataFrame:
-    """(name, target): placeholders (name) whose bare name exactly one definition (name, node) has."""
+    """(name, target): placeholders (name) whose bare name exactly one definition (name, node) has. With ``file`` definitions in
+    tests don't count, as tests define names that shadow those of the code."""
+    if "file" in defs.columns:
+        defs = defs.filter(~F.coalesce(is_test_path(F.col("file")), F.lit(False)))
     return placeholders.join(_candidates(defs), "name").filter("candidates = 1").select("name", "target")
 
 
@@ -52,6 +56,34 @@ def inherited(classes: DataFrame, members: DataFrame, depth: int = 64) -> DataFr
     return met.groupBy("node", "member").agg(F.min(F.struct("distance", "owner")).alias("near")).select("node", "member", F.col("near.owner").alias("owner"), F.col("near.distance").alias("distance"))
 
 
+def inherited_over(bases: DataFrame, members: DataFrame, depth: int = 64, work: Workspace | None = None) -> DataFrame:
+    """(node, member, owner, distance, known): nearest definition of each member along all bases of a class, level by level; of
+    two as near the one whose way is written first. ``known`` is false if a base on the nearer levels names no class, so a
+    nearer definition may lie outside.
+
+    ``bases``: node, pos, base (null for a name that is no class); ``members``: node, member. Circles end where they began.
+    """
+    work = work or Workspace(bases.sparkSession, "inherited")
+    links = work.cut(bases.select("node", "pos", "base").distinct())
+    owners = links.select(F.col("node").alias("o"), "pos", "base")
+    every = links.select("node").unionByName(links.filter("base is not null").select(F.col("base").alias("node"))).unionByName(members.select("node")).distinct()
+    level = work.cut(every.select("node", F.col("node").alias("owner"), F.lit(0).alias("distance"), F.array().cast("array<int>").alias("way")))
+    seen, gaps = level, None
+    for distance in range(1, depth + 1):
+        step = level.join(owners, level["owner"] == owners["o"]).select("node", F.col("base").alias("owner"), F.concat("way", F.array(F.col("pos").cast("int"))).alias("way"))
+        loose = step.filter("owner is null").select("node", F.lit(distance).alias("gap"))
+        gaps = loose if gaps is None else gaps.unionByName(loose)
+        fresh = step.filter("owner is not null").groupBy("node", "owner").agg(F.min("way").alias("way"))
+        level = work.cut(fresh.join(seen.select("node", "owner"), ["node", "owner"], "left_anti").select("node", "owner", F.lit(distance).alias("distance"), "way"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    near = seen.join(members.select(F.col("node").alias("owner"), "member"), "owner").groupBy("node", "member").agg(F.min(F.struct("distance", "way", "owner")).alias("near"))
+    first_gap = gaps.groupBy("node").agg(F.min("gap").alias("gap"))
+    known = F.coalesce(F.col("gap") > F.col("near.distance"), F.lit(True))
+    return near.join(first_gap, "node", "left").select("node", "member", F.col("near.owner").alias("owner"), F.col("near.distance").alias("distance"), known.alias("known"))
+
+
 def mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(doc, node): backticked words of documents (doc, text) that name a symbol (node, symbol, name) in full, or by a tail
     that only one symbol has. Nothing is minted; repeated mentions count once."""

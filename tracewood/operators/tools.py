@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewood.operators import graph, retrieval, spans
+from tracewood.operators.embed import nearest
 from tracewood.operators.expand import expand
 from tracewood.operators.unused import is_test_symbol
 
@@ -50,15 +51,21 @@ def query_graph(edges: DataFrame, nodes: DataFrame, docs: DataFrame, text: str,
     return got.join(nodes.select("node", "file"), "node", "left").select("node", "symbol", "file", "score", "hops")
 
 
-def explain(edges: DataFrame, nodes: DataFrame, parts: DataFrame, node: int, siblings: int = 8) -> DataFrame:
-    """(relation, symbol, confidence): what a node calls, who calls it, and others of its community."""
+def explain(edges: DataFrame, nodes: DataFrame, parts: DataFrame, node: int, siblings: int = 8, vectors: DataFrame | None = None, near: int = 5) -> DataFrame:
+    """(relation, symbol, confidence): what a node calls, who calls it, others of its community, and with ``vectors`` (node, vec)
+    the ``near`` defined ones most alike."""
     made = graph.calls(edges, nodes)
     names = nodes.select("node", "symbol")
     out = made.filter(F.col("caller") == node).groupBy(F.col("callee").alias("node")).agg(F.max("confidence").alias("confidence")).select(F.lit("calls").alias("relation"), "node", "confidence")
     into = made.filter(F.col("callee") == node).groupBy(F.col("caller").alias("node")).agg(F.max("confidence").alias("confidence")).select(F.lit("callers").alias("relation"), "node", "confidence")
     own = parts.filter(F.col("node") == node).select("community")
-    near = parts.join(own, "community", "left_semi").filter(F.col("node") != node).orderBy("node").limit(siblings).select(F.lit("siblings").alias("relation"), "node", F.lit(None).cast("int").alias("confidence"))
-    return out.unionByName(into).unionByName(near).join(names, "node").select("relation", "symbol", "confidence")
+    beside = parts.join(own, "community", "left_semi").filter(F.col("node") != node).orderBy("node").limit(siblings).select(F.lit("siblings").alias("relation"), "node", F.lit(None).cast("int").alias("confidence"))
+    told = out.unionByName(into).unionByName(beside)
+    if vectors is not None:
+        defined = vectors.join(nodes.filter("is_defined").select("node"), "node", "left_semi")
+        alike = nearest(vectors.filter(F.col("node") == node).select(F.col("node").alias("query"), "vec"), defined, near)
+        told = told.unionByName(alike.select(F.lit("similar").alias("relation"), "node", F.lit(None).cast("int").alias("confidence")))
+    return told.join(names, "node").select("relation", "symbol", "confidence")
 
 
 def line_ranges(symbols: DataFrame, files: DataFrame) -> DataFrame:

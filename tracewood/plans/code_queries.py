@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewood.functions.text import latest
 from tracewood.operators import embed, history, overview, resolve, retrieval, scip, spans, unused
-from tracewood.operators.hierarchy import class_parents, hierarchy
+from tracewood.operators.hierarchy import class_bases, class_parents, hierarchy
 from tracewood.plans import problem_queries
-from tracewood.plans.views import SQL_GRAPH, graph_edges, graph_nodes
+from tracewood.plans.views import SQL_GRAPH, graph_edges, graph_nodes, sql_calls
 from tracewood.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,8 +460,23 @@ def inherited_members(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.inherited(hierarchy(links), members)
 
 
+_BASES = f"""bs AS (SELECT e.node, e.pos - 1 AS pos, n.node AS base FROM entries e LEFT JOIN named n ON n.repo = e.repo AND n.name = {problem_queries._PLAIN.format("e.entry")} WHERE {problem_queries._PLAIN.format("e.entry")} IS NOT NULL)"""
+
+
 @query(
-    rf"""WITH {_REG}, nm AS (SELECT node, symbol, regexp_extract(name, '([^.]*)$', 1) AS name FROM reg), wd AS (SELECT DISTINCT doc_id AS doc, regexp_replace(unnest(regexp_extract_all(text, '`([^`\n]{{3,200}})`', 1)), '\(.*$', '') AS word FROM documents WHERE text IS NOT NULL),
+    f"""WITH RECURSIVE {problem_queries._PARENTS}, {_BASES}, mem AS (SELECT node, unnest(CASE WHEN node % 2 = 0 THEN ['run', 'stop'] ELSE ['run'] END) AS member FROM cur WHERE node % 3 <> 0),
+    ups AS (SELECT node, node AS owner, 0 AS distance, []::BIGINT[] AS way FROM cur UNION SELECT u.node, b.base, u.distance + 1, list_append(u.way, b.pos) FROM ups u JOIN bs b ON b.node = u.owner WHERE b.base IS NOT NULL AND u.distance < 12),
+    gap AS (SELECT u.node, min(u.distance + 1) AS gap FROM ups u JOIN bs b ON b.node = u.owner WHERE b.base IS NULL GROUP BY 1), nr AS (SELECT u.node, member, min((distance, way, owner)) AS near FROM ups u JOIN mem m ON m.node = u.owner GROUP BY 1, 2)
+    SELECT node, member, near[3] AS owner, near[1]::INT AS distance, coalesce(gap > near[1], TRUE) AS known FROM nr LEFT JOIN gap USING (node)"""
+)
+def inherited_over_bases(spark: SparkSession, folder: str) -> DataFrame:
+    facts = table(spark, folder, "class_facts")
+    members = facts.filter("node is not null and node % 3 <> 0").select("node").distinct().select("node", F.explode(F.when(F.col("node") % 2 == 0, F.array(F.lit("run"), F.lit("stop"))).otherwise(F.array(F.lit("run")))).alias("member"))
+    return resolve.inherited_over(class_bases(facts), members)
+
+
+@query(
+    rf"""WITH {_REG}, nm AS (SELECT node, symbol, regexp_extract(name, '([^.]*)$', 1) AS name FROM reg), wd AS (SELECT DISTINCT doc_id AS doc, regexp_replace(unnest(regexp_extract_all(text, '`([^`\n]{{3,}})`', 1)), '\(.*$', '') AS word FROM documents WHERE text IS NOT NULL),
     tl AS (SELECT name AS word, min(node) AS node FROM nm GROUP BY 1 HAVING min(node) = max(node)) SELECT doc, node FROM wd JOIN nm ON symbol = word UNION SELECT doc, node FROM wd JOIN tl USING (word)"""
 )
 def doc_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -634,7 +649,8 @@ def query_graph(spark: SparkSession, folder: str) -> DataFrame:
 
     work = Workspace(spark, "question")
     edges, nodes = (work.cut(df) for df in code_graph(spark, folder))
-    return ask(edges, nodes, nodes.select("node", "symbol", F.lit(None).cast("string").alias("docs")), "how are orchard rows archived")
+    told = symbols(spark, folder).groupBy("file", F.regexp_extract("name", r"([^.]*)$", 1).alias("name")).agg(F.max("docs").alias("docs"))
+    return ask(edges, nodes, nodes.join(told, ["file", "name"], "left").select("node", "symbol", "docs"), "how are orchard rows archived")
 
 
 _HUNKS = """st AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY indexed_at DESC NULLS LAST) AS rn FROM (SELECT DISTINCT file_id, text, indexed_at FROM scip_document WHERE file_id IS NOT NULL)),
@@ -704,7 +720,11 @@ def http_surface(spark: SparkSession, folder: str) -> DataFrame:
     return routes.unionByName(asks).withColumn("segments", resolve.segments(F.col("path")))
 
 
-@query()
+@query(
+    f"""WITH {SQL_GRAPH}, {sql_calls()}, o AS (SELECT callee AS node, max(confidence) AS confidence FROM calls WHERE caller = 1 GROUP BY 1), i AS (SELECT caller AS node, max(confidence) AS confidence FROM calls WHERE callee = 1 GROUP BY 1),
+    b AS (SELECT node FROM nodes WHERE is_defined AND node <> 1 AND file = (SELECT file FROM nodes WHERE node = 1) ORDER BY node LIMIT 8)
+    SELECT relation, symbol, confidence FROM (SELECT 'calls' AS relation, * FROM o UNION ALL SELECT 'callers', * FROM i UNION ALL SELECT 'siblings', node, NULL FROM b) JOIN nodes USING (node)"""
+)
 def explain_node(spark: SparkSession, folder: str) -> DataFrame:
     from tracewood.operators.tools import explain
 
