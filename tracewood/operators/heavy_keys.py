@@ -29,19 +29,25 @@ def key_figures(rows: DataFrame, key: Column, uid: str, group: list[str], flag:
     return spread.groupBy("_key").agg(F.sum("_uses").alias("uses"), F.count("*").alias("groups"), F.sum("_flagged").alias("flagged"))
 
 
+PLACES = 4096  # places that uids are spread over; each has its own counts
+
+
 def keys_above_share(rows: DataFrame, key: Column, uid: str, share: tuple[int, int], work: Workspace | None = None) -> DataFrame:
     """Keys that hold at least ``share`` (numerator, denominator) of all distinct uids, those without a key included.
 
-    One scan and one shuffle of rows, on the evenly spread uid: it drops repeated rows, and its partitions give compact states
-    per key. The states are written once; keys and total are both read from them, as keyless uids have a state of their own.
-    No rows give no rows.
+    One scan and one shuffle of rows, by the place of the evenly spread uid: repeated rows fall away there, and every place
+    counts its keys for itself. These counts are written once. A key with the share of all uids has it in some place at least, so
+    only the counts of such keys are added up; counts of rare keys never travel. No rows give no rows.
     """
     work = work or Workspace(rows.sparkSession, "heavy-keys")
-    once = rows.select(F.col(uid).alias("_uid"), key.alias("_key")).filter(F.col("_uid").isNotNull()).repartition("_uid").distinct()
-    counts = work.cut(once.groupBy("_key").agg(F.count("*").alias("_n")))
-    total = counts.agg(F.sum("_n").alias("_total"))
     top, bottom = share
-    return counts.join(F.broadcast(total), F.col("_n") * bottom >= F.col("_total") * top).filter(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), F.col("_n").alias("uses"), F.col("_total").alias("total"))
+    placed = rows.select(F.pmod(F.xxhash64(uid), F.lit(PLACES)).cast("short").alias("_place"), F.col(uid).alias("_uid"), key.alias("_key")).filter(F.col("_uid").isNotNull()).repartition("_place")
+    local = work.cut(placed.distinct().groupBy("_place", "_key").agg(F.count("*").alias("_n")))
+    sums = local.groupBy("_place").agg(F.sum("_n").alias("_all"))
+    large = local.filter(F.col("_key").isNotNull()).join(F.broadcast(sums), "_place").filter(F.col("_n") * bottom >= F.col("_all") * top).select("_key").distinct()
+    counts = local.join(large, "_key").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    total = local.agg(F.sum("_n").alias("_total"))
+    return counts.join(F.broadcast(total), F.col("_n") * bottom >= F.col("_total") * top).select(F.col("_key").alias("key"), F.col("_n").alias("uses"), F.col("_total").alias("total"))
 
 
 def symbol_figures(occurrences: DataFrame) -> DataFrame:
