@@ -46,6 +46,8 @@ _CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-Z])|_")
 _SENTENCE = re.compile(r"[.!?;]+[)\]\"'»”]*\s+|\n+")
 _met: dict[str, list[int]] = {}  # word ids of parts met lately; texts of one origin repeat their phrases
 _MOST_MET = 100_000
+_known: dict[str, int] = {}  # ids of words met lately
+_MOST_KNOWN = 500_000
 
 
 def word_id(word: str) -> int:
@@ -56,7 +58,14 @@ def _ids(part: str) -> list[int]:
     """Ids of the distinct words (three letters at least, in lower case, identifiers taken apart) of a sentence or line."""
     ids = _met.get(part)
     if ids is None:
-        ids = [word_id(w) for w in {*_WORD.findall(_CAMEL.sub(" ", part).lower())}]
+        ids = []
+        for w in {*_WORD.findall(_CAMEL.sub(" ", part).lower())}:
+            i = _known.get(w)
+            if i is None:
+                if len(_known) >= _MOST_KNOWN:
+                    _known.clear()
+                i = _known[w] = word_id(w)
+            ids.append(i)
         if len(part) < 400:
             if len(_met) >= _MOST_MET:
                 _met.clear()
@@ -187,8 +196,11 @@ class Model:
         top = s.first[line]
         title[(doc * k + subj)[top]] = 1
         heading[(doc * k + subj)[top]] = ((s.size[line] <= 12) * (1 - q))[top]  # six words, each of them marked too
-        pair = np.unique(np.stack([s.doc[sentence] * k + subject, s.word[entry]]), axis=1)[0] if len(entry) else np.zeros(0, dtype=np.int64)
-        distinct = np.bincount(pair, minlength=d * k).reshape(d, k)
+        pair, word = s.doc[sentence] * k + subject, s.word[entry]
+        by = np.lexsort((word, pair))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (pair[by][1:] != pair[by][:-1]) | (word[by][1:] != word[by][:-1])
+        distinct = np.bincount(pair[by][new], minlength=d * k).reshape(d, k)
         best, title, heading = (a.reshape(d, k) for a in (best, title, heading))
         total = strong + weak
         whole = total.sum(axis=1, keepdims=True)
