@@ -37,7 +37,8 @@ def keys_above_share(rows: DataFrame, key: Column, uid: str, share: tuple[int, i
 
     One scan and one shuffle of rows, by the place of the evenly spread uid: repeated rows fall away there, and every place
     counts its keys for itself. These counts are written once. A key with the share of all uids has it in some place at least, so
-    only the counts of such keys are added up; counts of rare keys never travel. No rows give no rows.
+    only the counts of such keys are added up; counts of rare keys never travel. A place has at most 1 / ``share`` of them, which
+    bounds what is broadcast: for a hundredth, 100 keys of each of ``PLACES``, and far fewer distinct ones. No rows give no rows.
     """
     work = work or Workspace(rows.sparkSession, "heavy-keys")
     top, bottom = share
@@ -45,7 +46,7 @@ def keys_above_share(rows: DataFrame, key: Column, uid: str, share: tuple[int, i
     local = work.cut(placed.distinct().groupBy("_place", "_key").agg(F.count("*").alias("_n")))
     sums = local.groupBy("_place").agg(F.sum("_n").alias("_all"))
     large = local.filter(F.col("_key").isNotNull()).join(F.broadcast(sums), "_place").filter(F.col("_n") * bottom >= F.col("_all") * top).select("_key").distinct()
-    counts = local.join(large, "_key").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    counts = local.join(F.broadcast(large), "_key").groupBy("_key").agg(F.sum("_n").alias("_n"))
     total = local.agg(F.sum("_n").alias("_total"))
     return counts.join(F.broadcast(total), F.col("_n") * bottom >= F.col("_total") * top).select(F.col("_key").alias("key"), F.col("_n").alias("uses"), F.col("_total").alias("total"))
 
