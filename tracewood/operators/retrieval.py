@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.session import Workspace
+
 # Words a question is phrased with rather than about.
 STOP_WORDS = """the and for with that this from into how what when where why who which does did are is was were be been it its of to in on at by as an or if then than so not no
 can will would should could may might must has have had do get one per out up down back about any all some you your
@@ -39,11 +41,10 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def prose_only(symbols: DataFrame) -> DataFrame:
-    """Terms that no code symbol carries, in its name or documentation; Markdown symbols aren't code."""
-    is_doc = F.lower("symbol").rlike(r"\.(md|markdown)#")
-    words = symbols.select(F.explode(F.array_distinct(F.concat(tokens(F.col("symbol")), tokens(F.col("docs"))))).alias("term"), is_doc.alias("doc"))
-    return words.groupBy("term").agg(F.min(F.col("doc").cast("int")).alias("doc")).filter("doc = 1").select("term")
+def prose_only(symbols: DataFrame, index: DataFrame) -> DataFrame:
+    """Terms of the index that no code symbol carries, in its name or documentation; Markdown symbols aren't code."""
+    code = symbols.filter(~F.coalesce(F.lower("symbol").rlike(r"\.(md|markdown)#"), F.lit(False))).select("node").distinct()
+    return index.join(code, "node", "left_anti").select("term").distinct().join(index.join(code, "node", "left_semi").select("term").distinct(), "term", "left_anti")
 
 
 def stem_relatives(terms: DataFrame, vocabulary: DataFrame, prose: DataFrame) -> DataFrame:
@@ -88,17 +89,18 @@ def _top(sums: DataFrame, top: int) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query", "node", "score", "coverage", "rank")
 
 
-def search(queries: DataFrame, symbols: DataFrame, top: int = 24) -> DataFrame:
+def search(queries: DataFrame, symbols: DataFrame, top: int = 24, work: Workspace | None = None) -> DataFrame:
     """As ``bm25``, with stem relatives (each list with its own df, coverage once per term) and halves of compounds (half
-    weight, no coverage)."""
-    index = postings(symbols)
-    vocabulary = document_frequency(index)
+    weight, no coverage). Texts are split once: index and vocabulary are written, and all else reads them."""
+    work = work or Workspace(symbols.sparkSession, "search")
+    index = work.cut(postings(symbols))
+    vocabulary = work.cut(document_frequency(index))
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     words = asked.select("term").distinct()
     halves = compound_parts(words, vocabulary).select("term", F.explode(F.array("head", "tail")).alias("part"))
     terms = asked.select("query", "term", F.lit(1.0).alias("w")).unionByName(asked.join(halves, "term").select("query", F.col("part").alias("term"), F.lit(SPLIT_WEIGHT).alias("w"))).groupBy("query", "term").agg(F.max("w").alias("w"))
     every = terms.select("term").distinct()
-    lists = every.join(vocabulary, "term").select("term", F.col("term").alias("related"), "df").unionByName(stem_relatives(every, vocabulary, prose_only(symbols)))
+    lists = every.join(vocabulary, "term").select("term", F.col("term").alias("related"), "df").unionByName(stem_relatives(every, vocabulary, prose_only(symbols, index)))
     total = lengths(symbols).agg(F.count("*").alias("n"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = terms.join(lists, "term").join(F.broadcast(total)).select("query", "term", "w", F.col("related"), idf.alias("idf"))

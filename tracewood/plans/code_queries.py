@@ -88,7 +88,8 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_POST} SELECT * FROM prose")
 def prose_only_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.prose_only(_search_symbols(spark, folder))
+    known = _search_symbols(spark, folder)
+    return retrieval.prose_only(known, retrieval.postings(known))
 
 
 @query(
@@ -108,16 +109,20 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 def stem_fallback(spark: SparkSession, folder: str) -> DataFrame:
     known = _search_symbols(spark, folder)
     terms = questions(spark, folder).select(F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).distinct()
-    return retrieval.stem_relatives(terms, retrieval.document_frequency(retrieval.postings(known)), retrieval.prose_only(known))
+    return retrieval.stem_relatives(terms, retrieval.document_frequency(retrieval.postings(known)), retrieval.prose_only(known, retrieval.postings(known)))
 
 
 @query(
-    f"""WITH {_POST}, {_ASK}, un AS (SELECT DISTINCT term FROM ask WHERE term NOT IN (SELECT term FROM voc) AND strlen(term) >= 8), ct AS (SELECT term, unnest(range(1, length(term))) AS pos FROM un),
+    f"""WITH {_POST}, {_ASK}, ws AS (SELECT {_tok('text')} AS t FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL), al AS (SELECT term FROM ask UNION SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) FROM ws),
+    un AS (SELECT DISTINCT term FROM al WHERE term NOT IN (SELECT term FROM voc) AND strlen(term) >= 8), ct AS (SELECT term, unnest(range(1, length(term))) AS pos FROM un),
     ok AS (SELECT term, pos, substr(term, 1, pos) AS head, substr(term, pos + 1) AS tail FROM ct WHERE strlen(substr(term, 1, pos)) >= 4 AND strlen(substr(term, pos + 1)) >= 4)
     SELECT term, arg_max(head, pos) AS head, arg_max(tail, pos) AS tail FROM ok WHERE head IN (SELECT term FROM voc) AND tail IN (SELECT term FROM voc) GROUP BY 1"""
 )
 def compound_split(spark: SparkSession, folder: str) -> DataFrame:
-    terms = questions(spark, folder).select(F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).distinct()
+    """Of the questions' words and of what becomes of two neighbours written as one."""
+    words = questions(spark, folder).select(retrieval.tokens(F.col("text")).alias("t"))
+    joined = F.transform(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda w, i: F.concat(F.get("t", i), w))
+    terms = words.select(F.explode(F.array_union("t", joined)).alias("term")).distinct()
     return retrieval.compound_parts(terms, retrieval.document_frequency(retrieval.postings(_search_symbols(spark, folder))))
 
 
@@ -228,9 +233,10 @@ def partial_overlap_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return spans.partial_overlaps(_ranges(spark, folder))
 
 
-@query(f"WITH {_REG} SELECT file_id AS file, name, count(*) AS n FROM reg GROUP BY 1, 2 HAVING count(*) > 1")
+@query(rf"WITH {_REG} SELECT repo, regexp_extract(name, '([^.]*)$', 1) AS name, count(*) AS n FROM reg GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_definitions(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols(spark, folder).groupBy(F.col("file_id").alias("file"), "name").agg(F.count("*").alias("n")).filter("n > 1")
+    """Bare names that a repo defines more than once, so a call by name alone is undecided."""
+    return symbols(spark, folder).groupBy("repo", F.regexp_extract("name", r"([^.]*)$", 1).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query(f"WITH {_DOCS}, {_REG} SELECT r.node, decode(encode(text)[s + 1:e]) AS code FROM reg r JOIN docs_now d USING (file_id) WHERE s >= 0 AND s < e AND e <= strlen(text)")
@@ -710,16 +716,6 @@ def partition_scale(spark: SparkSession, folder: str) -> DataFrame:
     return scale(parts, overview.labels(parts))
 
 
-@query()
-def http_surface(spark: SparkSession, folder: str) -> DataFrame:
-    from tracewood.extract.scanner import facts
-
-    rows = _extracted(spark, folder)
-    routes = facts(rows, "routes").select(F.lit("route").alias("kind"), F.concat_ws("#", "file", "handler").alias("symbol"), "verb", "path")
-    asks = facts(rows, "requests").select(F.lit("request").alias("kind"), F.concat_ws("#", "file", "sender").alias("symbol"), "verb", "path")
-    return routes.unionByName(asks).withColumn("segments", resolve.segments(F.col("path")))
-
-
 @query(
     f"""WITH {SQL_GRAPH}, {sql_calls()}, o AS (SELECT callee AS node, max(confidence) AS confidence FROM calls WHERE caller = 1 GROUP BY 1), i AS (SELECT caller AS node, max(confidence) AS confidence FROM calls WHERE callee = 1 GROUP BY 1),
     b AS (SELECT node FROM nodes WHERE is_defined AND node <> 1 AND file = (SELECT file FROM nodes WHERE node = 1) ORDER BY node LIMIT 8)
