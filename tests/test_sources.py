@@ -175,3 +175,28 @@ def test_listing_changes(spark):
     b = spark.createDataFrame([("x", 2, 1), ("y", 1, 1), ("w", 1, 1)], "path string, mtime long, size long")
     assert {(r["path"], r["deleted"]) for r in listing.changes(a, b).collect()} == {("x", False), ("z", True), ("w", False)}
     assert incremental.walk_pause(0.01, 0) == 0.25 and incremental.walk_pause(0.01, 9) == 2.0 and incremental.walk_pause(1, 0) == 10
+
+
+def test_parts_hold_only_what_changed(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/p", "r1")
+    frame = lambda rows: spark.createDataFrame(rows, "file string, n int")
+    gone = lambda *names: spark.createDataFrame([(f,) for f in names], "file string")
+    files = [f"f{k}" for k in range(40)]
+    assert s.replace_files({"t": frame([(f, k) for k, f in enumerate(files)]), "u": frame([("f0", 7)])}, gone()) == 1
+    assert s.replace_files({"t": frame([("f3", 99)]), "u": frame([])}, gone("f3", "f5", "f0")) == 2
+    now = s.load()
+    assert sorted(map(tuple, now["t"].collect())) == sorted([(f, k) for k, f in enumerate(files) if f not in ("f0", "f3", "f5")] + [("f3", 99)]) and now["u"].collect() == []
+    assert s.load(1)["t"].count() == 40 and len(list((tmp_path / "p" / "v=2" / "t").glob("_part=*"))) <= 3
+    assert s.replace_files({"t": frame([]), "u": frame([])}, gone()) == 3 and s.load()["t"].count() == 38
+    with pytest.raises(RuntimeError):
+        s.replace_files({"t": frame([])}, gone(), expected=1)
+    with pytest.raises(ValueError):
+        store.Store(spark, f"file://{tmp_path}/p", "r2").load()
+
+
+def test_long_heads_and_far_handlers():
+    from tracewood.extract.scanner import scan
+
+    kinds = " | ".join(f"Kind{k}" for k in range(60))
+    facts = scan("a.ts", f"class A {{\n  go(x: T): {kinds} {{\n    return x;\n  }}\n}}\nconst far = (x: T): {kinds} => {{\n  near(x);\n}};\n")
+    assert {"far"} <= {d[0] for d in facts.defines} and any(d[0].endswith("go") for d in facts.defines)

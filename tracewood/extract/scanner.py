@@ -180,8 +180,8 @@ def scan(path: str, text: str, rules: Rules | None = None) -> Facts:
         if k >= n or T[k] == "function":
             return k if k < n else 0
         arrow = pairs.get(k, k) + 1 if T[k] == "(" else k + 1
-        while arrow < n and T[arrow] not in ("=>", ";", "EOF", "{", ")", ",") and arrow < k + 80:
-            arrow += 1
+        while arrow < n and T[arrow] not in ("=>", ";", "EOF", "{", ")", ","):  # a type between the parameters and the arrow
+            arrow = pairs.get(arrow, arrow) + 1 if T[arrow] in ("[", "(") else arrow + 1
         return arrow if arrow < n and T[arrow] == "=>" else 0
 
     for i, t in enumerate(T):
@@ -214,7 +214,7 @@ def scan(path: str, text: str, rules: Rules | None = None) -> Facts:
         elif rules.methods and is_name(i) and i + 1 < n and T[i + 1] == "(" and word(i) not in _NOT_CALLS and (T[i] == "ID" or T[i] in ("get", "set", "static", "of", "from", "as")) and not (i and T[i - 1] in (".", "new", "->", "::", "return", "=", "(", ",", "!", "&&", "||", "+", "?.")):
             close = pairs.get(i + 1)
             k = close + 1 if close else n
-            while k < n and T[k] not in ("{", ";", "=", "}", "EOF", "(", ",") and k < (close or 0) + 24:
+            while k < n and T[k] not in ("{", ";", "=", "}", "EOF", "(", ","):
                 k = pairs.get(k, k) + 1 if T[k] == "[" else k + 1
             if close and k < n and T[k] == "{" and i not in heads:
                 define(i, statement_start(i), (k, pairs.get(k, n - 1)), "method", k)
@@ -336,7 +336,7 @@ def http(text: str, owner: list[str], tokens: Tokens) -> tuple[list[tuple[str, s
         handler = m["h"]
         if not handler:
             i = at(m.end())
-            ahead = next((owner[k] for k in range(i, min(len(owner), i + 60)) if owner[k] != owner[i]), owner[i])
+            ahead = next((owner[k] for k in range(i, len(owner)) if owner[k] != owner[i]), owner[i])
             handler = owner[i] if m["p1"] and owner[i] != MODULE else ahead  # a decorator belongs to its function
         routes.append((handler, verb, plain(m["p1"] or m["p2"])))
     for m in _REQUEST.finditer(text):

@@ -22,11 +22,15 @@ def newest(changes: DataFrame) -> DataFrame:
 
 def apply(tables: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
     """New fact tables (definitions, calls): the rows of changed and deleted files go, those of the new texts come."""
+    new, gone = read_changes(changes)
+    return {n: t.join(gone, "file", "left_anti").select(new[n].columns).unionByName(new[n]) for n, t in tables.items()}
+
+
+def read_changes(changes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Facts of the changed files' new texts, and (file) of all changed and deleted ones."""
     last = newest(changes)
-    gone = last.select(F.col("path").alias("file"))
     fresh = extract(last.filter("text is not null"), "path", "text", "path")
-    new = {"definitions": facts(fresh, "defines"), "calls": facts(fresh, "calls")}
-    return {n: t.join(gone, "file", "left_anti").select(new[n].columns).unionByName(new[n]) for n, t in tables.items()}
+    return {"definitions": facts(fresh, "defines"), "calls": facts(fresh, "calls")}, last.select(F.col("path").alias("file"))
 
 
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
@@ -37,13 +41,14 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def watch(changes: DataFrame, store: Store, checkpoint: str, interval: str = "250 milliseconds", notify: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Streams changes (path, ord, text) into snapshots: each micro-batch publishes a version. A batch that is repeated after a
-    failure replaces the same files by the same facts, so publishing it twice changes nothing."""
+    """Streams changes (path, ord, text) into snapshots: each micro-batch publishes a version and writes only the parts of the
+    tables that hold its files. A batch that is repeated after a failure replaces the same files by the same facts, so publishing it
+    twice changes nothing."""
 
     def take(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        tables = store.load() if store.version() else empty(spark)
-        version = store.publish(apply(tables, batch))
+        batch = batch.persist()
+        version = store.replace_files(*read_changes(batch))
+        batch.unpersist()
         if notify:
             notify(version)
 
