@@ -217,6 +217,19 @@ def denied(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return reached.join(rules, "from_path").filter(covers(F.col("to_path"), F.col("to_file")) & (F.col("confidence") >= F.col("floor"))).select("rule", "from_file", "to_file", "confidence")
 
 
+def check_architecture(pairs: DataFrame, rules: DataFrame, longest: int = 12, limit: int | None = 50, work: Workspace | None = None) -> DataFrame:
+    """(rule, kind, files): what breaks the rules (rule, kind, from_path, to_path, floor): file edges that a 'deny' rule forbids, and
+    the cycles of edges at a 'no-cycles' rule's floor or above, the shortest ``limit`` of each floor up to ``longest`` files."""
+    work = work or Workspace(pairs.sparkSession, "rules")
+    pairs = work.cut(pairs)
+    out = denied(pairs, rules.filter("kind = 'deny'").select("rule", "from_path", "to_path", F.coalesce("floor", F.lit(0)).alias("floor"))).select("rule", F.lit("deny").alias("kind"), F.array("from_file", "to_file").alias("files"))
+    closed = rules.filter("kind = 'no-cycles'").select("rule", F.coalesce("floor", F.lit(0)).alias("floor"))
+    for (floor,) in closed.select("floor").distinct().orderBy("floor").collect():  # one of three confidences each
+        rings = cycles(pairs.filter(F.col("confidence") >= floor), longest, limit, work).select("files")
+        out = out.unionByName(rings.withColumn("floor", F.lit(floor)).join(F.broadcast(closed), "floor").select("rule", F.lit("no-cycles").alias("kind"), "files"))
+    return out
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, weight) in both directions: how many edges join two nodes; loops are dropped."""
     pairs = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight"))

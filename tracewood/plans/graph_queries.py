@@ -210,6 +210,19 @@ def deny_rule(spark: SparkSession, folder: str) -> DataFrame:
     return G.denied(G.file_graph(*both(spark, folder)), spark.createDataFrame(RULES, "rule string, from_path string, to_path string, floor int"))
 
 
+_RING_SQL = " UNION ALL ".join(f"SELECT 'rings' AS rule, 'no-cycles' AS kind, files FROM ({_cycle_sql(n)})" for n in (2, 3))
+
+
+@query(
+    f"WITH {SQL_GRAPH}, {SQL_FILES}, rules(rule, a, b, floor) AS (VALUES {_RULE_ROWS}) SELECT rule, 'deny' AS kind, from_file || ' ' || to_file AS files FROM file_edges JOIN rules ON confidence >= floor "
+    f"AND (from_file = a OR starts_with(from_file, a || '/') OR starts_with(from_file, a || '.')) AND (to_file = b OR starts_with(to_file, b || '/') OR starts_with(to_file, b || '.')) UNION ALL {_RING_SQL}"
+)
+def check_architecture(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(r, "deny", a, b, f) for r, a, b, f in RULES] + [("rings", "no-cycles", None, None, 2)]
+    rules = spark.createDataFrame(rows, "rule string, kind string, from_path string, to_path string, floor int")
+    return G.check_architecture(G.file_graph(*both(spark, folder)), rules, 3, None).select("rule", "kind", F.array_join("files", " ").alias("files"))
+
+
 _ADJ = "pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM links WHERE src <> dst GROUP BY 1, 2), adj AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs)"
 _LINKS = f"{SQL_GRAPH}, {sql_calls()}, links AS (SELECT DISTINCT caller AS src, callee AS dst FROM calls)"
 
