@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.operators.ranking import best, by_node
 from tracewood.session import Workspace
 
 # Words a question is phrased with rather than about.
@@ -68,19 +69,22 @@ def compound_parts(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return good.groupBy("term").agg(F.max_by(F.struct("head", "tail"), "at").alias("best")).select("term", "best.head", "best.tail")
 
 
-def bm25(queries: DataFrame, index: DataFrame, documents: DataFrame, top: int = 24) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, documents: DataFrame, top: int = 24, work: Workspace | None = None) -> DataFrame:
     """(query, node, score, coverage, rank): best nodes of each query (query, text) by exact terms.
 
-    Score: the sum of idf and saturated frequency, times the number of distinct query terms matched. Queries meet the index
-    by term, so only nodes that share a word are scored; sums are taken before the shuffle by query and node.
+    Score: the sum of idf and saturated frequency, times the number of distinct query terms matched. Only nodes that share a word
+    are scored; they are scored where they lie (``ranking.best``).
     """
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    df = document_frequency(index)
-    total = documents.agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = asked.join(df, "term").join(F.broadcast(total)).select("query", "term", idf.alias("idf"))
-    hits = weighted.join(index, "term").select("query", "node", (F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1)).alias("s"))
-    return _top(hits.groupBy("query", "node").agg(F.sum("s").alias("sum"), F.count("*").alias("coverage")), top)
+    work = work or Workspace(index.sparkSession, "bm25")
+    packed = by_node(index, work)
+    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("w"))
+    df = packed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    lists = df.join(F.broadcast(documents.agg(F.count("*").alias("n")))).select("term", F.col("term").alias("related"), _idf().alias("idf"))
+    return best(asked, lists.join(asked.select("term").distinct(), "term", "left_semi"), packed, top, K1, work)
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
 
 def _top(sums: DataFrame, top: int) -> DataFrame:
