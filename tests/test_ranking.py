@@ -54,3 +54,9 @@ def test_bm25_shuffles_no_row_per_query_and_node(spark):
     names = {v: ["common", f"n{v % 7}"] for v in range(2000)}
     asked = {q: ["common", f"n{q % 9}"] for q in range(200)}
     assert shuffled(spark, lambda: bm25_rows(spark, asked, names, 3).count()) < 40_000  # 400,000 share a word
+
+
+def test_search_shuffles_no_row_per_query_and_node(spark):
+    known = spark.createDataFrame([(v, f"common n{v % 7}", None) for v in range(2000)], "node long, symbol string, docs string")
+    ask = spark.createDataFrame([(q, f"common n{q % 9}") for q in range(200)], "query long, text string")
+    assert shuffled(spark, lambda: retrieval.search(ask, known, 3).count()) < 40_000

@@ -42,9 +42,13 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _is_code() -> Column:
+    return ~F.coalesce(F.lower("symbol").rlike(r"\.(md|markdown)#"), F.lit(False))
+
+
 def prose_only(symbols: DataFrame, index: DataFrame) -> DataFrame:
     """Terms of the index that no code symbol carries, in its name or documentation; Markdown symbols aren't code."""
-    code = symbols.filter(~F.coalesce(F.lower("symbol").rlike(r"\.(md|markdown)#"), F.lit(False))).select("node").distinct()
+    code = symbols.filter(_is_code()).select("node").distinct()
     return index.join(code, "node", "left_anti").select("term").distinct().join(index.join(code, "node", "left_semi").select("term").distinct(), "term", "left_anti")
 
 
@@ -87,30 +91,22 @@ def _idf() -> Column:
     return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
 
-def _top(sums: DataFrame, top: int) -> DataFrame:
-    scored = sums.withColumn("score", F.round(F.col("sum") * F.greatest(F.col("coverage"), F.lit(1)), 6))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query", "node", "score", "coverage", "rank")
-
-
 def search(queries: DataFrame, symbols: DataFrame, top: int = 24, work: Workspace | None = None) -> DataFrame:
     """As ``bm25``, with stem relatives (each list with its own df, coverage once per term) and halves of compounds (half
     weight, no coverage). Texts are split once: index and vocabulary are written, and all else reads them."""
     work = work or Workspace(symbols.sparkSession, "search")
-    index = work.cut(postings(symbols))
-    vocabulary = work.cut(document_frequency(index))
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    packed = by_node(postings(symbols), work)
+    code = symbols.filter(_is_code()).select("node", F.lit(True).alias("code"))
+    held = packed.join(code.distinct(), "node", "left").select(F.explode("terms").alias("term"), F.coalesce("code", F.lit(False)).alias("code"))
+    vocabulary = work.cut(held.groupBy("term").agg(F.count("*").alias("df"), F.max("code").alias("code")))
+    asked = work.cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
     words = asked.select("term").distinct()
     halves = compound_parts(words, vocabulary).select("term", F.explode(F.array("head", "tail")).alias("part"))
-    terms = asked.select("query", "term", F.lit(1.0).alias("w")).unionByName(asked.join(halves, "term").select("query", F.col("part").alias("term"), F.lit(SPLIT_WEIGHT).alias("w"))).groupBy("query", "term").agg(F.max("w").alias("w"))
+    terms = work.cut(asked.select("query", "term", F.lit(1.0).alias("w")).unionByName(asked.join(halves, "term").select("query", F.col("part").alias("term"), F.lit(SPLIT_WEIGHT).alias("w"))).groupBy("query", "term").agg(F.max("w").alias("w")))
     every = terms.select("term").distinct()
-    lists = every.join(vocabulary, "term").select("term", F.col("term").alias("related"), "df").unionByName(stem_relatives(every, vocabulary, prose_only(symbols, index)))
+    lists = every.join(vocabulary, "term").select("term", F.col("term").alias("related"), "df").unionByName(stem_relatives(every, vocabulary, vocabulary.filter("not code").select("term")))
     total = lengths(symbols).agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = terms.join(lists, "term").join(F.broadcast(total)).select("query", "term", "w", F.col("related"), idf.alias("idf"))
-    hits = weighted.join(index.withColumnRenamed("term", "related"), "related").select("query", "node", "term", "w", (F.col("w") * F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1)).alias("s"))
-    per_term = hits.groupBy("query", "node", "term").agg(F.sum("s").alias("s"), F.max(F.when(F.col("w") >= 1, 1).otherwise(0)).alias("counts"))
-    return _top(per_term.groupBy("query", "node").agg(F.sum("s").alias("sum"), F.sum("counts").alias("coverage")), top)
+    return best(terms, lists.join(F.broadcast(total)).select("term", "related", _idf().alias("idf")), packed, top, K1, work)
 
 
 def vocabulary_suggestion(results: DataFrame, symbols: DataFrame, index: DataFrame, queries: DataFrame, top: int = 6) -> DataFrame:
