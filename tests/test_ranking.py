@@ -60,3 +60,24 @@ def test_search_shuffles_no_row_per_query_and_node(spark):
     known = spark.createDataFrame([(v, f"common n{v % 7}", None) for v in range(2000)], "node long, symbol string, docs string")
     ask = spark.createDataFrame([(q, f"common n{q % 9}") for q in range(200)], "query long, text string")
     assert shuffled(spark, lambda: retrieval.search(ask, known, 3).count()) < 40_000
+
+
+def test_grep_ranks_files_where_they_lie(spark):
+    from tracewood.operators import quality
+
+    files = {f: f"prefix common number{f % 7:02} {'query ' * (f % 3)}" for f in range(3000)}
+    asked = {q: f"Common quer{q % 9} number{q % 8:02} numberless" for q in range(200)}
+    ask = spark.createDataFrame(list(asked.items()), "query long, text string")
+    have = spark.createDataFrame(list(files.items()), "file_id long, text string")
+    got: dict[int, list] = {}
+
+    def act():
+        for r in quality.grep(ask, have, 4, block=2).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["file_id"], r["hits"]))
+
+    moved = shuffled(spark, act)
+    for q, text in asked.items():
+        stems = {w[:5] for w in text.lower().split()}
+        counts = [(-sum(s in t for s in stems), f) for f, t in files.items()]
+        assert got[q] == [(f, -n) for n, f in sorted(counts)[:4]]
+    assert moved < 60_000  # 600,000 pairs share a stem

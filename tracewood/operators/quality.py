@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewood.operators.ranking import best
 from tracewood.operators.retrieval import tokens
+from tracewood.session import Workspace
 
 
 def extraction_yield(files: DataFrame, defs: DataFrame) -> DataFrame:
@@ -30,22 +32,26 @@ def recall_precision(expected: DataFrame, found: DataFrame, returned: int) -> Da
     return by.select("query", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("hits") / F.lit(returned), 6).alias("precision"))
 
 
-def grep(queries: DataFrame, files: DataFrame, top: int = 5, block: int = 200_000) -> DataFrame:
+def grep(queries: DataFrame, files: DataFrame, top: int = 5, block: int = 200_000, work: Workspace | None = None) -> DataFrame:
     """(query, file_id, hits, rank): the plain baseline: files that hold most of the query words' first five characters.
 
-    The distinct stems of all queries, in blocks, go over each text once in one automaton; hits then meet the queries.
+    The distinct stems of all queries, in blocks, go over each text once in one automaton; every file's stems are one written row,
+    and files are ranked where they lie (``ranking.best``).
     """
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).filter(F.length("term") > 3).select("query", F.substring("term", 1, 5).alias("stem")).distinct()
-    stems = asked.select("stem").distinct().orderBy("stem")
-    texts = files.filter("text is not null and file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), F.lower("text").alias("text"))
+    work = work or Workspace(files.sparkSession, "grep")
+    asked = work.cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).filter(F.length("term") > 3).select("query", F.substring("term", 1, 5).alias("term")).distinct())
+    stems = asked.select("term").distinct().orderBy("term")
+    texts = files.filter("text is not null and file_id is not null").select(F.col("file_id").cast("long").alias("node"), F.lower("text").alias("text"))
     met = None
     for start in range(0, max(stems.count(), 1), block):
-        words = [r["stem"] for r in stems.offset(start).limit(block).collect()]
-        part = texts.mapInArrow(_finder(words), "file_id long, stem string")
-        met = part if met is None else met.unionByName(part)
-    hits = asked.join(met, "stem").groupBy("query", "file_id").agg(F.count("*").alias("hits"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "file_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= top)
+        words = [r["term"] for r in stems.offset(start).limit(block).collect()]
+        part = work.cut(texts.mapInArrow(_finder(words), "node long, terms array<string>"))
+        met = part if met is None else met.unionByName(part).groupBy("node").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    one = F.lit(1.0)
+    packed = met.select("node", "terms", F.transform("terms", lambda t: one).alias("freqs"))
+    lists = stems.select("term", F.col("term").alias("related"), one.alias("idf"))
+    found = best(asked.select("query", "term", one.alias("w")), lists, packed, top, 0.0, work)  # the score is the square of the hits
+    return found.select("query", F.col("node").alias("file_id"), F.col("coverage").alias("hits"), "rank")
 
 
 def _finder(words: list[str]):
@@ -57,12 +63,8 @@ def _finder(words: list[str]):
             machine.add_word(w, w)
         machine.make_automaton()
         for b in batches:
-            ids, stems = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {w for _, w in machine.iter(text)} if words else set()
-                ids.extend([i] * len(found))
-                stems.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stems, pa.string())], names=["file_id", "stem"])
+            found = [list({w for _, w in machine.iter(text)}) if words else [] for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["node", "terms"])
 
     return run
 
