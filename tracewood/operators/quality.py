@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewood.operators.ranking import best
 from tracewood.operators.retrieval import tokens
@@ -86,18 +87,54 @@ def anomalies(defines: DataFrame, calls: DataFrame) -> DataFrame:
     return found.withColumn("r", rank).groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("what")))).alias("examples"))
 
 CHARS_PER_TOKEN = 4  # fixed value: the benchmark's measure of an answer's length
+EXPECTATIONS = 50_000  # of one question and section that go over its text at once
 
 
-def structural_recall(answers: DataFrame, expected: DataFrame) -> DataFrame:
+def structural_recall(answers: DataFrame, expected: DataFrame, block: int = EXPECTATIONS) -> DataFrame:
     """(question, asked, found, returned, tokens): how many expectations (question, expected) the text of a tool's answer
     (question, answer) holds. An expectation ``in: section symbol`` looks only at the section named so (blanks for its
-    underscores), which ends at a blank line; an answer that is null holds nothing."""
-    met = expected.join(answers, "question", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
-    section = F.regexp_replace(F.regexp_extract("expected", r"^in: (\S+) ", 1), "_", " ")
-    symbol = F.regexp_extract("expected", r"^in: \S+ (.*)$", 1)
-    begins = F.locate_(section, F.col("answer")) if hasattr(F, "locate_") else F.expr("instr(answer, replace(regexp_extract(expected, '^in: (\\\\S+) ', 1), '_', ' '))")
-    after = F.expr("substr(answer, instr(answer, replace(regexp_extract(expected, '^in: (\\\\S+) ', 1), '_', ' ')))")
-    inside = (begins > 0) & F.substring_index(after, "\n\n", 1).contains(symbol)
-    hit = F.when(F.col("expected").startswith("in: "), (section != "") & (symbol != "") & inside).otherwise(F.col("answer").contains(F.col("expected")))
-    size = F.size(F.filter(F.split("answer", "\n"), lambda s: s.contains("#")))
-    return met.groupBy("question").agg(F.count("*").alias("asked"), F.sum(hit.cast("long")).alias("found"), F.max(size).alias("returned"), F.max(F.floor(F.length("answer") / CHARS_PER_TOKEN)).alias("tokens"))
+    underscores), which ends at a blank line; an answer that is null holds nothing.
+
+    The expectations of a question and section, in blocks, are a row and go over the text once in one automaton, so an answer is
+    neither repeated nor searched for each of them.
+    """
+    within = F.coalesce(F.col("expected").startswith("in: "), F.lit(False))
+    section = F.when(within, F.regexp_replace(F.regexp_extract("expected", r"^in: (\S+) ", 1), "_", " ")).otherwise(F.lit(""))
+    symbol = F.when(within, F.regexp_extract("expected", r"^in: \S+ (.*)$", 1)).otherwise(F.col("expected"))
+    told = expected.select("question", within.alias("within"), section.alias("section"), symbol.cast("binary").alias("symbol"))
+    keys = ["question", "within", "section"]
+    size = told.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    same = F.col("question").eqNullSafe(F.col("_question")) & (F.col("within") == F.col("_within")) & (F.col("section") == F.col("_section"))
+    rows = told.join(size, same).groupBy(*keys, F.pmod(F.xxhash64("symbol"), F.col("blocks")).alias("block")).agg(F.count("*").alias("asked"), F.collect_list("symbol").alias("symbols"))
+    known = answers.select("question", F.coalesce("answer", F.lit("")).alias("answer"))
+    lines = F.size(F.filter(F.split("answer", "\n"), lambda s: s.contains("#")))
+    known = known.select("question", "answer", lines.alias("returned"), F.floor(F.length("answer") / CHARS_PER_TOKEN).alias("tokens"))
+    met = rows.join(known, "question", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    begins = F.expr("instr(answer, section)")
+    part = F.when(F.col("within"), F.when((F.col("section") != "") & (begins > 0), F.substring_index(F.expr("substr(answer, instr(answer, section))"), "\n\n", 1))).otherwise(F.col("answer"))
+    kinds = {f.name: f.dataType for f in met.schema.fields}
+    out = T.StructType([T.StructField("question", kinds["question"]), *[T.StructField(k, T.LongType()) for k in ("asked", "found", "returned", "tokens")]])
+    found = met.select("question", "asked", "returned", "tokens", "within", part.cast("binary").alias("part"), "symbols").mapInArrow(_held, out)
+    return found.groupBy("question").agg(F.sum("asked").alias("asked"), F.sum("found").alias("found"), F.coalesce(F.max("returned"), F.lit(0)).cast("int").alias("returned"), F.coalesce(F.max("tokens"), F.lit(0).cast("long")).alias("tokens"))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the symbols that a text holds; bytes are read as single characters, so bytes are what is compared."""
+    import ahocorasick
+
+    for b in batches:
+        counts = []
+        for i in range(b.num_rows):
+            within, part, symbols = (b.column(k)[i].as_py() for k in (4, 5, 6))
+            if not symbols or part is None:
+                counts.append(0 if symbols else None)
+                continue
+            machine = ahocorasick.Automaton()
+            for s in {*symbols} - {b""}:
+                machine.add_word(s.decode("latin-1"), s)
+            machine.make_automaton()
+            held = {s for _, s in machine.iter(part.decode("latin-1"))} if len(machine) else set()
+            if not within:
+                held.add(b"")
+            counts.append(sum(s in held for s in symbols))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), b.column(2).cast(pa.int64()), b.column(3)], names=["question", "asked", "found", "returned", "tokens"])
