@@ -111,6 +111,22 @@ def test_partition_removes_hubs():
     assert hubs == {0}
 
 
+def test_leiden_takes_any_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(community, "SINGLE_TASK_EDGES", 3, raising=False)
+    links = [(a, b) for vs in (range(5), range(5, 10)) for a in vs for b in vs if a < b] + [(4, 5), (5, 4), (7, 7)] + [(20, k) for k in range(10)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in links], "src long, dst long, confidence int")
+    nodes = spark.createDataFrame([(k, f"f{k % 2}" if k else None, True) for k in range(12)] + [(50, None, False)], "node long, file string, is_defined boolean")
+    weight, incoming = {}, {}
+    for a, b in links:
+        if a != b:
+            weight[min(a, b), max(a, b)] = weight.get((min(a, b), max(a, b)), 0.0) + 1
+            incoming[b] = incoming.get(b, 0) + 1
+    found, hubs = community.partition([*range(12), 20], [(*p, w) for p, w in weight.items()], incoming, {k: f"f{k % 2}" for k in range(1, 12)})
+    got = community.leiden(edges, nodes).collect()
+    assert {r["node"]: r["community"] for r in got} == found and {r["node"] for r in got if r["is_hub"]} == hubs
+    assert found[0] == found[4] != found[9] == found[6] and found[10] != found[11]
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(60, 8)), 3)
