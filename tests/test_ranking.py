@@ -81,3 +81,11 @@ def test_grep_ranks_files_where_they_lie(spark):
         counts = [(-sum(s in t for s in stems), f) for f, t in files.items()]
         assert got[q] == [(f, -n) for n, f in sorted(counts)[:4]]
     assert moved < 60_000  # 600,000 pairs share a stem
+
+
+def test_vocabulary_suggestion_shuffles_no_row_per_query_and_node(spark):
+    known = spark.createDataFrame([(v, f"f{v % 7}.py#commonName{v % 7:02}Extra", None) for v in range(2000)], "node long, symbol string, docs string")
+    ask = spark.createDataFrame([(q, f"common name{q % 9:02}") for q in range(200)], "query long, text string")
+    index, rows = retrieval.postings(known), []
+    moved = shuffled(spark, lambda: rows.extend(retrieval.vocabulary_suggestion(retrieval.bm25(ask, index, retrieval.lengths(known), 10), known, index, ask).collect()))
+    assert {r["query"] for r in rows} == set(range(200)) and moved < 80_000
