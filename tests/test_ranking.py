@@ -89,3 +89,45 @@ def test_vocabulary_suggestion_shuffles_no_row_per_query_and_node(spark):
     index, rows = retrieval.postings(known), []
     moved = shuffled(spark, lambda: rows.extend(retrieval.vocabulary_suggestion(retrieval.bm25(ask, index, retrieval.lengths(known), 10), known, index, ask).collect()))
     assert {r["query"] for r in rows} == set(range(200)) and moved < 80_000
+
+
+def suggested_by_hand(asked: dict[int, list[str]], symbols: dict[int, tuple[list[str], list[str], list[str]]]) -> list[tuple]:
+    """symbols: of each node the words of its file stem, of its name and of its documentation; every stem lies in a ``.py`` file."""
+    freq = {}
+    for v, (stem, name, doc) in symbols.items():
+        said = [*stem, "py", *name] if name else []
+        freq[v] = {w: 100 * said.count(w) if w in said else 3 * doc.count(w) for w in [*said, *doc]}
+    df = {w: sum(w in ws for ws in freq.values()) for ws in freq.values() for w in ws}
+    n, rows = sum(bool(name) for _, name, _ in symbols.values()), []
+    for q, terms in asked.items():
+        scored = []
+        for v, ws in freq.items():
+            met = [math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * ws[t] * 2.2 / (ws[t] + 1.2) for t in sorted(set(terms)) if t in ws]
+            if met:
+                scored.append((-round(sum(met) * len(met), 6), v))
+        told = {}
+        for _, v in sorted(scored)[:10]:
+            for w, k in [(w, 2) for w in symbols[v][1]] + [(w, 1) for w in symbols[v][0]]:
+                if len(w) > 2 and w not in terms:
+                    told[w] = told.get(w, 0) + k
+        ranked = sorted((-round(k / math.sqrt(df[w]), 6), w) for w, k in told.items())[:6]
+        rows += [(q, w, -x, k) for k, (x, w) in enumerate(ranked, 1)]
+    return rows
+
+
+def test_vocabulary_suggestion_splits_texts_once(spark, tmp_path):
+    from tracewood.plans import code_queries
+
+    r = random.Random(6)
+    words = [f"word{k:02}" for k in range(30)]
+    symbols = {v: ([r.choice(words)], ["common", *r.choices(words, k=2)], r.choices(words, k=v % 2)) for v in range(3000)}
+    symbols |= {v: ([], [], ["common", r.choice(words)]) for v in range(3000, 3020)}  # no name, so not counted among the symbols
+    rows = [(v, f"src/{''.join(s)}.py#{n[0]}{''.join(w.title() for w in n[1:])}" if n else "#", " ".join(d) or None, 2) for v, (s, n, d) in symbols.items()]
+    rows += [(v, "src/stale.py#staleName", "stale", 1) for v in range(0, 3000, 5)]
+    spark.createDataFrame(rows, "node long, symbol string, docs string, at int").selectExpr("node", "node file_id", "'r' repo", "symbol", "docs", "struct(0 start, 1 end) spans", "timestamp_seconds(at) read_at").write.parquet(f"{tmp_path}/symbol_registry.parquet")
+    asked = {50 * q: ["common", *r.choices(words, k=3)] for q in range(1, 61)}
+    spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked.items()] + [(51, "common word01"), (100_000, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(code_queries.vocabulary_suggestion(spark, str(tmp_path)).orderBy("query", "rank").collect()))
+    assert [(x["query"], x["word"], round(x["weight"], 6), x["rank"]) for x in got] == suggested_by_hand(asked, symbols)
+    assert moved < 12_000  # 180,000 pairs share a word; the registry's 3,620 rows are gathered twice

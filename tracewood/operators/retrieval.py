@@ -27,10 +27,15 @@ def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
 def postings(symbols: DataFrame) -> DataFrame:
     """(term, node, freq) of ``symbols`` (node, symbol, docs): a word of the name counts 100, one of the documentation that
     isn't in the name 3 per use, cut as 32-bit arithmetic cuts it."""
+    return _postings(symbols).drop("named")
+
+
+def _postings(symbols: DataFrame) -> DataFrame:
+    """As ``postings``, and ``named``: the word is in the name."""
     words = symbols.select("node", F.explode(F.concat(F.transform(tokens(F.col("symbol")), lambda w: F.struct(w.alias("term"), F.lit(1).alias("name"), F.lit(0).alias("doc"))), F.transform(tokens(F.col("docs")), lambda w: F.struct(w.alias("term"), F.lit(0).alias("name"), F.lit(1).alias("doc"))))).alias("w"))
     counts = words.groupBy("node", "w.term").agg(F.sum("w.name").alias("name"), F.sum("w.doc").alias("doc"))
     in_doc = (F.col("doc").cast("float") * F.lit(DOC_WEIGHT).cast("float") * F.lit(DOC_SCALE).cast("float")).cast("int")
-    return counts.select("term", "node", F.when(F.col("name") > 0, (F.col("name") * DOC_SCALE).cast("int")).otherwise(in_doc).alias("freq"))
+    return counts.select("term", "node", F.when(F.col("name") > 0, (F.col("name") * DOC_SCALE).cast("int")).otherwise(in_doc).alias("freq"), (F.col("name") > 0).alias("named"))
 
 
 def lengths(symbols: DataFrame) -> DataFrame:
@@ -81,10 +86,16 @@ def bm25(queries: DataFrame, index: DataFrame, documents: DataFrame, top: int =
     """
     work = work or Workspace(index.sparkSession, "bm25")
     packed = by_node(index, work)
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("w"))
-    df = packed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    lists = df.join(F.broadcast(documents.agg(F.count("*").alias("n")))).select("term", F.col("term").alias("related"), _idf().alias("idf"))
-    return best(asked, lists.join(asked.select("term").distinct(), "term", "left_semi"), packed, top, K1, work)
+    return _by_exact_terms(_asked(queries), packed, document_frequency(packed.select(F.explode("terms").alias("term"))), documents.agg(F.count("*").alias("n")), top, work)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def _by_exact_terms(asked: DataFrame, packed: DataFrame, vocabulary: DataFrame, total: DataFrame, top: int, work: Workspace) -> DataFrame:
+    lists = vocabulary.join(F.broadcast(total)).select("term", F.col("term").alias("related"), _idf().alias("idf"))
+    return best(asked.withColumn("w", F.lit(1.0)), lists.join(asked.select("term").distinct(), "term", "left_semi"), packed, top, K1, work)
 
 
 def _idf() -> Column:
@@ -99,7 +110,7 @@ def search(queries: DataFrame, symbols: DataFrame, top: int = 24, work: Workspac
     code = symbols.filter(_is_code()).select("node", F.lit(True).alias("code"))
     held = packed.join(code.distinct(), "node", "left").select(F.explode("terms").alias("term"), F.coalesce("code", F.lit(False)).alias("code"))
     vocabulary = work.cut(held.groupBy("term").agg(F.count("*").alias("df"), F.max("code").alias("code")))
-    asked = work.cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    asked = work.cut(_asked(queries))
     words = asked.select("term").distinct()
     halves = compound_parts(words, vocabulary).select("term", F.explode(F.array("head", "tail")).alias("part"))
     terms = work.cut(asked.select("query", "term", F.lit(1.0).alias("w")).unionByName(asked.join(halves, "term").select("query", F.col("part").alias("term"), F.lit(SPLIT_WEIGHT).alias("w"))).groupBy("query", "term").agg(F.max("w").alias("w")))
@@ -112,13 +123,27 @@ def search(queries: DataFrame, symbols: DataFrame, top: int = 24, work: Workspac
 def vocabulary_suggestion(results: DataFrame, symbols: DataFrame, index: DataFrame, queries: DataFrame, top: int = 6) -> DataFrame:
     """(query, word, weight): words of the ten best results that the query didn't use: twice a symbol's name's words and once its
     file stem's, by the root of their document frequency."""
+    return _suggested(results, symbols, document_frequency(index), _asked(queries), top)
+
+
+def suggest(queries: DataFrame, symbols: DataFrame, top: int = 6, work: Workspace | None = None) -> DataFrame:
+    """``vocabulary_suggestion`` of the best results by ``bm25``. The texts of ``symbols``, a row per node, and of the queries are
+    split once: index, vocabulary and the queries' words are written, and all else reads them."""
+    work = work or Workspace(symbols.sparkSession, "suggest")
+    packed = by_node(_postings(symbols), work, F.max("named").alias("named"))
+    vocabulary = work.cut(document_frequency(packed.select(F.explode("terms").alias("term"))))
+    asked = work.cut(_asked(queries))
+    total = packed.agg(F.count_if("named").alias("n"))
+    return _suggested(_by_exact_terms(asked, packed, vocabulary, total, 10, work), symbols, vocabulary, asked, top)
+
+
+def _suggested(results: DataFrame, symbols: DataFrame, vocabulary: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     best = results.filter("rank <= 10").select("query", "node").join(symbols.select("node", "symbol"), "node")
     name = tokens(F.expr("substr(symbol, instr(symbol, '#') + 1)"))
     stem = tokens(F.regexp_extract("symbol", r"([^/\\#]*?)(\.[^./\\#]*)?#", 1))
     words = best.select("query", F.explode(F.concat(F.transform(name, lambda w: F.struct(w.alias("word"), F.lit(2).alias("n"))), F.transform(stem, lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"))))).alias("x"))
     counts = words.groupBy("query", "x.word").agg(F.sum("x.n").alias("n")).filter(F.length("word") > 2)
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    told = counts.join(asked, ["query", "word"], "left_anti").join(document_frequency(index).withColumnRenamed("term", "word"), "word")
+    told = counts.join(asked.withColumnRenamed("term", "word"), ["query", "word"], "left_anti").join(vocabulary.withColumnRenamed("term", "word"), "word")
     scored = told.withColumn("weight", F.round(F.col("n") / F.sqrt("df"), 6))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "word"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query", "word", "weight", "rank")

@@ -133,9 +133,7 @@ def search_full(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def vocabulary_suggestion(spark: SparkSession, folder: str) -> DataFrame:
-    known, asked = _search_symbols(spark, folder), questions(spark, folder)
-    index = retrieval.postings(known)
-    return retrieval.vocabulary_suggestion(retrieval.bm25(asked, index, retrieval.lengths(known), 10), known, index, asked)
+    return retrieval.suggest(questions(spark, folder), _search_symbols(spark, folder))
 
 
 _WORDS = r"words AS (SELECT file_id AS file, unnest(string_split_regex(text, '[^\p{L}\p{N}_]+')) AS name FROM docs_now WHERE text IS NOT NULL)"
